@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-VECTORS, QUERIES, STEP = 8192, 512, 96
+VECTORS, QUERIES, STEP = 8192, 512, 64
 
 
 def scaled(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -57,35 +57,46 @@ def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
     return staged(even.mapInArrow(run, "block long, dim long, kind string, ids binary, data binary"), name)
 
 
-def threshold_top(values: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> list[int]:
-    """Rows of the k best of `values` (n x d) for one query; order: rows of each column by rising value."""
-    n = len(values)
-    dims = np.flatnonzero(query)
-    lists = [order[:, d] if query[d] < 0 else order[::-1, d] for d in dims]
-    weights = query[dims]
-    mine = ids == own
-    seen, rows, scores, depth, step = mine.copy(), np.zeros(0, np.int64), np.zeros(0, query.dtype), 0, STEP
-    if not len(dims):  # every score is 0
-        rows = np.flatnonzero(~mine)
-        return rows[np.argsort(ids[rows], kind="stable")[:k]].tolist()
-    while depth < n:
-        to = min(n, depth + step)
-        met = np.zeros(n, bool)
-        for x in lists:
-            met[x[depth:to]] = True
-        new = np.flatnonzero(met & ~seen)
-        seen |= met
-        rows = np.concatenate([rows, new])
-        scores = np.concatenate([scores, values[new] @ query])
-        if len(rows) > k:
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = scores >= kth
-            rows, scores = rows[keep], scores[keep]
-            bound = sum(w * values[x[to - 1], d] for w, x, d in zip(weights, lists, dims))
-            if kth > bound:  # an unseen row with an equal score could have a smaller id
-                break
-        depth, step = to, 2 * step
-    return rows[np.lexsort((ids[rows], -scores))[:k]].tolist()
+class Lists:
+    """A block of vectors with every dimension's rows sorted by value, read from either end."""
+
+    def __init__(self, values: np.ndarray, ids: np.ndarray):
+        self.values, self.ids, self.n = values, ids, len(values)
+        rows = np.argsort(values, 0, kind="stable")
+        self.sorted = np.take_along_axis(values, rows, 0)
+        place = np.empty(rows.shape[::-1], np.int32)
+        np.put_along_axis(place, rows.T, np.arange(self.n, dtype=np.int32)[None, :], 1)
+        self.up, self.down = place, self.n - 1 - place  # by dimension: each row's place in its list, from either end
+
+    def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return (self.values @ query)[rows] if 3 * len(rows) > self.n else self.values[rows] @ query
+
+    def top(self, query: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Rows of the k best for one query, by the threshold algorithm."""
+        n, up, down = self.n, np.flatnonzero(query < 0), np.flatnonzero(query > 0)
+        seen = self.ids == own
+        if not len(up) and not len(down):  # every score is 0
+            rows = np.flatnonzero(~seen)
+            return rows[np.argsort(self.ids[rows], kind="stable")[:k]]
+        first = np.full(n, n, np.int32)  # the depth at which reading the lists in step meets a row
+        for lists, dims in ((self.up, up), (self.down, down)):
+            for d in dims:
+                np.minimum(first, lists[d], out=first)
+        first[seen] = n
+        rows, scores, depth, step = np.zeros(0, np.int64), np.zeros(0, query.dtype), 0, max(STEP, n // 16)
+        while depth < n:
+            to = min(n, depth + step)
+            new = np.flatnonzero((first >= depth) & (first < to))
+            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, self._scores(new, query)])
+            if len(rows) > k:
+                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+                keep = scores >= kth
+                rows, scores = rows[keep], scores[keep]
+                bound = self.sorted[to - 1, up] @ query[up] + self.sorted[n - to, down] @ query[down]
+                if kth > bound:  # an unseen row with an equal score could have a smaller id
+                    break
+            depth, step = to, 2 * step
+        return rows[np.lexsort((self.ids[rows], -scores))[:k]]
 
 
 def _answer(k: int):
@@ -97,11 +108,15 @@ def _answer(k: int):
                 v = v if r["dim"] else np.zeros((len(ids), 0), np.int64)
                 q = q if r["dim"] else np.zeros((len(asked), 0), np.int64)
                 most = [float(np.abs(x.astype(np.float64)).max()) if x.size else 0.0 for x in (v, q)]
-                exact = np.float64 if most[0] * most[1] * r["dim"] < 2**53 else np.int64
-                v, q, order = v.astype(exact), q.astype(exact), np.argsort(v, 0, kind="stable")
+                size = most[0] * most[1] * r["dim"]  # sums under 2^24 are exact in float32, under 2^53 in float64
+                exact = np.float32 if size < 2**24 else np.float64 if size < 2**53 else np.int64
+                v, q = v.astype(exact), q.astype(exact)
+                lists, best = Lists(v, ids), []
                 for one, i in zip(q, asked):
-                    best = threshold_top(v, order, ids, one, i, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), i)), pa.array(ids[best]), pa.array((v[best] @ one).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                    best.append(lists.top(one, i, k))
+                scores = [v[x] @ one for x, one in zip(best, q)]
+                cols = np.repeat(asked, [len(x) for x in best]), ids[np.concatenate(best)], np.concatenate(scores).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
