@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-VECTORS, QUERIES, STEP = 8192, 512, 64
+VECTORS, QUERIES, STEP = 16384, 512, 64
 
 
 def scaled(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
