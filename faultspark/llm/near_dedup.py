@@ -7,9 +7,9 @@
 3. Candidates are compared one batch of the signature at a time. With a uniform prior the similarity
    after m matches in n is Beta(m+1, n-m+1); a pair is dropped once the chance that its similarity
    reaches the threshold is below `miss`. Survivors are verified exactly on the full sets.
-4. Components of the verified links. Buckets that still hold several components are then
-   compared in blocks, pairs of different components only, so no banded link between components is lost;
-   again signatures first, sets for the survivors. Components are taken once more.
+4. Components of the verified links. Buckets that still hold several components form clusters, which are
+   compared in blocks, banded pairs of different components only, again signatures first and full sets
+   for the survivors, in one task of two blocks; a link is given once for two groups. Components are taken once more.
 
 Every banded pair is either tested or already known to be in one component. With 32 bands of 4 rows a
 pair of similarity 0.8 misses all bands with probability 5e-8.
@@ -150,21 +150,32 @@ def _pruned(steps):
     return run
 
 
-def _blockwise(steps):
+def _blockwise(steps, percent: int):
+    """Links between different components of two blocks, tested in full there; of each pair of local groups one link is enough."""
+
     def run(key, t):
         rep, comp, side = (t.column(c).to_numpy() for c in ("rep", "comp", "side"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+        bands = sig.reshape(len(sig), BANDS, ROWS)
+        own = t.column("own").combine_chunks()
+        flat, off = own.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))])
+        sets = [flat[a:b] for a, b in zip(off, off[1:])]
         same_block = key[1].as_py() == key[2].as_py()
         left = np.arange(len(rep)) if same_block else np.flatnonzero(side == 0)
         right = left if same_block else np.flatnonzero(side == 1)
-        a, b = [], []
+        group, a, b = comp.copy(), [], []
         for i in left:
-            others = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) if same_block else True)]
-            keep = others[surviving(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], steps)]
-            a.append(np.minimum(rep[i], rep[keep]))
-            b.append(np.maximum(rep[i], rep[keep]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(a), pa.int64()), "b": pa.array(cat(b), pa.int64())})
+            others = right[(group[right] != group[i]) & ((rep[right] > rep[i]) if same_block else True)]
+            others = others[(bands[others] == bands[i]).all(2).any(1)] if len(others) else others
+            others = others[surviving(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], steps)]
+            for j in others[np.argsort(-(sig[others] == sig[i]).sum(1), kind="stable")]:
+                if group[j] != group[i]:
+                    n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                        group[group == group[j]] = group[i]
+                        a.append(min(rep[i], rep[j]))
+                        b.append(max(rep[i], rep[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -184,8 +195,8 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("id", "component")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id and own (the full set) of the documents with these doc_ids, written once."""
 
     def run(batches):
         own = Shingler(size)
@@ -193,13 +204,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             sets = [s.astype(np.int64) for s in own.sets(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "own"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, own array<long>"), "sets")
+    return staged(docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(run, "id long, own array<long>"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, size)
     left, right = (sets.select(F.col("id").alias(x), F.col("own").alias(f"set_{x}")) for x in "ab")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct()
 
 
+def _between_components(shared: DataFrame, found: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, percent: int, steps) -> DataFrame:
+    """Links between components that meet in buckets of three and more, where pivots alone don't settle all pairs.
+
+    Open buckets that share members form clusters. A cluster's members outside its largest component are dealt into blocks, and
+    every such block meets every block of the cluster; a task holds two blocks with their sets.
+    """
+    member = shared.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "pivot", F.coalesce("component", "rep").alias("comp"))
+    member = staged(member, "members")
+    open_ = staged(member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band"), "open")
+    still = staged(member.join(open_, "band").select("rep", "pivot", "comp").distinct(), "still")
+    clusters = components(still.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    placed = staged(still.select("rep", "comp").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep"), "placed")
+    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_all > n_main")
+    main = staged(main.select("cluster", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("m"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("r")), "main")
+    ids = placed.join(main.select("cluster"), "cluster", "left_semi").select(F.col("rep").alias("doc_id"))
+    rest = placed.join(main, "cluster").withColumn("is_main", F.col("comp") == F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    rest = rest.withColumn("mine", F.when(F.col("is_main"), F.col("r") + block("m")).otherwise(block("r")))
+    rest = rest.join(sigs, "rep").join(_sets(ids, docs, size).withColumnRenamed("id", "rep"), "rep")
+    others = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("r") - 1).otherwise(F.col("r") + F.col("m") - 1))
+    dealt = rest.withColumn("other", F.explode(others)).select(
+        "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "comp", "sig", "own"
+    )
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(_blockwise(steps, percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -219,19 +261,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
     links = staged(_verified(pairs, docs, shingle, percent), "links")
     found = components(links)
 
-    # buckets of three and more that still hold several components
-    member = shared.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    member = staged(member, "members")
-    open_ = staged(member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band"), "open")
-    n_blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rest = member.join(open_, "band").join(sigs, "rep").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "comp", "sig"
-    )
-    more = dealt.groupBy("band", "i", "j").applyInArrow(_blockwise(steps), "a long, b long").distinct()
-    more = staged(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    more = staged(_between_components(shared, found, sigs, docs, shingle, percent, steps), "more")
     if not more.isEmpty():
-        found = components(links.union(_verified(more, docs, shingle, percent)))
+        found = components(links.union(more))
     of_class = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     of_class = staged(of_class, "components")
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
