@@ -204,7 +204,7 @@ def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             sets = [s.astype(np.int64) for s in own.sets(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "own"])
 
-    return staged(docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(run, "id long, own array<long>"), "sets")
+    return staged(docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(run, "id long, own array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -221,12 +221,14 @@ def _between_components(shared: DataFrame, found: DataFrame, sigs: DataFrame, do
     Open buckets that share members form clusters. A cluster's members outside its largest component are dealt into blocks, and
     every such block meets every block of the cluster; a task holds two blocks with their sets.
     """
-    member = shared.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "pivot", F.coalesce("component", "rep").alias("comp"))
+    member = shared.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     member = staged(member, "members")
-    open_ = staged(member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band"), "open")
-    still = staged(member.join(open_, "band").select("rep", "pivot", "comp").distinct(), "still")
-    clusters = components(still.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-    placed = staged(still.select("rep", "comp").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep"), "placed")
+    buckets = member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "rep").alias("hub"))
+    open_ = staged(buckets.where("low != high").select("band", "hub"), "open")
+    still = staged(member.join(open_, "band").select("rep", "comp", "hub").distinct(), "still")
+    meet = staged(still.where("comp != hub").select(F.col("comp").alias("a"), F.col("hub").alias("b")).distinct(), "meet")
+    clusters = components(meet).select(F.col("id").alias("comp"), F.col("component").alias("cluster"))
+    placed = staged(still.select("rep", "comp").distinct().join(clusters, "comp").select("rep", "comp", "cluster"), "placed")
     sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_all > n_main")
     main = staged(main.select("cluster", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("m"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("r")), "main")
