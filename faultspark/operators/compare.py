@@ -31,7 +31,7 @@ def p_superiority_ci(h: DataFrame, n: DataFrame, keys: list[str], *, resamples:
     side = _both(h, n, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("is_n") == 0, F.col("value")))).alias("hs"), F.array_sort(F.collect_list(F.when(F.col("is_n") == 1, F.col("value")))).alias("ns"))
     blocks = side.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // block) - 1)))).withColumn("_seed", F.xxhash64(F.lit(seed), *keys, "_b")).repartition(*keys, "_b")
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<double>")  # made on the driver, when called
     def draws(hs: pd.Series, ns: pd.Series, seeds: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y, s, k in zip(hs, ns, seeds, b):
