@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite
 from ..operators import compare, ecdf, faults, grid, kde, lookup, sampling, spatial
 from ..sources import adapters as A
+from . import geometry_queries as G
 from . import workloads as W
 
 X = [5.0 * k for k in range(21)]
@@ -40,7 +41,7 @@ QUERIES = {
     "compare_grids": lambda s, d: grid.compare_grids(A.grid(s, d), A.ensemble(s, d)),
     "validate_grid": lambda s, d: grid.validate_grid(A.grid(s, d).select("grid_id", "lat", "lon", "value")).select("grid_id", "lat_idx", "lon_idx"),
     "lookup_grid": lambda s, d: _r(lookup.lookup_grid(_points(s, d), grid.with_nan_to_zero(A.grid(s, d))), "value", "lon", "lat"),
-    "lookup_many": lambda s, d: lookup.lookup_many(_points(s, d), A.ensemble(s, d)),
+    "lookup_many": lambda s, d: _r(lookup.lookup_many(_points(s, d), A.ensemble(s, d)).where(finite(F.col("value"))), "value", "lon", "lat"),
     "ecdf_on_grid": lambda s, d: _r(ecdf.ecdf_on_grid(A.values(s, d), "value", X, ["k"], weight="weight"), "cdf"),
     "cdf_per_columns": lambda s, d: _r(ecdf.cdf_per_columns(A.wide(s, d), XE, array="embedding"), "cdf", "x"),
     "cdf_chunked": lambda s, d: _r(ecdf.cdf_chunked(A.values(s, d), "value", X, ["k"]), "cdf"),
@@ -49,10 +50,10 @@ QUERIES = {
     "effective_n": lambda s, d: _r(kde.effective_n(A.values(s, d), ["k"], "weight"), "n_eff"),
     "p_superiority": lambda s, d: _r(compare.p_superiority(*_hn(s, d), ["k"]), "p_gt"),
     "p_superiority_ci": lambda s, d: compare.p_superiority_ci(*_hn(s, d), ["k"], resamples=200),
-    "kde_pdf": lambda s, d: kde.kde_pdf(A.values(s, d), ["value"], [(v,) for v in X], weight="weight"),
-    "pdf_cdf": lambda s, d: kde.pdf_cdf(A.values(s, d), "value", X),
+    "kde_pdf": lambda s, d: _r(kde.kde_pdf(A.values(s, d), ["value"], [(v,) for v in X], weight="weight"), "pdf"),
+    "pdf_cdf": lambda s, d: _r(kde.pdf_cdf(A.values(s, d), "value", X), "pdf", "cdf"),
     "sample_uniform": lambda s, d: sampling.sample_uniform(A.subfaults(s, d), 500, rng="md5"),
-    "sample_grid": lambda s, d: sampling.sample_grid(A.grid(s, d), 2000),
+    "sample_grid": lambda s, d: _r(sampling.sample_grid(A.grid(s, d), 2000, rng="md5"), "lon", "lat", "value"),
     "sample_polygons": lambda s, d: sampling.sample_polygons(A.boxes(s, d).select(F.col("seg_order").alias("poly_id"), "ring", F.lit(100).alias("n")), "n"),
     "segment_angles": lambda s, d: spatial.segment_angles(A.places(s, d), A.boxes(s, d), identity=["point_id"], x="x", y="y", strict=False).select("point_id", "strike", "dip"),
     "grid_scatter": lambda s, d: spatial.grid_scatter(A.places(s, d), ["key"], 20, 20),
@@ -60,7 +61,7 @@ QUERIES = {
     "kappa_convergence": lambda s, d: W.kappa_convergence(A.subfaults(s, d), A.grid(s, d), [5.0, 15.0, 30.0], 60.0)[1],
     "null_model_geodesic": lambda s, d: W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), n_null=3, max_tries=6, min_finite=0.5, kappa=5.0),
     "null_model_planar": lambda s, d: W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), n_null=3, max_tries=6, min_finite=0.5, kappa=5.0, mode="planar"),
-}
+} | G.QUERIES
 
 _SUB = """(SELECT o_custkey % 61 AS event_id, o_orderkey AS subfault_id, o_totalprice / 125000.0 AS slip, -72 + (o_orderkey % 97) * 3e-2 AS lon, -30 + (o_orderkey % 211) * 5e-2 AS lat,
  CAST(o_orderkey % 13 AS DOUBLE) AS trup, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 5 AS DOUBLE) END AS rise FROM orders)"""
@@ -98,4 +99,4 @@ SELECT k, round(any_value(m), 9) AS mean_value, round(sum(weight * (value - m) *
     "p_superiority": f"""WITH v AS (SELECT * FROM {_VAL} WHERE value IS NOT NULL)
 SELECT h.k AS k, round(sum(CASE WHEN n.value <= h.value THEN 1e0 ELSE 0e0 END) / count(*), 9) AS p_gt, CAST((SELECT count(*) FROM v WHERE v.k = h.k AND weight < 2) AS BIGINT) AS n_h, CAST((SELECT count(*) FROM v WHERE v.k = h.k AND weight >= 2) AS BIGINT) AS n_n
 FROM v h JOIN v n ON h.k = n.k AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k""",
-}
+} | G.ORACLE_SQL

@@ -1,4 +1,4 @@
-"""The test tables seen as ruptures, grids, values and polygons; the same arithmetic is in plans/oracles.py as SQL."""
+"""The test tables seen as ruptures, grids, values and polygons; the queries' SQL has the same arithmetic."""
 
 from __future__ import annotations
 
@@ -66,3 +66,24 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return read(spark, sf_dir, "customer").select(k.alias("point_id"), ((k * 7919) % 1009 / 101.0).alias("x"), ((k * 104729) % 1013 / 101.3).alias("y"), F.col("c_acctbal").alias("v"), F.col("c_nationkey").alias("key"))
+
+
+def transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rotation and shift by nation, about the middle of the grid."""
+    k = F.col("n_nationkey")
+    return read(spark, sf_dir, "nation").select(k.alias("transform_id"), (k * 15.0).alias("angle_deg"), (k * 0.02).alias("dx"), (k * -0.03).alias("dy"), F.lit(-70.5).alias("px"), F.lit(-25.0).alias("py"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A boundary line by region through its nations."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    kind = F.when(r % 2 == 0, "Subduction").otherwise("ridge")
+    return read(spark, sf_dir, "nation").select(r.alias("line_id"), r.cast("string").alias("name"), kind.alias("type"), k.alias("seq"), (-73 + (k * 7) % 25 / 5.0).alias("lon"), (-31 + (k * 11) % 25 / 2.0).alias("lat"))
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A right triangle by nation."""
+    k = F.col("n_nationkey")
+    x, y = (k % 5) * 2.0, F.floor(k / 5) * 2.0
+    at = {"x1": x, "y1": y, "x2": x + 2, "y2": y, "x3": x, "y3": y + 2}
+    return read(spark, sf_dir, "nation").select(k.alias("tri_id"), *(c.alias(n) for n, c in at.items()), (k + 1.0).alias("value"))
