@@ -47,21 +47,6 @@ def _closest(s, d):
     return _r(spatial.closest_subfault(points, flat(A.subfaults(s, d)), keys=["event_id"], identity=["point_id"]), "distance_km", places=6)
 
 
-def _patches(s, d):
-    return faults.subfault_polygons(faults.subfault_corners(faults.project(A.subfaults(s, d), ["event_id"])))
-
-
-def _epicentre_rows(s, d):
-    """Subfaults at the place of the greatest slip of each event."""
-    at = A.subfaults(s, d).groupBy("event_id").agg(F.max_by(F.struct("lon", "lat"), F.struct("slip", "subfault_id")).alias("p")).select("event_id", F.col("p.lon").alias("long"), F.col("p.lat").alias("lat"))
-    return spatial.find_epicenter_subfault(at, _patches(s, d))
-
-
-def _epicentre_samples(s, d):
-    plain = A.subfaults(s, d).columns
-    return sampling.sample_epicenter(_epicentre_rows(s, d).select(*plain), 500.0)
-
-
 def _level_comparison(s, d):
     v = A.values(s, d)
     of = lambda rows: ecdf.ecdf_on_grid(rows, "value", X, ["k", "weight"])
@@ -81,9 +66,6 @@ QUERIES = {
     "rotate_translate": _rotated,
     "lookup_transformed": lambda s, d: _r(lookup.lookup_transformed(_moved_points(s, d), grid.with_nan_to_zero(A.grid(s, d)), A.transforms(s, d)).select("point_id", "value"), "value"),
     "closest_subfault": _closest,
-    "subfault_polygons": lambda s, d: _patches(s, d).select("event_id", "segment_id", "subfault_id", F.posexplode("polygon").alias("corner", "p")).select("event_id", "segment_id", "subfault_id", "corner", "p.lon", "p.lat"),
-    "find_epicenter_subfault": lambda s, d: _epicentre_rows(s, d).select("event_id", "segment_id", "subfault_id"),
-    "sample_epicenter": _epicentre_samples,
     "sample_surface_projection": lambda s, d: sampling.sample_surface_projection(A.grid(s, d), 10000.0, 1.0, 1.0),
     "random_order_take": lambda s, d: sampling.random_order_take(A.subfaults(s, d).select("event_id", "subfault_id"), 5, ["event_id"], ["subfault_id"], rng="md5"),
     "normalize_time": _relative_time,
