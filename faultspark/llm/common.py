@@ -66,7 +66,7 @@ def crc_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def blocks(column: pa.Array, most_bytes: int = 6 << 20):
+def blocks(column: pa.Array, most_bytes: int = 2 << 20):
     """Slices (start, texts) of a text column with about most_bytes each, nulls as empty texts."""
     texts = pc.fill_null(column, "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -98,7 +98,7 @@ class WordMemo:
     Natural text repeats its words, so the costly work on a word is done a few times a worker only.
     """
 
-    def __init__(self, work: Callable[[list[str]], np.ndarray], most: int = 500_000):
+    def __init__(self, work: Callable[[list[str]], np.ndarray], most: int = 100_000):
         self.work, self.most = work, most
         self.at: dict[str, int] = {}
         self.rows: np.ndarray | None = None

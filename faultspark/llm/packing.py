@@ -40,20 +40,20 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, *, w
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches):
-        own = encoder(path)
-        for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                out = defaultdict(list)
-                for d, c in zip(b.column("doc_id").slice(k, 2048).to_pylist(), own.encode(b.column("text").slice(k, 2048))):
-                    ids = np.frombuffer(c, own.dtype)
-                    for p, x in enumerate(range(0, len(ids), size)):
-                        cut = ids[x : x + size]
-                        for name, v in (("doc_id", d), ("piece", p), ("start", x), ("length", len(cut)), ("ids_crc32", crc_ids(cut))):
-                            out[name].append(v)
-                        if with_ids:
-                            out["ids"].append(cut.tolist())
-                kinds = {"piece": pa.int32()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.list_(pa.int64()) if n == "ids" else pa.int64())) for n, v in out.items()], names=list(out))
+        with encoder(path) as own:
+            for b in batches:
+                for k in range(0, b.num_rows, 2048):
+                    out = defaultdict(list)
+                    for d, c in zip(b.column("doc_id").slice(k, 2048).to_pylist(), own.encode(b.column("text").slice(k, 2048))):
+                        ids = np.frombuffer(c, own.dtype)
+                        for p, x in enumerate(range(0, len(ids), size)):
+                            cut = ids[x : x + size]
+                            for name, v in (("doc_id", d), ("piece", p), ("start", x), ("length", len(cut)), ("ids_crc32", crc_ids(cut))):
+                                out[name].append(v)
+                            if with_ids:
+                                out["ids"].append(cut.tolist())
+                    kinds = {"piece": pa.int32()}
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.list_(pa.int64()) if n == "ids" else pa.int64())) for n, v in out.items()], names=list(out))
 
     return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)
 

@@ -17,6 +17,7 @@ import json
 import os
 import re
 import uuid
+from contextlib import contextmanager
 from itertools import filterfalse
 
 import numpy as np
@@ -50,6 +51,12 @@ class Encoder:
         self.end = np.array([END], self.dtype).tobytes()
         self.most, self.new, self.old = most, {}, {}
 
+    def trim(self, keep: int = 50_000) -> None:
+        """Forgets the words if there are more than `keep`, and gives free memory back."""
+        if len(self.new) + len(self.old) > keep:
+            self.new, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def _known(self, words: list[str]) -> list[str]:
         """Takes over what the older generation has; returns what neither has."""
         missing = []
@@ -90,12 +97,16 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for the file."""
+@contextmanager
+def encoder(path: str):
+    """This worker's encoder for the file, for one task; many words are not held beyond it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    try:
+        yield _ENCODERS[path]
+    finally:
+        _ENCODERS[path].trim()
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -129,11 +140,10 @@ def write_tokens(docs: DataFrame, out: str, *, tokenizer: str | None = None, sha
         from pyspark import TaskContext
 
         fs, at = _fs(out)
-        own = encoder(path)
         name = f"shard-{TaskContext.get().partitionId():06d}"
         doc, lengths = [], []
 
-        def ids():
+        def ids(own):
             for b in batches:
                 doc.append(b.column("doc_id").fill_null(NO_DOC).to_numpy(zero_copy_only=False))
                 for k in range(0, b.num_rows, 2048):
@@ -141,7 +151,8 @@ def write_tokens(docs: DataFrame, out: str, *, tokenizer: str | None = None, sha
                     lengths.extend(len(c) // own.dtype.itemsize for c in coded)
                     yield b"".join(coded)
 
-        _put(fs, f"{at}/{name}.ids", ids())
+        with encoder(path) as own:
+            _put(fs, f"{at}/{name}.ids", ids(own))
         if not lengths:
             fs.delete_file(f"{at}/{name}.ids")
             return

@@ -143,7 +143,7 @@ class ToxicityModel:
         return np.stack([np.add.reduceat(logits, np.concatenate([[0], np.cumsum(n)[:-1]])), n], 1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        self._memo = self._memo or WordMemo(self._work)
+        self._memo = self._memo or WordMemo(self._work, 500_000)
         off, codes, words = words_of(texts)
         rows = np.concatenate([np.zeros((1, 2)), np.cumsum(self._memo.of(words.to_pylist())[codes], 0)])
         total, n = (rows[off[1:]] - rows[off[:-1]]).T
