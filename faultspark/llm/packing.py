@@ -31,6 +31,7 @@ SIZE = 4096
 CLASSES = 128
 FEW = 4
 PARTS = (1.0, 0.75, 0.5, 0.25)  # of the fitted repeats that are kept; the plan with the fewest sequences wins
+KEPT_WORDS = 50_000  # that a worker remembers from one task to the next
 MOST_RUNS = 4_000_000  # 40 bytes each; the histogram keeps plans far below it
 
 
@@ -40,7 +41,7 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, *, w
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches):
-        with encoder(path) as own:
+        with encoder(path, KEPT_WORDS) as own:
             for b in batches:
                 for k in range(0, b.num_rows, 2048):
                     out = defaultdict(list)

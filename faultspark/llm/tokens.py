@@ -51,7 +51,7 @@ class Encoder:
         self.end = np.array([END], self.dtype).tobytes()
         self.most, self.new, self.old = most, {}, {}
 
-    def trim(self, keep: int = 50_000) -> None:
+    def trim(self, keep: int) -> None:
         """Forgets the words if there are more than `keep`, and gives free memory back."""
         if len(self.new) + len(self.old) > keep:
             self.new, self.old = {}, {}
@@ -98,15 +98,16 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 @contextmanager
-def encoder(path: str):
-    """This worker's encoder for the file, for one task; many words are not held beyond it."""
+def encoder(path: str, keep: int | None = None):
+    """This worker's encoder for the file, for one task; if it has more than `keep` words, it forgets them after it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     try:
         yield _ENCODERS[path]
     finally:
-        _ENCODERS[path].trim()
+        if keep is not None:
+            _ENCODERS[path].trim(keep)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
