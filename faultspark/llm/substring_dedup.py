@@ -1,18 +1,20 @@
-"""Substring deduplication by hashing lines and sentences.
-
-Units end at line breaks and at sentence ends, and begin at capitalised words; a unit of fewer
-than MIN_UNIT_WORDS words takes in the next one. A unit's digest is that of its lower-cased words. Digests are
-grouped over the whole corpus; of each, the occurrence ranked first (doc_id, row, unit) stays. Runs of
-neighbouring units that are later occurrences are removed where a run has at least min_words words, so
-chance repeats of short sentences stay. Spans are code point offsets into the original text.
-
-Cases: null or empty text has no units; null doc_ids rank last and come back as null; repeated rows
-and repeated doc_ids count as later copies, told apart by their row; an empty table gives no spans.
+"""Substring deduplication by hashing pairs of content-defined units.
+
+A word starts a unit where its rank is the least of the REACH words on either side: starts of lines and sentences rank before
+capitalised words, those before all others, and within a class the hash of the word and the AHEAD next decides. So the cuts
+inside a passage depend on its own words only, but for REACH words at its start and REACH + AHEAD at its end, and equal
+passages have equal units wherever they stand. Pairs of neighbouring units are compared by the digest of their lower-cased
+words over the whole corpus; of each, the occurrence ranked first (doc_id, row, unit) stays, and so the first occurrence
+of every unit. Runs of neighbouring pairs that are later occurrences are removed where a run has at least min_words words,
+so chance repeats of phrases stay. Spans are code point offsets into the original text.
+
+Cases: null or empty text has no units; a text of one unit is compared as it is; null doc_ids rank last and come back as null;
+repeated rows and repeated doc_ids count as later copies, told apart by their row; an empty table gives no spans.
 """
 
 from __future__ import annotations
 
-import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -20,62 +22,115 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread, staged
+from .common import WordMemo, blocks, spread, staged
 
-BREAK = re.compile(r"\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-ÿ\s])|\s*\n\s*|(?<=[.!?])\s+")
-MIN_UNIT_WORDS = 3
+REACH, AHEAD = 3, 2
 MIN_WORDS = 15
-
-
-def units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """start, end, words and digest of each unit of a text."""
-    out, start = [], 0
-    cuts = [m.span() for m in BREAK.finditer(text)]
-    cuts.append((len(text), len(text)))
-    for stop, after in cuts:
-        words = text[start:stop].lower().split()
-        if not words and stop < len(text):
-            start = after
-        elif words and (len(words) >= MIN_UNIT_WORDS or stop == len(text)):
-            out.append((start, stop, len(words), xxhash.xxh3_128_digest(" ".join(words))))
-            start = after
-    return out
+_SPACES = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isspace()], np.uint32)
+_P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_INVERSE = np.array([pow(int(p), -1, 1 << 64) for p in _P], np.uint64)
+
+
+def _digests(words: list[str]) -> np.ndarray:
+    """Two hashes of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+
+
+def _powers(p: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, p, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Units:
+    """Units of texts and the digests of their pairs."""
+
+    def __init__(self):
+        self.memo = WordMemo(_digests)
+
+    def pairs(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """text, unit, start, end, words of the unit, words of the next one, two digests: of each pair, or a text's only unit."""
+        whole = "\n".join(texts)
+        at = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.concatenate([[False], ~np.isin(points, _SPACES), [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edges[::2], edges[1::2]
+        n = len(begin)
+        if not n:
+            return (np.zeros(0, np.int64),) * 8
+        hashes = self.memo.of(whole.lower().split())
+        text = np.searchsorted(at, begin, "right") - 1
+        opens = np.ones(n, bool)
+        opens[1:] = text[1:] != text[:-1]
+        rank = self._ranks(points, begin, end, text, hashes[:, 0])
+        cut = np.ones(n, bool)
+        for k in range(1, REACH + 1):
+            same = text[k:] == text[:-k]
+            cut[k:] &= ~same | (rank[k:] <= rank[:-k])
+            cut[:-k] &= ~same | (rank[:-k] <= rank[k:])
+        first = np.flatnonzero(cut | opens)
+        stop = np.append(first[1:], n)
+        of = text[first]
+        paired = np.append(of[1:] == of[:-1], False)
+        alone = opens[first] & ~paired
+        own = np.flatnonzero(paired | alone)
+        last = np.where(paired, np.append(stop[1:], n), stop)[own]
+        head, unit = first[own], np.arange(len(first)) - np.searchsorted(of, of)
+        both = []
+        for k in range(2):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[:, k] * _powers(_P[k], n), dtype=np.uint64)])
+            h = (sums[last] - sums[head]) * _powers(_INVERSE[k], n)[head]
+            both.append((h ^ (last - head).astype(np.uint64)).astype(np.int64))
+        words = stop - first
+        return of[own], unit[own], begin[head] - at[of[own]], end[last - 1] - at[of[own]], words[own], last - stop[own], *both
+
+    @staticmethod
+    def _ranks(points: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndarray, h: np.ndarray) -> np.ndarray:
+        ahead = h.copy()
+        for k in range(1, AHEAD + 1):
+            ahead *= _P[0]
+            ahead[:-k] += np.where(text[k:] == text[:-k], h[k:], np.uint64(0))
+        ahead = (ahead ^ (ahead >> np.uint64(29))) * _P[1]
+        ahead ^= ahead >> np.uint64(32)
+        lines = np.concatenate([[0], np.cumsum(points == 10)])
+        starts = np.ones(len(begin), bool)
+        starts[1:] = (lines[begin[1:]] > lines[end[:-1]]) | np.isin(points[end[:-1] - 1], (33, 46, 63))
+        c, d = points[begin], points[np.minimum(begin + 1, len(points) - 1)]
+        latin = lambda x, a, b, low, high, but: (x >= a) & (x <= b) | (x >= low) & (x <= high) & (x != but)
+        capital = latin(c, 65, 90, 0xC0, 0xDE, 0xD7) & (latin(d, 97, 122, 0xDF, 0xFF, 0xF7) | (end - begin == 1))
+        return np.where(starts, 0, np.where(capital, 1, 2)).astype(np.uint64) << np.uint64(62) | ahead >> np.uint64(2)
 
 
 def _unit_rows(batches):
     from pyspark import TaskContext
 
-    row = TaskContext.get().partitionId() << 33
+    row, own = TaskContext.get().partitionId() << 33, Units()
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for b in batches:
-        for k in range(0, b.num_rows, 512):
-            cols: list[list] = [[], [], [], [], [], []]
-            digests = []
-            for d, t in zip(b.column("doc_id").slice(k, 512).to_pylist(), b.column("text").slice(k, 512).to_pylist()):
-                row += 1
-                own = units(t or "")
-                for x, v in zip(cols, ([d] * len(own), [row] * len(own), range(len(own)), [u[0] for u in own], [u[1] for u in own], [u[2] for u in own])):
-                    x.extend(v)
-                digests += [u[3] for u in own]
-            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "row", "unit", "start", "end", "words", "d1", "d2"])
+        for k, texts in blocks(b.column("text")):
+            of, *cols = own.pairs(texts.to_pylist())
+            ids = b.column("doc_id").slice(k, len(texts)).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip((row + of, *cols), kinds[1:]))], names=["doc_id", "row", "unit", "start", "end", "words", "more", "d1", "d2"])
+            row += len(texts)
 
 
 def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """Spans to remove from docs (doc_id, text): doc_id, row, start, end, n_words, n_units, kept_doc_id, kept_doc_ids.
 
-    kept_doc_id has the first occurrence of the span's first unit, kept_doc_ids those of all its units.
+    kept_doc_id has the first occurrence of the span's first pair of units, kept_doc_ids those of all its pairs.
     """
-    found = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(_unit_rows, "doc_id long, row long, unit int, start int, end int, words int, d1 long, d2 long")
+    found = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(_unit_rows, "doc_id long, row long, unit int, start int, end int, words int, more int, d1 long, d2 long")
     found = staged(found, "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "unit")
     first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     first = staged(first, "firsts")
     later = found.join(first, ["d1", "d2"]).where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
-    later = later.select("doc_id", "row", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept"))
+    later = later.select("doc_id", "row", "unit", "start", "end", "words", "more", F.col("first.doc_id").alias("kept"))
     run = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
     spans = later.withColumn("run", run).groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"),
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("words") + F.max_by("more", "unit")).alias("n_words"),
+        (F.count("*") + F.max_by((F.col("more") > 0).cast("int"), "unit")).alias("n_units"),
         F.min_by("kept", "unit").alias("kept_doc_id"), F.array_sort(F.collect_set("kept")).alias("kept_doc_ids"),
     )
     return spans.where(F.col("n_words") >= min_words).select("doc_id", "row", "start", "end", "n_words", "n_units", "kept_doc_id", "kept_doc_ids")

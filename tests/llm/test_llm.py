@@ -90,6 +90,30 @@ def test_repeated_spans(docs):
     assert {r.doc_id: len(r.text) for r in left.collect()}[2] == 0
 
 
+def test_repeated_spans_equal_shared_windows(spark):
+    rng = np.random.default_rng(5)
+    word = lambda lo, hi: f"w{rng.integers(lo, hi)}"
+    low, names, greek = ([w(k) for k in rng.integers(0, 3000, 80)] for w in (lambda k: f"p{k}", lambda k: f"Na{'abcdefgh'[k % 8]}{'xyz'[k % 3]}{'ijklmnop'[k // 400]}", lambda k: "αβγδεζηθ"[k % 8] * 2 + "κλμνξοπρ"[k // 400] + "στυφχψω"[k % 7]))
+    rows = []
+    for k, passage in enumerate((low, names, greek)):
+        for c in range(6):  # other surroundings, other lengths before it
+            rows.append((k * 6 + c, " ".join([*(word(0, 9999) for _ in range(20 + c)), *passage, *(word(0, 9999) for _ in range(25))])))
+    rows += [(50, " ".join(word(0, 9999) for _ in range(300))), (51, "ha " * 90), (52, None), (53, " \n "), (54, "Mixed:\u00a0" + "ha " * 70)]
+    seen, want = {}, set()
+    for d, t in rows:  # brute force: windows of 50 words seen in an earlier document
+        w = (t or "").lower().split()
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), d) != d:
+                want.add(d)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.repeated_spans(df).collect()
+    assert want == {*range(1, 6), *range(7, 12), *range(13, 18), 54} and {r.doc_id for r in got} == want | {51}  # 51 repeats itself
+    text_of = dict(rows)
+    for r in got:
+        cut = text_of[r.doc_id][r.start : r.end]
+        assert len(cut.split()) == r.n_words and (r.doc_id > 50 or set(cut.split()) <= {*low, *names, *greek} and r.n_words >= 50)
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><article><h1>A &amp; B</h1><p>So.<p>More <b>te</b>xt</article><div class='comments'><p>I like it a lot</div><footer>f"
     assert html_main.main_text(page) == "A & B So. More text" and html_main.main_text(None) == ""
