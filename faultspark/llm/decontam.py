@@ -1,15 +1,19 @@
-"""Benchmark decontamination by canonical templates.
+"""Benchmark decontamination by canonical templates and literal windows.
 
-Texts become token sequences in which numbers, names (capitalised words not at a sentence start) and
-units after a number are typed placeholders; case and other marks are dropped. Windows of WINDOW tokens with at least LITERALS
-ordinary words are hashed; windows of documents meet those of the benchmark in a hash join. Matches of
-a document and an item on one diagonal belong together; their slots are checked: an item's value must
-always stand for one value of the document and the other way round, so questions with new numbers or
-names are found and chance agreement of placeholders is not.
+Texts become token sequences in two ways. As a template, numbers, names (capitalised words not at a sentence start) and units
+after a number are typed placeholders, runs of one kind of placeholder are one, case and other marks are dropped; windows of
+WINDOW tokens with at least LITERALS ordinary words count. Literally, every lower-cased word stands for itself and all windows count.
+Items are read in three more or less strict ways as templates: with the sentence rule, with a first word that may be a name (the item stands inside a
+sentence), and with every capitalised word a name (sentence marks are lost). Windows of documents meet those of the benchmark in a hash join.
+
+Matches of a document and one reading of an item on diagonals less than BAND / 2 apart belong together. An item matches with NEED windows
+of a reading, or all that reading has, if these cover half of the reading's windows or if the slots agree: the item's values
+stand for one document value each and the other way round, but for a share of 1 - AGREE. So questions with new numbers or
+names are found and chance agreement of placeholders is not. Texts shorter than a window are one window of their own length; items
+under SHORTEST tokens match literally where they stand alone between sentence marks or line ends.
 
 Before the join, document windows pass a bitmap of the benchmark's hashes with a fixed size; what it lets through in
-error falls out of the join. An item matches with NEED windows, or all it has; items shorter
-than a window are one window of their own length, those under SHORTEST tokens are not looked for.
+error falls out of the join.
 
 Cases: null or empty texts have no windows; a null doc_id is reported as null; repeated rows of a document report
 once; repeated items each report under their item_id; an empty benchmark flags nothing.
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import WordMemo, blocks, spread, staged, word_codes
 
 WINDOW, LITERALS, NEED, SHORTEST = 8, 5, 6, 4
+BAND, AGREE = 16, 0.5
 BITMAP_BITS = 24
 # fixed values: units of measure that follow a number
 UNITS = frozenset(
@@ -37,6 +42,7 @@ UNITS = frozenset(
 MARK = "\x01"
 _P = np.uint64(0x9E3779B97F4A7C15)
 WORD, CAPITAL, NUMBER, UNIT, BREAK = range(5)
+LITERAL, RULE, INSIDE, STRIPPED = range(4)  # readings; documents have the first two
 _SLOT = {CAPITAL: np.uint64(0xA1), NUMBER: np.uint64(0xB2), UNIT: np.uint64(0xC3)}
 
 
@@ -51,12 +57,13 @@ def _classes(words: list[str]) -> np.ndarray:
 
 
 class Templates:
-    """Windows of texts: row, position, length, hash, and the slot values of each."""
+    """Windows of texts: reading, length, text, position, hash, and the slot values of each."""
 
-    def __init__(self, lengths: list[int]):
-        self.memo, self.lengths = WordMemo(_classes), lengths
+    def __init__(self):
+        self.memo = WordMemo(_classes)
 
     def tokens(self, texts: pa.Array):
+        """text, class, hash of each token, and whether it starts or ends a sentence."""
         t = pc.replace_substring_regex(texts, r"(\p{N})[.,](\p{N})", r"\1_\2")
         t = pc.replace_substring_regex(t, r"(\p{N})(\p{L})", r"\1 \2")
         t = pc.replace_substring_regex(t, r"[.!?:\n\r]+", f" {MARK} ")
@@ -64,41 +71,74 @@ class Templates:
         rows = self.memo.of(words.to_pylist())[codes]
         value, kind = rows[:, 0], rows[:, 1].astype(np.int8)
         doc = np.repeat(np.arange(len(texts)), np.diff(off))
-        starts = np.ones(len(kind), bool)
+        starts, ends = np.ones(len(kind), bool), np.ones(len(kind), bool)
         starts[1:] = (doc[1:] != doc[:-1]) | (kind[:-1] == BREAK)
+        ends[:-1] = (doc[1:] != doc[:-1]) | (kind[1:] == BREAK)
         numbered = np.zeros(len(kind), bool)
         numbered[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
-        kind = np.where((kind == CAPITAL) & starts | (kind == UNIT) & ~numbered, WORD, kind)
+        kind = np.where((kind == UNIT) & ~numbered, WORD, kind)
         keep = kind != BREAK
-        return doc[keep], kind[keep], value[keep]
-
-    def windows(self, texts: pa.Array):
-        doc, kind, value = self.tokens(texts)
-        shown = value.copy()
-        for k, h in _SLOT.items():
-            shown[kind == k] = h
-        first = np.searchsorted(doc, np.arange(len(texts)))
-        at = np.arange(len(doc)) - first[doc]
-        literal = np.concatenate([[0], np.cumsum(kind == WORD)])
-        for n in self.lengths:
-            if len(doc) < n:
+        return doc[keep], kind[keep], value[keep], starts[keep], ends[keep]
+
+    @staticmethod
+    def _collapsed(doc, kind, value):
+        """Runs of one kind of placeholder as one token."""
+        more = np.zeros(len(kind), bool)
+        more[1:] = (kind[1:] == kind[:-1]) & (kind[1:] != WORD) & (doc[1:] == doc[:-1])
+        if not more.any():
+            return doc, kind, value
+        first = np.flatnonzero(~more)
+        place = np.arange(len(kind)) - np.repeat(first, np.diff(np.append(first, len(kind))))
+        power = np.full(place.max() + 1, _P, np.uint64)
+        power[0] = 1
+        return doc[first], kind[first], np.add.reduceat(value * np.cumprod(power, dtype=np.uint64)[place], first)
+
+    def windows(self, texts: pa.Array, wanted: list[tuple[int, int]] | None):
+        """Windows of the wanted readings and lengths; None: all readings, each text's windows of WINDOW tokens or its one shorter window."""
+        doc0, kind0, value0, starts, ends = self.tokens(texts)
+        lengths = {r: [n for q, n in wanted if q == r] for r in (LITERAL, RULE)} if wanted is not None else dict.fromkeys(range(4), range(1, WINDOW + 1))
+        for reading, sizes in lengths.items():
+            if not sizes or not len(doc0):
                 continue
-            h = np.zeros(len(doc) - n + 1, np.uint64)
-            for k in range(n):
-                h = h * _P + shown[k : len(doc) - n + 1 + k]
-            h = (h ^ (h >> np.uint64(29))) * _P + np.uint64(n)
-            h ^= h >> np.uint64(32)
-            ok = (doc[: len(h)] == doc[n - 1 :]) & (literal[n:] - literal[:-n] >= min(LITERALS, n - 1))
-            own = np.flatnonzero(ok)
-            yield n, own, doc[own], at[own], h[own].astype(np.int64), kind, value
-
-
-def _rows(id_col: str, templates: Templates, batches, bitmap: np.ndarray | None):
-    mask = np.int64((1 << BITMAP_BITS) - 1)
+            if reading == LITERAL:
+                doc, kind, value = doc0, np.full(len(kind0), WORD, np.int8), value0
+            else:
+                plain = np.zeros(len(kind0), bool) if reading == STRIPPED else starts.copy()
+                if reading == INSIDE:
+                    plain[1:] &= doc0[1:] == doc0[:-1]
+                    plain[0] = False
+                doc, kind, value = self._collapsed(doc0, np.where((kind0 == CAPITAL) & plain, WORD, kind0), value0)
+            shown = value.copy()
+            for k, h in _SLOT.items():
+                shown[kind == k] = h
+            at = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(texts)))[doc]
+            has = np.bincount(doc, minlength=len(texts))
+            literal = np.concatenate([[0], np.cumsum(kind == WORD)])
+            for n in sizes:
+                if len(doc) < n or reading != LITERAL and n < SHORTEST:
+                    continue
+                h = np.zeros(len(doc) - n + 1, np.uint64)
+                for k in range(n):
+                    h = h * _P + shown[k : len(doc) - n + 1 + k]
+                h = (h ^ (h >> np.uint64(29))) * _P + np.uint64(n + (WINDOW + 1) * (reading == LITERAL))
+                h ^= h >> np.uint64(32)
+                ok = doc[: len(h)] == doc[n - 1 :]
+                if reading != LITERAL:
+                    ok &= literal[n:] - literal[:-n] >= min(LITERALS, n - 1)
+                elif n < SHORTEST:
+                    ok &= starts[: len(h)] & ends[n - 1 :]
+                if wanted is None:
+                    ok &= np.minimum(has, WINDOW)[doc[: len(h)]] == n
+                own = np.flatnonzero(ok)
+                yield reading, n, own, doc[own], at[own], h[own].astype(np.int64), kind, value
+
+
+def _rows(id_col: str, wanted: list[tuple[int, int]] | None, batches, bitmap: np.ndarray | None):
+    mask, templates = np.int64((1 << BITMAP_BITS) - 1), Templates()
     for b in batches:
         for start, texts in blocks(b.column("text"), 4 << 20):
             ids = b.column(id_col).slice(start, len(texts))
-            for n, own, doc, at, h, kind, value in templates.windows(texts):
+            for reading, n, own, doc, at, h, kind, value in templates.windows(texts, wanted):
                 if bitmap is not None:
                     bit = h & mask
                     hit = np.flatnonzero(bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
@@ -107,15 +147,8 @@ def _rows(id_col: str, templates: Templates, batches, bitmap: np.ndarray | None)
                 slot = kind[places] != WORD if len(own) else np.zeros((0, n), bool)
                 off = np.concatenate([[0], np.cumsum(slot.sum(1))]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(off), pa.array(value[places][slot].astype(np.int64) if len(own) else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(at, pa.int64()), pa.array(np.full(len(at), n, np.int32)), pa.array(h), values], names=[id_col, "pos", "n", "hash", "slots"])
-
-
-def _sizes(batches):
-    own = Templates([])
-    for b in batches:
-        for start, texts in blocks(b.column("text")):
-            doc, _, _ = own.tokens(texts)
-            yield pa.RecordBatch.from_arrays([b.column("item_id").slice(start, len(texts)), pa.array(np.bincount(doc, minlength=len(texts)))], names=["item_id", "tokens"])
+                numbers = (pa.array(np.full(len(at), x, np.int32)) for x in (reading, n))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(at, pa.int64()), *numbers, pa.array(h), values], names=[id_col, "pos", "reading", "n", "hash", "slots"])
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -132,21 +165,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, same_slots of each document (doc_id, text) that holds an item (item_id, text)."""
     spark: SparkSession = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    short = items.mapInArrow(_sizes, "item_id long, tokens long").where((F.col("tokens") < WINDOW) & (F.col("tokens") >= SHORTEST)).select("tokens").distinct()
-    lengths = sorted({int(r["tokens"]) for r in short.collect()} | {WINDOW})
-    schema = "long, pos long, n int, hash long, slots array<long>"
-    asked = items.mapInArrow(lambda it: _rows("item_id", Templates(lengths), it, None), f"item_id {schema}")
-    sized = items.mapInArrow(_sizes, "item_id long, tokens long").groupBy("item_id").agg(F.max("tokens").alias("tokens"))
-    asked = staged(asked.join(sized, "item_id").where(F.col("n") == F.least("tokens", F.lit(WINDOW))), "asked")
+    schema = "long, pos long, reading int, n int, hash long, slots array<long>"
+    asked = staged(items.mapInArrow(lambda it: _rows("item_id", None, it, None), f"item_id {schema}"), "asked")
+    wanted = sorted((r["reading"], r["n"]) for r in asked.select(F.least("reading", F.lit(RULE)).alias("reading"), "n").distinct().collect())
     shipped = spark.sparkContext.broadcast(_bitmap(asked.select("hash")))
-    found = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda it: _rows("doc_id", Templates(lengths), it, shipped.value), f"doc_id {schema}")
-    of_item = asked.select("item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
-    available = asked.groupBy("item_id").agg(F.countDistinct("pos").alias("has"))
+    found = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda it: _rows("doc_id", wanted, it, shipped.value), f"doc_id {schema}").drop("reading")
+    of_item = asked.select("item_id", "reading", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
+    available = asked.groupBy("item_id", "reading").agg(F.countDistinct("pos").alias("has"))
     met = staged(found, "windows").join(of_item, "hash").where(F.size("slots") == F.size("item_slots"))
     pair = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    grouped = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count_distinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
+    shift = F.col("pos") - F.col("item_pos")
+    bands = F.explode(F.array(F.floor(shift / BAND) * 2, F.floor((shift + BAND // 2) / BAND) * 2 + 1))
+    met = met.select("doc_id", "item_id", "reading", "item_pos", pair.alias("pair"), bands.alias("band"))
+    grouped = met.groupBy("doc_id", "item_id", "reading", "band").agg(F.count_distinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"))
     item_values, doc_values = (F.array_distinct(F.transform("pairs", lambda p: p[x])) for x in ("item", "doc"))
-    consistent = (F.size(item_values) == F.size("pairs")) & (F.size(doc_values) == F.size("pairs"))
-    enough = grouped.where(consistent).join(available, "item_id").where(F.col("n_windows") >= F.least(F.lit(NEED), F.col("has")))
+    agree = F.least(F.size(item_values), F.size(doc_values)) >= AGREE * F.size("pairs")
+    matched = grouped.join(available, ["item_id", "reading"]).where(F.col("n_windows") >= F.least(F.lit(NEED), F.col("has"))).where(agree | (2 * F.col("n_windows") >= F.col("has")))
     same = ~F.exists("pairs", lambda p: p["item"] != p["doc"])
-    return enough.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(same).alias("same_slots"))
+    best = F.max(F.struct("n_windows", same.alias("same")))
+    return matched.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), F.col("best.same").alias("same_slots"))

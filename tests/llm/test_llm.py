@@ -83,6 +83,32 @@ def test_decontamination(spark, docs):
     assert got == {100: False, 101: True}
 
 
+def test_decontamination_literal_windows(spark):
+    items = [
+        "3 5 7 11 13 17 19 23 29 31 37 41 43 47",
+        "Paris Rome Anna Smith Berlin Tokyo Lima Cairo Oslo Bern Riga Quito Delhi Accra",
+        "Which gas do plants take from the air around them",
+        "Name the red planet",
+        "Why not",
+        "Find all sides of it. Then add them up. Now divide by the first one. Say what is left over",
+    ]
+    rows = [(k, f"he said, {t} and so on went the talk") for k, t in enumerate(items)]
+    rows += [(10, items[5].replace(".", "")), (11, items[2].title()), (12, "Well. Why not? Because"), (13, "we talk of the planets and the red ones 3 5 7 11 13")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 5), (10, 5), (11, 2), (12, 4)}
+
+
+def test_decontamination_slots(spark):
+    item = "a farmer has 5 hens and keeps them near the barn with 5 ducks that like to swim when Anna brings 7 buckets of fresh water from the old well down by the mill"
+    rows = [(0, item.replace("5 ducks", "8 ducks")), (1, item.replace("5", "6").replace("7", "6")), (2, item.replace("Anna", "Mary Ann")), (3, item.replace("and keeps", "and always keeps"))]
+    rows += [(4, "a farmer has 5 hens and nothing else, while the old well down by the mill is dry"), (5, "inside: A" + item[1:].replace("7", "9"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.same_slots) for r in decontam.contaminated(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {0, 1, 2, 3, 5} and not got[0][1] and not got[1][1]
+    assert got[2][0] == got[1][0]  # a longer name is one slot
+
+
 def test_repeated_spans(docs):
     got = substring_dedup.repeated_spans(docs).collect()
     assert {r.doc_id for r in got} == {2} and got[0].kept_doc_id == 1
