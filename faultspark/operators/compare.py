@@ -4,52 +4,75 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from .ecdf import RANGE, ranged, running, same_keys
 
 
 def _both(h: DataFrame, n: DataFrame, keys: list[str]) -> DataFrame:
     return h.select(*keys, "value", F.lit(0).alias("is_n")).unionByName(n.select(*keys, "value", F.lit(1).alias("is_n"))).where(finite(F.col("value")))
 
 
+def _distinct(h: DataFrame, n: DataFrame, keys: list[str]) -> DataFrame:
+    return _both(h, n, keys).groupBy(*keys, "value").agg(F.sum("is_n").alias("nn"), F.sum(1 - F.col("is_n")).alias("nh"))
+
+
 def p_superiority(h: DataFrame, n: DataFrame, keys: list[str], ties: str = "full") -> DataFrame:
     """Share of pairs with n <= h per key; ties='half' counts equal values as half a win."""
-    distinct = _both(h, n, keys).groupBy(*keys, "value").agg(F.sum("is_n").alias("nn"), F.sum(1 - F.col("is_n")).alias("nh"))
-    below = F.sum("nn").over(Window.partitionBy(*keys).orderBy("value"))
-    wins = F.col("nh") * (F.col("below") - (F.col("nn") / 2 if ties == "half" else F.lit(0)))
-    out = distinct.withColumn("below", below).groupBy(*keys).agg(F.sum(wins).alias("w"), F.sum("nh").alias("n_h"), F.sum("nn").alias("n_n"))
+    wins = F.col("nh") * (F.col("_below") - (F.col("nn") / 2 if ties == "half" else F.lit(0)))
+    out = running(_distinct(h, n, keys), "value", "nn", keys).groupBy(*keys).agg(F.sum(wins).alias("w"), F.sum("nh").alias("n_h"), F.sum("nn").alias("n_n"))
     return out.select(*keys, F.try_divide(F.col("w").cast("double"), F.col("n_h") * F.col("n_n")).alias("p_gt"), "n_h", "n_n")
 
 
-def p_superiority_ci(h: DataFrame, n: DataFrame, keys: list[str], *, resamples: int = 1000, alpha: float = 0.05, seed: int = 0, block: int = 100) -> DataFrame:
+def p_superiority_ci(h: DataFrame, n: DataFrame, keys: list[str], *, resamples: int = 1000, alpha: float = 0.05, seed: int = 0, block: int = 100, size: int = RANGE) -> DataFrame:
     """p_gt with the bootstrap interval: H and N resampled apart, quantiles interpolated linearly.
 
-    A key's values (a level's realizations, some hundreds) are gathered once; blocks of resamples are tasks of their own.
+    Resamples are multinomial counts of the distinct values, drawn in two steps: over a key's ranges of values,
+    then within each range (about size values), whose wins Spark adds up. No task holds all values of a key.
     """
-    side = _both(h, n, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("is_n") == 0, F.col("value")))).alias("hs"), F.array_sort(F.collect_list(F.when(F.col("is_n") == 1, F.col("value")))).alias("ns"))
-    blocks = side.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // block) - 1)))).withColumn("_seed", F.xxhash64(F.lit(seed), *keys, "_b")).repartition(*keys, "_b")
+    rows = ranged(_distinct(h, n, keys), "value", keys, size)
+    sums = rows.groupBy(*keys, "_range").agg(F.sum("nh").alias("nh"), F.sum("nn").alias("nn"))
+    sides = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_range", "nh", "nn"))).alias("_s"), F.xxhash64(F.lit(seed), *keys).alias("_seed"))
+    n_blocks = -(-resamples // block)
+    blocks = sides.where(F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x["nh"]) > 0).where(F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x["nn"]) > 0)
+    blocks = blocks.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(*keys, "_b")
+
+    def rng_of(*parts):
+        return np.random.default_rng([int(p) & 0xFFFFFFFFFFFFFFFF for p in parts])
+
+    @F.pandas_udf("array<struct<r:int,th:array<long>,tn:array<long>>>")  # made on the driver, when called
+    def totals(s: pd.Series, seeds: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for own, sd, k in zip(s, seeds, b):
+            count, rng = min(block, resamples - k * block), rng_of(sd, k)
+            th, tn = (rng.multinomial(c.sum(), c / c.sum(), count) for c in (np.array([x[f] for x in own], np.int64) for f in ("nh", "nn")))
+            out.append([{"r": x["_range"], "th": th[:, i].tolist(), "tn": tn[:, i].tolist()} for i, x in enumerate(own)])
+        return pd.Series(out)
 
-    @F.pandas_udf("array<double>")  # made on the driver, when called
-    def draws(hs: pd.Series, ns: pd.Series, seeds: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<double>")
+    def draws(values: pd.Series, th: pd.Series, tn: pd.Series, before: pd.Series, seeds: pd.Series, b: pd.Series, r: pd.Series) -> pd.Series:
         out = []
-        for x, y, s, k in zip(hs, ns, seeds, b):
-            rng, count = np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF), min(block, resamples - k * block)
-            x, y = np.asarray(x, float), np.asarray(y, float)
-            if not len(x) or not len(y):
-                out.append([])
-                continue
-            own = []
-            for _ in range(count):
-                p, q = x[rng.integers(0, len(x), len(x))], np.sort(y[rng.integers(0, len(y), len(y))])
-                own.append(float(np.searchsorted(q, p, "right").mean() / len(q)))
-            out.append(own)
+        for v, hs, ns, low, sd, k, x in zip(values, th, tn, before, seeds, b, r):
+            rng, counts = rng_of(sd, k, x, 1), np.array([(y["nh"], y["nn"]) for y in v], np.int64).T
+            own = np.empty(len(hs))
+            for i, (a, c) in enumerate(zip(hs, ns)):
+                mh, mn = (rng.multinomial(t, w / w.sum()) if t else np.zeros(len(w), np.int64) for t, w in ((a, counts[0]), (c, counts[1])))
+                own[i] = float((mh * (low[i] + np.cumsum(mn)).astype(float)).sum())
+            out.append(own.tolist())
         return pd.Series(out)
 
-    each = blocks.select(*keys, F.explode(draws("hs", "ns", "_seed", "_b")).alias("p"))
-    interval = each.groupBy(*keys).agg(F.percentile("p", alpha / 2).alias("ci_low"), F.percentile("p", 1 - alpha / 2).alias("ci_high"))
-    return p_superiority(h, n, keys).join(interval, keys, "left").select(*keys, "p_gt", "ci_low", "ci_high")
+    spread = blocks.select(*keys, "_seed", "_b", totals("_s", "_seed", "_b").alias("_t"))
+    zero = F.transform("_t", lambda x, i: F.struct(x["r"].alias("_range"), x["th"].alias("th"), x["tn"].alias("tn"), F.aggregate(F.slice("_t", F.lit(1), i), F.transform(x["tn"], lambda _: F.lit(0).cast("long")), lambda a, y: F.zip_with(a, y["tn"], lambda p, q: p + q)).alias("before")))
+    spread = spread.select(*keys, "_seed", "_b", F.inline(zero))
+    packed = rows.groupBy(*keys, "_range").agg(F.array_sort(F.collect_list(F.struct("value", "nh", "nn"))).alias("_v"))
+    each = same_keys(spread, packed, [*keys, "_range"]).repartition(*keys, "_range", "_b")
+    wins = each.select(*keys, "_b", F.posexplode(draws("_v", "th", "tn", "before", "_seed", "_b", "_range")).alias("_i", "w")).groupBy(*keys, "_b", "_i").agg(F.sum("w").alias("w"))
+    point = p_superiority(h, n, keys)
+    p = same_keys(wins, point, keys).withColumn("p", F.col("w") / (F.col("n_h") * F.col("n_n")))
+    interval = p.groupBy(*keys).agg(F.percentile("p", alpha / 2).alias("ci_low"), F.percentile("p", 1 - alpha / 2).alias("ci_high"))
+    return same_keys(point, interval, keys, "left").select(*keys, "p_gt", "ci_low", "ci_high")
 
 
 def observed_vs_null(observed: DataFrame, null: DataFrame, keys: list[str], **ci) -> DataFrame:

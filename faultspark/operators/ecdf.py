@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 
+RANGE = 10_000  # distinct values of a key that one task orders, about
 MOST_LEVELS = 100_000  # the levels go into the plan; 201 are usual
 
 
@@ -117,11 +118,37 @@ def cdf_chunked(df: DataFrame, value: str, x: list[float], keys: list[str], weig
     return from_histogram(histogram(df, value, x, keys, weight), x, keys, "all")
 
 
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b on keys, null keys included."""
+    other = b.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [a[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
+    return (a.join(other, on, how) if keys else a.crossJoin(other)).drop(*(f"_r_{k}" for k in keys))
+
+
+def ranged(distinct: DataFrame, value: str, keys: list[str], size: int = RANGE) -> DataFrame:
+    """Rows with _range: rising ranges of values per key, of about size rows."""
+    most = distinct.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    n = -(-most // size)
+    if n < 2:
+        return distinct.withColumn("_range", F.lit(0))
+    cuts = distinct.groupBy(*keys).agg(F.percentile_approx(value, [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("_cuts"))
+    return same_keys(distinct, cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def running(distinct: DataFrame, value: str, amount: str, keys: list[str], size: int = RANGE) -> DataFrame:
+    """distinct with _below, the amounts up to each value, and _total: sums of ranges first, then within each range."""
+    rows = ranged(distinct, value, keys, size)
+    sums = rows.groupBy(*keys, "_range").agg(F.sum(amount).alias("_s"))
+    whole = Window.partitionBy(*keys)
+    before = sums.select(*keys, "_range", (F.sum("_s").over(whole.orderBy("_range")) - F.col("_s")).alias("_before"), F.sum("_s").over(whole).alias("_total"))
+    inside = F.sum(amount).over(Window.partitionBy(*keys, "_range").orderBy(value))
+    return same_keys(rows.withColumn("_inside", inside), before, [*keys, "_range"]).withColumn("_below", F.col("_before") + F.col("_inside")).drop("_inside", "_before", "_range")
+
+
 def ecdf_steps(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """The raw ECDF: one step for each distinct finite value."""
     counts = df.where(finite(F.col(value))).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(*keys)
-    return counts.select(*keys, value, "n", (F.sum("n").over(whole.orderBy(value)) / F.sum("n").over(whole)).alias("cdf"))
+    return running(counts, value, "n", keys).select(*keys, value, "n", (F.col("_below") / F.col("_total")).alias("cdf"))
 
 
 def count_in_mask(df: DataFrame, mask: Column) -> DataFrame:

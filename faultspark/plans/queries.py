@@ -49,7 +49,7 @@ QUERIES = {
     "weighted_moments": lambda s, d: _r(kde.weighted_moments(A.values(s, d), ["value"], ["k"], "weight"), "mean_value", "var_value", "scale_value"),
     "effective_n": lambda s, d: _r(kde.effective_n(A.values(s, d), ["k"], "weight"), "n_eff"),
     "p_superiority": lambda s, d: _r(compare.p_superiority(*_hn(s, d), ["k"]), "p_gt"),
-    "p_superiority_ci": lambda s, d: compare.p_superiority_ci(*_hn(s, d), ["k"], resamples=200),
+    "p_superiority_ci": lambda s, d: compare.p_superiority_ci(*_hn(s, d), ["k"]),
     "kde_pdf": lambda s, d: _r(kde.kde_pdf(A.values(s, d), ["value"], [(v,) for v in X], weight="weight"), "pdf"),
     "pdf_cdf": lambda s, d: _r(kde.pdf_cdf(A.values(s, d), "value", X), "pdf", "cdf"),
     "sample_uniform": lambda s, d: sampling.sample_uniform(A.subfaults(s, d), 500, rng="md5"),

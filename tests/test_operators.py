@@ -120,3 +120,19 @@ def test_segment_polygons(spark, tmp_path):
     assert {r.p: r.dip for r in spatial.segment_angles(pts, polygons, identity=["p"]).collect()} == {1: 10, 2: 20}
     with pytest.raises(Exception, match="no segment polygon"):
         spatial.segment_angles(spark.createDataFrame([(3, 9.0, 9.0)], pts.schema), polygons, identity=["p"]).collect()
+
+
+def test_superiority_in_ranges(spark):
+    from faultspark.operators import compare, ecdf
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0.3, 1, 400).round(2), rng.normal(0, 1, 300).round(2)
+    h, n = (spark.createDataFrame([("a", float(v)) for v in z], "k string, value double") for z in (x, y))
+    got = compare.p_superiority_ci(h, n, ["k"], size=40).first()
+    plain = [np.mean(rng.choice(y, 300)[None, :] <= rng.choice(x, 400)[:, None]) for _ in range(1000)]
+    assert got.p_gt == pytest.approx(np.mean(y[None, :] <= x[:, None]))
+    assert got.ci_low == pytest.approx(np.quantile(plain, 0.025), abs=0.012) and got.ci_high == pytest.approx(np.quantile(plain, 0.975), abs=0.012)
+    counts = h.groupBy("k", "value").agg(F.count("*").alias("n"))
+    assert ecdf.ranged(counts, "value", ["k"], 40).groupBy("_range").count().agg(F.max("count")).first()[0] < 80
+    for r in ecdf.running(counts, "value", "n", ["k"], 40).collect():
+        assert r._below == (x <= r.value).sum() and r._total == 400
