@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
-from itertools import filterfalse
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +61,10 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
-def crc_ids(ids: np.ndarray) -> int:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
+def crcs(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Unsigned crc32 of each stretch of ids, as little-endian unsigned 32-bit integers."""
+    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+    return np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip((4 * start).tolist(), (4 * end).tolist())), np.int64, len(start))
 
 
 def blocks(column: pa.Array, most_bytes: int = 2 << 20):
@@ -77,6 +78,11 @@ def blocks(column: pa.Array, most_bytes: int = 2 << 20):
         at = to
 
 
+def strings(texts: pa.Array) -> list[str]:
+    """The texts as Python strings, without a scalar object for each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Texts split at blanks: first word of each text (and the end), each word's code, the words by code."""
     lists = pc.split_pattern(texts, " ")
@@ -105,10 +111,12 @@ class WordMemo:
 
     def of(self, words: list[str]) -> np.ndarray:
         """The words' rows."""
-        new = list(dict.fromkeys(filterfalse(self.at.__contains__, words)))
+        places = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(places < 0)
+        new = list(dict.fromkeys(words[k] for k in missing))
         if len(self.at) + len(new) > self.most and self.at:
             self.at.clear()
-            new = list(dict.fromkeys(words))
+            missing, new = np.arange(len(words)), list(dict.fromkeys(words))
         if new or self.rows is None:
             rows, used = self.work(new), len(self.at)
             need = used + len(new)
@@ -119,4 +127,5 @@ class WordMemo:
                 self.rows = grown
             self.rows[used:need] = rows
             self.at.update(zip(new, range(used, need)))
-        return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
+            places[missing] = np.fromiter((self.at[words[k]] for k in missing), np.int64, len(missing))
+        return self.rows[places]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordMemo, blocks, spread, staged, word_codes
+from .common import WordMemo, blocks, spread, staged, strings, word_codes
 
 WINDOW, LITERALS, NEED, SHORTEST = 8, 5, 6, 4
 BAND, AGREE = 16, 0.5
@@ -68,7 +68,7 @@ class Templates:
         t = pc.replace_substring_regex(t, r"(\p{N})(\p{L})", r"\1 \2")
         t = pc.replace_substring_regex(t, r"[.!?:\n\r]+", f" {MARK} ")
         off, codes, words = word_codes(pc.replace_substring_regex(t, f"[^\\p{{L}}\\p{{N}}_{MARK}]+", " "))
-        rows = self.memo.of(words.to_pylist())[codes]
+        rows = self.memo.of(strings(words))[codes]
         value, kind = rows[:, 0], rows[:, 1].astype(np.int8)
         doc = np.repeat(np.arange(len(texts)), np.diff(off))
         starts, ends = np.ones(len(kind), bool), np.ones(len(kind), bool)

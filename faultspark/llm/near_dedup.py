@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, blocks, spread, staged, word_codes
+from .common import WordMemo, blocks, spread, staged, strings, word_codes
 
 BANDS, ROWS, BATCH = 32, 4, 32
 MISS = 1e-7
@@ -60,7 +60,7 @@ class Shingler:
         for _, texts in blocks(column):
             plain = pc.replace_substring_regex(pc.ascii_lower(texts), "[\\x09-\\x0D]", " ")
             off, codes, words = word_codes(plain)
-            one = self.memo.of(words.to_pylist())[codes]
+            one = self.memo.of(strings(words))[codes]
             many = one.copy()
             for k in range(1, self.size):
                 many[: len(one) - k] = many[: len(one) - k] * _P + one[k:]

@@ -24,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_ids, spread, staged
+from .common import crcs, spread, staged
 from .tokens import encoder, vocabulary_path
 
 SIZE = 4096
 CLASSES = 128
 FEW = 4
 PARTS = (1.0, 0.75, 0.5, 0.25)  # of the fitted repeats that are kept; the plan with the fewest sequences wins
-KEPT_WORDS = 50_000  # that a worker remembers from one task to the next
 MOST_RUNS = 4_000_000  # 40 bytes each; the histogram keeps plans far below it
 
 
@@ -41,20 +40,20 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, *, w
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches):
-        with encoder(path, KEPT_WORDS) as own:
+        with encoder(path) as own:
             for b in batches:
-                for k in range(0, b.num_rows, 2048):
-                    out = defaultdict(list)
-                    for d, c in zip(b.column("doc_id").slice(k, 2048).to_pylist(), own.encode(b.column("text").slice(k, 2048))):
-                        ids = np.frombuffer(c, own.dtype)
-                        for p, x in enumerate(range(0, len(ids), size)):
-                            cut = ids[x : x + size]
-                            for name, v in (("doc_id", d), ("piece", p), ("start", x), ("length", len(cut)), ("ids_crc32", crc_ids(cut))):
-                                out[name].append(v)
-                            if with_ids:
-                                out["ids"].append(cut.tolist())
-                    kinds = {"piece": pa.int32()}
-                    yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.list_(pa.int64()) if n == "ids" else pa.int64())) for n, v in out.items()], names=list(out))
+                for row, ids, off in own.flat_blocks(b.column("text")):
+                    n = np.diff(off)
+                    per = -(-n // size)
+                    doc = np.repeat(np.arange(len(n)), per)
+                    piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+                    start = piece * size
+                    length = np.minimum(size, n[doc] - start)
+                    at = off[doc] + start
+                    cols = {"doc_id": b.column("doc_id").take(pa.array(row + doc)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crcs(ids, at, at + length))}
+                    if with_ids:
+                        cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int64)))
+                    yield pa.RecordBatch.from_pydict(cols)
 
     return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)
 
@@ -205,12 +204,15 @@ def plan_runs(histogram: dict[int, int], size: int = SIZE) -> tuple[np.ndarray,
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """cut: rows with doc_id, piece and length (1 to size); adds sequence_id and offset."""
+    """cut: rows with doc_id, piece and length (1 to size); adds sequence_id and offset.
+
+    A column _salt (small numbers, written to a table) may say how rows of one length are dealt out; else the ids do.
+    """
     spark = cut.sparkSession
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan_runs(histogram, size)
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = cut if "_salt" in cut.columns else cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -234,5 +236,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
 
 def pack_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
-    out = pack(staged(pieces(docs, size), "pieces"), size)
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")  # rows of one null or repeated id spread too
+    out = pack(staged(pieces(docs, size).withColumn("_salt", salt), "pieces"), size)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

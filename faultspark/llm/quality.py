@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, crc_mod, word_codes
+from .common import WordMemo, crc_mod, strings, word_codes
 from .toxicity import score, trained
 
 BITS = 18
@@ -43,7 +43,7 @@ class _Vectors:
         """Row, bucket and value of every entry, by row."""
         spaced = pc.replace_substring_regex(pc.utf8_lower(texts), r"\s+", " ")
         off, codes, words = word_codes(pc.replace_substring_regex(spaced, r"([\p{L}\p{N}]+)", r" \1 "))
-        one = self.memo.of(words.to_pylist())[codes]
+        one = self.memo.of(strings(words))[codes]
         row = np.repeat(np.arange(len(texts)), np.diff(off))
         a, b, same = one[:-1], one[1:], row[:-1] == row[1:]
         two = np.where(a == b, np.uint64(REPEATED), a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F))[same]

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, blocks, crc_mod, spread, word_codes
+from .common import WordMemo, blocks, crc_mod, spread, strings, word_codes
 
 BITS = 18
 N_LOW, N_HIGH = 4, 6
@@ -54,7 +54,7 @@ class _Bags:
         if len(self.memo) > self.most:
             self.memo.clear()
         parts = []
-        for w in words.to_pylist():
+        for w in strings(words):
             if w not in self.memo:
                 self.memo[w] = buckets_of(w)
             parts.append(self.memo[w])
@@ -145,7 +145,7 @@ class ToxicityModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         self._memo = self._memo or WordMemo(self._work, 500_000)
         off, codes, words = words_of(texts)
-        rows = np.concatenate([np.zeros((1, 2)), np.cumsum(self._memo.of(words.to_pylist())[codes], 0)])
+        rows = np.concatenate([np.zeros((1, 2)), np.cumsum(self._memo.of(strings(words))[codes], 0)])
         total, n = (rows[off[1:]] - rows[off[:-1]]).T
         z = self.bias + total / np.maximum(n, 1)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
