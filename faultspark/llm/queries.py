@@ -30,7 +30,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("row")
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), min_words=substring_dedup.PASSAGE)
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

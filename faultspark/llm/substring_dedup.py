@@ -1,15 +1,16 @@
-"""Substring deduplication by hashing pairs of content-defined units.
-
-A word starts a unit where its rank is the least of the REACH words on either side: starts of lines and sentences rank before
-capitalised words, those before all others, and within a class the hash of the word and the AHEAD next decides. So the cuts
-inside a passage depend on its own words only, but for REACH words at its start and REACH + AHEAD at its end, and equal
-passages have equal units wherever they stand. Pairs of neighbouring units are compared by the digest of their lower-cased
-words over the whole corpus; of each, the occurrence ranked first (doc_id, row, unit) stays, and so the first occurrence
-of every unit. Runs of neighbouring pairs that are later occurrences are removed where a run has at least min_words words,
-so chance repeats of phrases stay. Spans are code point offsets into the original text.
-
-Cases: null or empty text has no units; a text of one unit is compared as it is; null doc_ids rank last and come back as null;
-repeated rows and repeated doc_ids count as later copies, told apart by their row; an empty table gives no spans.
+"""Substring deduplication by hashing lines, and the content-defined units of long ones.
+
+Lines are cut into units. A line starts a unit, and so does every word of it with the least rank in some
+window of WINDOW words: words after a sentence mark rank first, then the hash of the word and the AHEAD next decides.
+A unit is compared by the digest of its lower-cased words, and of words of its line behind it up to LOOK in all, so
+that equal lines have equal units and so have equal passages inside other lines, wherever they stand: of a passage of n
+words at least n - AHEAD - 2 * WINDOW words lie in common units. Digests are grouped over the whole corpus; of each, the
+occurrence ranked first (doc_id, row, unit) stays. Runs of neighbouring units that are later occurrences are spans to remove,
+if they hold a whole line, or at least LOOK words that are kept in one document. Offsets are code points of the original text.
+
+Cases: null or empty text has no units; null doc_ids rank last and come back as null; repeated rows and repeated doc_ids
+count as later copies, told apart by their row; a long text is cut like any other; an empty table gives no spans; other
+columns are left alone (remove_repeats keeps them).
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, blocks, spread, staged
+from .common import WordMemo, blocks, spread, staged, strings
 
-REACH, AHEAD = 3, 2
-MIN_WORDS = 15
+WINDOW, AHEAD, LOOK = 16, 2, 8
+PASSAGE = 51 - AHEAD - 2 * WINDOW  # words that a repeated passage of over 50 words has in common units at least
 _SPACES = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isspace()], np.uint32)
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _INVERSE = np.array([pow(int(p), -1, 1 << 64) for p in _P], np.uint64)
+_ROW = "doc_id long, row long, unit int, start int, end int, words int, span int, whole boolean, d1 long, d2 int"
 
 
 def _digests(words: list[str]) -> np.ndarray:
@@ -42,105 +44,130 @@ def _powers(p: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _P[1]
+    return h ^ (h >> np.uint64(32))
+
+
 class Units:
-    """Units of texts and the digests of their pairs."""
+    """Units of texts and their digests."""
 
     def __init__(self):
         self.memo = WordMemo(_digests)
 
-    def pairs(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """text, unit, start, end, words of the unit, words of the next one, two digests: of each pair, or a text's only unit."""
-        whole = "\n".join(texts)
+    def of(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """text, unit, start, end, own words, compared words, whether it is a whole line, two digests: of each unit."""
+        text_all = "\n".join(texts)
         at = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
-        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(text_all.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.concatenate([[False], ~np.isin(points, _SPACES), [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         begin, end = edges[::2], edges[1::2]
         n = len(begin)
         if not n:
-            return (np.zeros(0, np.int64),) * 8
-        hashes = self.memo.of(whole.lower().split())
-        text = np.searchsorted(at, begin, "right") - 1
-        opens = np.ones(n, bool)
-        opens[1:] = text[1:] != text[:-1]
-        rank = self._ranks(points, begin, end, text, hashes[:, 0])
-        cut = np.ones(n, bool)
-        for k in range(1, REACH + 1):
-            same = text[k:] == text[:-k]
-            cut[k:] &= ~same | (rank[k:] <= rank[:-k])
-            cut[:-k] &= ~same | (rank[:-k] <= rank[k:])
-        first = np.flatnonzero(cut | opens)
+            return (np.zeros(0, np.int64),) * 9
+        hashes = self.memo.of(text_all.lower().split())
+        line = np.concatenate([[0], np.cumsum(points == 10)])[begin]
+        opens = np.append(True, line[1:] != line[:-1])
+        cut = opens | self._least(line, opens | np.append(True, np.isin(points[end[:-1] - 1], (33, 46, 63))), hashes[:, 0])
+        first = np.flatnonzero(cut)
         stop = np.append(first[1:], n)
-        of = text[first]
-        paired = np.append(of[1:] == of[:-1], False)
-        alone = opens[first] & ~paired
-        own = np.flatnonzero(paired | alone)
-        last = np.where(paired, np.append(stop[1:], n), stop)[own]
-        head, unit = first[own], np.arange(len(first)) - np.searchsorted(of, of)
+        last_of_line = np.searchsorted(line, line[first], "right")
+        upto = np.minimum(np.maximum(stop, first + LOOK), last_of_line)
         both = []
         for k in range(2):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[:, k] * _powers(_P[k], n), dtype=np.uint64)])
-            h = (sums[last] - sums[head]) * _powers(_INVERSE[k], n)[head]
-            both.append((h ^ (last - head).astype(np.uint64)).astype(np.int64))
-        words = stop - first
-        return of[own], unit[own], begin[head] - at[of[own]], end[last - 1] - at[of[own]], words[own], last - stop[own], *both
+            h = (sums[upto] - sums[first]) * _powers(_INVERSE[k], n)[first]
+            both.append(_mixed(h + ((stop - first) << 32 | (upto - first)).astype(np.uint64)).view(np.int64))
+        text = np.searchsorted(at, begin[first], "right") - 1
+        unit = np.arange(len(first)) - np.searchsorted(text, text)
+        whole = opens[first] & (stop == last_of_line)
+        return text, unit, begin[first] - at[text], end[upto - 1] - at[text], stop - first, upto - first, whole, both[0], (both[1] >> 32).astype(np.int32)
 
     @staticmethod
-    def _ranks(points: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndarray, h: np.ndarray) -> np.ndarray:
-        ahead = h.copy()
+    def _least(line: np.ndarray, starts: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Words that have the least rank in some window of their line."""
+        ahead, n = h.copy(), len(h)
         for k in range(1, AHEAD + 1):
             ahead *= _P[0]
-            ahead[:-k] += np.where(text[k:] == text[:-k], h[k:], np.uint64(0))
-        ahead = (ahead ^ (ahead >> np.uint64(29))) * _P[1]
-        ahead ^= ahead >> np.uint64(32)
-        lines = np.concatenate([[0], np.cumsum(points == 10)])
-        starts = np.ones(len(begin), bool)
-        starts[1:] = (lines[begin[1:]] > lines[end[:-1]]) | np.isin(points[end[:-1] - 1], (33, 46, 63))
-        c, d = points[begin], points[np.minimum(begin + 1, len(points) - 1)]
-        latin = lambda x, a, b, low, high, but: (x >= a) & (x <= b) | (x >= low) & (x <= high) & (x != but)
-        capital = latin(c, 65, 90, 0xC0, 0xDE, 0xD7) & (latin(d, 97, 122, 0xDF, 0xFF, 0xF7) | (end - begin == 1))
-        return np.where(starts, 0, np.where(capital, 1, 2)).astype(np.uint64) << np.uint64(62) | ahead >> np.uint64(2)
-
-
-def _unit_rows(batches):
-    from pyspark import TaskContext
-
-    row, own = TaskContext.get().partitionId() << 33, Units()
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    for b in batches:
-        for k, texts in blocks(b.column("text")):
-            of, *cols = own.pairs(texts.to_pylist())
-            ids = b.column("doc_id").slice(k, len(texts)).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip((row + of, *cols), kinds[1:]))], names=["doc_id", "row", "unit", "start", "end", "words", "more", "d1", "d2"])
-            row += len(texts)
-
-
-def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans to remove from docs (doc_id, text): doc_id, row, start, end, n_words, n_units, kept_doc_id, kept_doc_ids.
-
-    kept_doc_id has the first occurrence of the span's first pair of units, kept_doc_ids those of all its pairs.
+            ahead[:-k] += np.where(line[k:] == line[:-k], h[k:], np.uint64(0))
+        rank = np.where(starts, np.uint64(0), np.uint64(1) << np.uint64(63)) | _mixed(ahead) >> np.uint64(1)
+        out = np.zeros(n, bool)
+        if n >= WINDOW:
+            own = np.flatnonzero(line[WINDOW - 1 :] == line[: n - WINDOW + 1])
+            for k in range(0, len(own), 1 << 16):
+                at = own[k : k + (1 << 16)]
+                out[at + np.lib.stride_tricks.sliding_window_view(rank, WINDOW)[at].argmin(1)] = True
+        return out
+
+
+def _unit_rows(with_row: bool):
+    def run(batches):
+        from pyspark import TaskContext
+
+        row, own = TaskContext.get().partitionId() << 33, Units()
+        kinds = [pa.int32()] * 5 + [pa.bool_(), pa.int64(), pa.int32()]
+        for b in batches:
+            for k, texts in blocks(b.column("text")):
+                of, *cols = own.of(strings(texts))
+                cols = [pa.array(c, t) for c, t in zip(cols, kinds)]
+                at = pa.array(k + of)
+                rows = b.column("row").take(at) if with_row else pa.array(row + of, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), rows, *cols], names=[c.split()[0] for c in _ROW.split(", ")])
+                row += len(texts)
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, *, min_words: int = 1, row: str | None = None) -> DataFrame:
+    """Spans to remove from docs (doc_id, text): doc_id, row, start, end, n_words, n_units, longest, kept_doc_id.
+
+    longest: words of the longest stretch of the span whose first occurrences are in one document, kept_doc_id; spans
+    with fewer than min_words there are left out. row: a column of docs that numbers its rows, else they are numbered here.
     """
-    found = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(_unit_rows, "doc_id long, row long, unit int, start int, end int, words int, more int, d1 long, d2 long")
-    found = staged(found, "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "unit")
-    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    first = staged(first, "firsts")
-    later = found.join(first, ["d1", "d2"]).where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
-    later = later.select("doc_id", "row", "unit", "start", "end", "words", "more", F.col("first.doc_id").alias("kept"))
-    run = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
-    spans = later.withColumn("run", run).groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("words") + F.max_by("more", "unit")).alias("n_words"),
-        (F.count("*") + F.max_by((F.col("more") > 0).cast("int"), "unit")).alias("n_units"),
-        F.min_by("kept", "unit").alias("kept_doc_id"), F.array_sort(F.collect_set("kept")).alias("kept_doc_ids"),
+    asked = docs.select(F.col("doc_id").cast("long"), "text", *([F.col(row).cast("long").alias("row")] if row else []))
+    found = staged(spread(asked).mapInArrow(_unit_rows(row is not None), _ROW), "units")
+    by = ["d1", "d2"]
+    first = staged(found.groupBy(*by).agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    met = staged(found.join(first, by), "met")
+    own = met.where(F.col("doc_id").eqNullSafe(F.col("kept")))  # in the document that is kept: one of them is the first
+    lead = own.groupBy(*by).agg(F.min(F.struct("row", "unit")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = own.join(lead, by).where((F.col("row") != F.col("lead.row")) | (F.col("unit") != F.col("lead.unit"))).select(*met.columns)
+    later = met.where(~F.col("doc_id").eqNullSafe(F.col("kept"))).unionByName(again)
+    order = Window.partitionBy("row").orderBy("unit")
+    apart = F.coalesce(F.col("unit") != F.lag("unit").over(order) + 1, F.lit(True))
+    other = apart | ~F.col("kept").eqNullSafe(F.lag("kept").over(order))
+    marked = later.withColumns({"_apart": apart.cast("int"), "_other": other.cast("int")})
+    marked = marked.withColumns({"run": F.sum("_apart").over(order), "stretch": F.sum("_other").over(order)})
+    words = F.sum("words") + F.max_by("span", "unit") - F.max_by("words", "unit")
+    stretches = marked.groupBy("row", "run", "stretch").agg(
+        F.first("doc_id").alias("doc_id"), F.first("kept").alias("kept"), F.min("start").alias("start"), F.max("end").alias("end"), words.alias("longest"),
+        F.sum("words").alias("words"), F.max_by(F.col("span") - F.col("words"), "unit").alias("beyond"), F.count("*").alias("n_units"), F.max("whole").alias("whole"),
     )
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", "row", "start", "end", "n_words", "n_units", "kept_doc_id", "kept_doc_ids")
+    spans = stretches.groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("words") + F.max_by("beyond", "stretch")).alias("n_words"), F.sum("n_units").alias("n_units"),
+        F.max("longest").alias("longest"), F.max("whole").alias("whole"), F.max_by("kept", F.struct("longest", -F.col("stretch"))).alias("kept_doc_id"),
+    )
+    enough = (F.col("longest") >= min_words) & (F.col("whole") | (F.col("longest") >= LOOK))
+    return spans.where(enough).select("doc_id", "row", "start", "end", "n_words", "n_units", "longest", "kept_doc_id")
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans cut out of text; documents are matched by doc_id, which should be unique."""
-    cuts = spans.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
+def remove_spans(docs: DataFrame, spans: DataFrame, on: str = "doc_id") -> DataFrame:
+    """docs with the spans cut out of text. Rows are matched by `on`, whose values must be unique in docs; rows without one are left alone."""
+    cuts = spans.where(F.col(on).isNotNull()).groupBy(on).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
     gap = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"))
-    cut = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["kept"], F.substring("text", acc["at"] + 1, x["start"] - acc["at"])).alias("kept"))
+
+    def cut(acc, x):
+        more = F.when(x["start"] > acc["at"], F.substring("text", acc["at"] + 1, x["start"] - acc["at"])).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["kept"], more).alias("kept"))
+
     left = F.aggregate("_cuts", gap, cut)
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.concat(left["kept"], F.expr("substring(text, _left.at + 1)")))
-    return docs.join(cuts, "doc_id", "left").withColumn("_left", left).withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.concat("_left.kept", F.expr("substring(text, _left.at + 1)")))
+    return docs.join(cuts, on, "left").withColumn("_left", left).withColumn("text", text).select(*docs.columns)
+
+
+def remove_repeats(docs: DataFrame, **how) -> DataFrame:
+    """docs without what repeats: every row loses its own spans, whatever its doc_id; rows are numbered and written once."""
+    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    spans = repeated_spans(numbered, row="_row", **how).withColumnRenamed("row", "_row")
+    return remove_spans(numbered, spans, "_row").select(*docs.columns)
