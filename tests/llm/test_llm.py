@@ -1,13 +1,18 @@
 import hashlib
+import html as entities
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from faultspark.llm import decontam, html_main, near_dedup, packing, pii, quality, substring_dedup, tokens, topk, toxicity
+from faultspark.llm.common import table
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
 WORDS = [f"w{k}" for k in range(200)]
 
 
@@ -37,6 +42,43 @@ def test_token_files(spark, docs):
     assert tokens.token_file_digest(docs.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="session")
+def whole(spark):
+    """Rows of the small documents table and their ids by the tokenizer itself."""
+    df = table(spark, SF, "documents")
+    rows = df.select("doc_id", "text").orderBy("doc_id").collect()
+    coded = tokens.Encoder(tokens.vocabulary_path()).tokenizer.encode_batch_fast([r.text or "" for r in rows], add_special_tokens=False)
+    return df, {r.doc_id: np.array([*e.ids, 1], "<u4") for r, e in zip(rows, coded)}
+
+
+@needs_tables
+def test_token_files_equal_the_tokenizer(whole):
+    df, ids = whole
+    start, want = 0, []
+    for d, x in ids.items():
+        want.append((d, start, len(x), zlib.crc32(x.tobytes())))
+        start += len(x)
+    assert [tuple(r) for r in tokens.token_file_digest(df).orderBy("doc_id").collect()] == want
+
+
+@needs_tables
+def test_pieces_equal_the_tokenizer(whole):
+    df, ids = whole
+    got = packing.pack_documents(df).toPandas()
+    want = {(d, p): (s, len(x[s : s + 4096]), zlib.crc32(x[s : s + 4096].tobytes())) for d, x in ids.items() for p, s in enumerate(range(0, len(x), 4096))}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.itertuples()} == want and len(got) == len(want)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 4096 and g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
+    assert got.sequence_id.nunique() <= 1.01 * got.length.sum() / 4096 + 2
+
+
+def test_token_files_odd_ids(spark):
+    rows = [(None, "a"), (-(1 << 63), "b"), (5, "x y"), (5, "x"), (5, None), (None, "c c")]
+    frame = lambda parts: spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = [sorted(map(tuple, tokens.token_file_digest(frame(n)).select("start", "n_tokens", "ids_crc32", F.coalesce("doc_id", F.lit(-1))).collect())) for n in (1, 3)]
+    assert got[0] == got[1] and [r[3] for r in got[0]] == [-1, -1, -(1 << 63), 5, 5, 5]
+
+
 def test_packing(docs):
     got = packing.pack_documents(docs).toPandas()
     assert got.length.max() <= 4096 and len(got) >= 10
@@ -110,12 +152,47 @@ def test_decontamination_slots(spark):
 
 
 def test_repeated_spans(docs):
-    got = substring_dedup.repeated_spans(docs).collect()
-    assert {r.doc_id for r in got} == {2} and got[0].kept_doc_id == 1
+    got = substring_dedup.repeated_spans(docs, min_words=substring_dedup.PASSAGE).collect()
+    assert {r.doc_id for r in got} == {2, 3} and {r.kept_doc_id for r in got} == {1}  # 3 repeats words 1-73 and 75-120 of 1
     left = substring_dedup.remove_spans(docs.where("doc_id < 4"), substring_dedup.repeated_spans(docs))
     assert {r.doc_id: len(r.text) for r in left.collect()}[2] == 0
 
 
+def test_repeated_lines(spark):
+    """Lines against plain Python: every whole line that an earlier one equals is inside a span."""
+    rng = np.random.default_rng(9)
+    stock = [" ".join(rng.choice(WORDS, n)) for n in (1, 2, 3, 7, 7, 9, 20, 60)]
+    rows = [(d, "\n".join(rng.choice(stock, 3).tolist() + [text(100 + d, 6)])) for d in range(12)] + [(12, "  W1  w2\n\n\tw1 W2 "), (13, None), (14, " \n "), (15, text(3, 4000))]
+    seen, want = set(), set()
+    for d, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            key = tuple(line.lower().split())
+            if key and key in seen:
+                want.add((d, k))
+            seen.add(key)
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, start int, kept int").repartition(3, "doc_id")
+    got, of = set(), dict(rows)
+    for r in substring_dedup.repeated_spans(df).collect():
+        assert len(of[r.doc_id][r.start : r.end].split()) == r.n_words
+        at = 0
+        for k, line in enumerate(of[r.doc_id].split("\n")):
+            if line.strip() and r.start <= at + len(line) - len(line.lstrip()) and at + len(line.rstrip()) <= r.end:
+                got.add((r.doc_id, k))
+            at += len(line) + 1
+    assert got == want
+    assert substring_dedup.repeated_spans(df.limit(0)).count() == 0
+
+
+def test_remove_repeats_by_row(spark):
+    """Null and repeated ids: each row loses its own spans, one copy of each line stays."""
+    line, other = text(1, 30), text(2, 30)
+    rows = [(1, line, "a"), (1, f"{other}\n{line}", "b"), (None, other, "c"), (None, f"only here\n{line}", "d"), (2, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = {r.row: r.text for r in substring_dedup.remove_repeats(df.repartition(1)).collect()}
+    kept = "\n".join(t or "" for t in got.values())
+    assert kept.count(line) == 1 and kept.count(other) == 1 and "only here" in got["d"] and got["e"] is None and len(got) == 5
+
+
 def test_repeated_spans_equal_shared_windows(spark):
     rng = np.random.default_rng(5)
     word = lambda lo, hi: f"w{rng.integers(lo, hi)}"
@@ -145,6 +222,48 @@ def test_html():
     assert html_main.main_text(page) == "A & B So. More text" and html_main.main_text(None) == ""
 
 
+LONG = "It is the way of the world that what was said in the house was not for us to know, and so we went."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><div class=top><a href=1>Home</a> <a href=2>News</a></div><div><h2>Title</h2><p>{LONG}</p><p>Short.</p></div><div><a href=3>More</a></div>", f"Title {LONG} Short."),
+        (f"<p>{LONG}</p><!-- <script> --><p>Second part</p><!-- <style> -->", f"{LONG} Second part"),
+        (f"<article><h1 class='header'>T</h1><p class='notice'>{LONG}</p><div class='comment-body'><p>{LONG}</p></div><div class='side-bar'>x</div></article>", f"T {LONG}"),
+        (f"<div class='has-sidebar'><p>{LONG}</p></div><div class='cookie-banner'><p>{LONG}</p></div>", LONG),
+        (f"<p>{LONG}</p><p>{'xyzzy plugh ' * 30}</p>", f"{LONG} {('xyzzy plugh ' * 30).strip()}"),
+        ("<article>one<p>two</article><footer>three</footer>", "one two"),
+        ("<p>only this</p>", "only this"),
+        ("<script>if (a < b) { '<p>' }</script>", ""),
+        ("<p>a &amp;lt; b &#233;&nbsp;\n c<p>unclosed <b", "a &lt; b é c unclosed"),
+    ],
+)
+def test_html_by_density(page, want):
+    assert html_main.main_text(page) == want
+
+
+def test_html_deep_pages_and_tables(spark):
+    assert len(html_main.main_text("<div><b>" * 20000 + f"<p>{LONG}" * 2000 + "</i></div>" * 20000)) == 2000 * (len(LONG) + 1) - 1
+    rows = [(1, "u", f"<p>{LONG}", 7), (1, "u", f"<p>{LONG}", 7), (None, None, None, 8), (2, "v", "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = sorted(map(tuple, html_main.extract(pages).select(F.coalesce("page_id", F.lit(-1)), "text", "n_chars").collect()))
+    assert got == [(-1, "", 0), (1, LONG, len(LONG)), (1, LONG, len(LONG)), (2, "", 0)]
+    assert html_main.extract(pages.limit(0)).count() == 0
+
+
+@needs_tables
+def test_html_equals_the_articles(spark):
+    """A plain reading of the markup; without the article tags the density rules find the same."""
+    pages = table(spark, SF, "pages")
+    got = {r.page_id: r.text for r in html_main.extract(pages).collect()}
+    bare = {r.page_id: r.text for r in html_main.extract(pages.withColumn("html", F.regexp_replace("html", r"(?i)<(/?)article\b[^>]*>", "<$1div>"))).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article[^>]*>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+        want = " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+        assert got[r.page_id].split() == want.split() and bare[r.page_id] == got[r.page_id]
+
+
 def test_classifiers(spark):
     rows = [(i, ("rotten " if i % 3 == 0 else "lovely ") + text(i, 20)) for i in range(300)] + [(900, None), (901, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -164,3 +283,44 @@ def test_top_k(spark):
         s = m @ m[q]
         want = [k for k in np.lexsort((np.arange(300), -s)) if k != q][:20]
         assert g.sort_values("rank").vec_id.tolist() == want
+
+
+def best(rows, k):
+    """Brute force: rows of (vec_id, vector) and their k best for every 20th id."""
+    out = set()
+    for q, x in rows:
+        if q % 20 == 0:
+            all_ = sorted((-sum(a * b for a, b in zip(x, y)), v) for v, y in rows if v != q and len(y) == len(x))
+            out |= {(q, r + 1, v, -s) for r, (s, v) in enumerate(all_[:k])}
+    return out
+
+
+def test_top_k_cases(spark):
+    """Ties, vectors of several lengths, empty ones, repeated vectors, few candidates, an empty table, other columns."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-2, 3, 3).tolist()) for i in range(200)] + [(i, rng.integers(-9, 9, 5).tolist()) for i in range(200, 206)] + [(i, []) for i in range(218, 224)] + [(300, [1 << 40, 5, 1 << 40, 0])] + [(301, [-3, 1 << 40, 7, 2])]
+    df = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, q array<long>, score int")
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 4).collect()} == best(rows, 4)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@needs_tables
+def test_top_k_equals_brute_force(spark):
+    vectors = topk.scaled(table(spark, SF, "embeddings"))
+    rows = [(r.vec_id, np.array(r.q)) for r in vectors.collect()]
+    m, ids, want = np.array([x for _, x in rows]), np.array([i for i, _ in rows]), set()
+    for q, x in rows:
+        if q % 20 == 0:
+            s = m @ x
+            order = [k for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
+            want |= {(q, r + 1, int(ids[k]), int(s[k])) for r, k in enumerate(order)}
+    assert {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0).collect()} == want
+
+
+def test_top_k_stops(spark):
+    """Where one dimension carries the scores, the bound stops the reading early."""
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.integers(0, 100_000, (4000, 1)), rng.integers(-1, 2, (4000, 3))], 1)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, q array<long>")
+    r = topk.effort(df, F.col("vec_id") == 0, 10).first()
+    assert r.n_rows == 4000 and r.depth < 500 and r.n_scored < 2000
