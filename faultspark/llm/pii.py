@@ -2,16 +2,18 @@
 
 Seeds are the matches of four regular expressions. Every seed and every other token with a digit or an
 at sign is an occurrence of a value in lexical contexts (the two words before it; the word before and
-the word after). Contexts and values form a graph. In each of ROUNDS rounds a context scores, by kind, the
-share of its distinct values that are known; contexts with at least SUPPORT known values and a share of
-at least CONFIDENCE are taken, and values get the chance that one of their contexts is right; values
-that reach PROMOTE become known. What is known at the end and was no seed adds spans where it occurs.
+the word after; words that begin over REACH code points away are not seen). Contexts and values form a graph. In each
+round a context scores, by kind, the share of its distinct values that are known; contexts with at least SUPPORT
+known values and a share of at least CONFIDENCE are taken, and values get the chance that one of their contexts is
+right; values that reach PROMOTE become known. Rounds go on until what is known stays the same (or comes back in a
+cycle). What is known at the end and was no seed adds spans where it occurs.
 
 The regular expressions are written so that a Java matcher never retries inside a run it has seen
 (possessive, anchored at the start of a run); tests/llm compares them with the plain forms.
 
 Cases: null or empty text has no spans and the digest of the empty string; equal starts sort by kind,
-then end; repeated rows each get the spans of their text; added spans never overlap base ones.
+then end; repeated rows, repeated and null ids each get the spans of their own text; added spans never overlap base ones;
+very long texts are searched whole; an empty table gives no rows; redact keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENCE, PROMOTE = 3, 4, 0.8, 0.8
+SUPPORT, CONFIDENCE, PROMOTE = 4, 0.8, 0.8
 REACH = 64  # code points searched for the words around a value
 # fixed values: the four kinds' patterns, and a token with a digit or at sign
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -85,15 +87,15 @@ def _occurrences(text: Column, base: Column) -> Column:
     of_base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["kind"].alias("kind")))
     tidy = F.transform(_matches(text, TOKEN, text.rlike("[0-9@]")), lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["value"], r"\p{Punct}++$", "").alias("value")))
     tokens = F.transform(tidy, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value"), F.lit(None).cast("string").alias("kind")))
-    long = F.filter(tokens, lambda m: (F.length(_digits(m["value"])) >= 4) | F.contains(m["value"], F.lit("@")))
-    return F.concat(of_base, F.filter(long, lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))))
+    return F.concat(of_base, F.filter(tokens, lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))))
 
 
 def _contexts(text: Column, start: Column, end: Column) -> Column:
     words = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\S++"), F.lit(0)), lambda w: F.lower(F.regexp_replace(w, r"^\p{Punct}++|(?<=\w)\p{Punct}++$", "")))
     near = F.greatest(start - REACH, F.lit(0))
-    left = words(F.substring(text, near + 1, start - near))
-    right = words(F.substring(text, end + 1, F.lit(REACH)))
+    before, behind = F.substring(text, near + 1, start - near), F.substring(text, end + 1, F.lit(REACH))
+    left = words(F.when(near > 0, F.regexp_replace(before, r"^\S*+", "")).otherwise(before))  # without a word that is cut
+    right = words(F.when(F.length(behind) == REACH, F.regexp_replace(behind, r"(?<!\S)\S++$", "")).otherwise(behind))
     two = F.array_join(F.slice(left, -2, 2), " ")
     one, after = F.try_element_at(left, F.lit(-1)), F.try_element_at(right, F.lit(1))
     both = F.concat(F.lit("<"), one, F.lit("> "), F.coalesce(after, F.lit("")))
@@ -106,34 +108,39 @@ def _learned(occurrences: DataFrame) -> DataFrame:
     seeds = occurrences.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).select("value", "kind", F.lit(1.0).alias("score"))
     known = seeds = staged(seeds, "seeds")
     per_context = staged(edges.groupBy("context").agg(F.count("*").alias("total")), "totals")
-    for _ in range(ROUNDS):
+    passed: list[tuple] = []
+    while True:
         hits = edges.join(known, "value").groupBy("context", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("mass"))
         taken = staged(hits.where(F.col("n") >= SUPPORT).join(per_context, "context").withColumn("share", F.col("mass") / F.col("total")).where(F.col("share") >= CONFIDENCE).select("context", "kind", "share"), "taken")
-        if taken.isEmpty():
+        if not passed and taken.isEmpty():
             break
         miss = F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-6))))
         scored = edges.join(taken, "context").groupBy("value", "kind").agg((1 - F.exp(miss)).alias("score")).where(F.col("score") >= PROMOTE)
         best = scored.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
         known = staged(seeds.unionByName(best.join(seeds, "value", "left_anti")), "known")
+        state = tuple(known.agg(F.count("*"), F.sum(F.xxhash64("value", "kind").cast("decimal(38,0)"))).first())
+        if state in passed:
+            break
+        passed.append(state)
     return known.join(seeds, "value", "left_anti").select("value", "kind")
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, row, base and occurrences with contexts, written once: the texts are read a single time."""
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("base", base_spans(F.col("text"))).withColumn("found", _occurrences(F.col("text"), F.col("base")))
+def scanned(docs: DataFrame, with_doc: tuple[str, ...]) -> DataFrame:
+    """row, base, occurrences with contexts and the named columns of docs as `doc`, written once: the texts are searched a single time."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in with_doc)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    found = whole.withColumn("base", base_spans(F.col("text"))).withColumn("found", _occurrences(F.col("text"), F.col("base")))
     placed = F.transform("found", lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"), o["value"].alias("value"), o["kind"].alias("kind"), _contexts(F.col("text"), o["start"], o["end"]).alias("contexts")))
-    return staged(found.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", placed.alias("found")), "scanned")
+    return staged(found.select("doc", F.monotonically_increasing_id().alias("row"), "base", placed.alias("found")), "scanned")
 
 
 def added_spans(scan: DataFrame) -> DataFrame:
-    """row, doc_id and the added spans of rows that get any."""
-    each = scan.select("row", "doc_id", F.explode("found").alias("o")).select("row", "doc_id", "o.*")
+    """row and the added spans of rows that get any."""
+    each = scan.select("row", F.explode("found").alias("o")).select("row", "o.*")
     learned = _learned(each)
     rank = F.array_position(F.lit(list(KINDS)), F.col("known")) - 1
     hits = each.where("kind is null").join(learned.withColumnRenamed("kind", "known"), "value")
     span = F.struct("start", rank.cast("int").alias("rank"), "end", F.col("known").alias("kind"), "value")
-    return staged(hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set(span)).alias("added")), "added")
+    return staged(hits.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("added")), "added")
 
 
 def _joined(spans: Column) -> Column:
@@ -142,25 +149,25 @@ def _joined(spans: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all), n_added."""
-    scan = scanned(docs)
-    spans = scan.select("row", "doc_id", "base").join(added_spans(scan).select("row", "added"), "row", "left")
+    scan = scanned(docs.select(F.col("doc_id").cast("long"), "text"), with_doc=("doc_id",))
+    spans = scan.select("row", "doc.doc_id", "base").join(added_spans(scan), "row", "left")
     more = F.coalesce("added", F.slice("base", 1, 0))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return spans.select("doc_id", *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", more))).alias("spans"), F.size(more).cast("long").alias("n_added"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in brackets; doc_id should be unique."""
-    added = added_spans(scanned(docs)).where("doc_id is not null").groupBy("doc_id").agg(F.flatten(F.collect_list("added")).alias("_added"))
-    joined = docs.join(staged(added, "redactions"), "doc_id", "left")
-    base = base_spans(F.col("text"))
-    spans = F.array_sort(F.concat(base, F.coalesce("_added", F.slice(base, 1, 0))))
+    """docs with every span replaced by its kind in brackets, row by row."""
+    scan = scanned(docs, tuple(docs.columns))
+    joined = scan.select("row", "doc", "base").join(added_spans(scan), "row", "left")
+    spans = F.array_sort(F.concat("base", F.coalesce("added", F.slice("base", 1, 0))))
+    text = F.col("doc.text")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        said = F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        said = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], said).otherwise(acc["out"]).alias("out"))
 
     cut = joined.withColumn("_spans", spans).withColumn("_cut", F.aggregate("_spans", begin, step))
-    text = F.when(F.size("_spans") > 0, F.concat("_cut.out", F.expr("substring(text, _cut.at + 1)"))).otherwise(F.col("text"))
-    return cut.withColumn("text", text).select(*docs.columns)
+    said = F.when(F.size("_spans") > 0, F.concat("_cut.out", F.expr("substring(doc.text, _cut.at + 1)"))).otherwise(text)
+    return cut.select(*(said.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
