@@ -16,7 +16,8 @@ pair of similarity 0.8 misses all bands with probability 5e-8.
 
 Cases: null or empty text, or text without words, has no set, links with nothing and is kept. Texts of fewer words
 than a shingle have their whole word sequence as the one shingle. A null doc_id takes no part: its
-component_id is null and it is kept. Copies of rows come back as often as they came.
+component_id is null and it is kept. Copies of rows come back as often as they came. Rows with one doc_id are one document: what any of its
+texts is linked with is in its component. Very long texts give long sets; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -208,11 +209,11 @@ def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b), each given once, whose full sets reach the threshold. Nothing groups by a behind the join, so a pivot of many pairs can be split."""
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, size)
     left, right = (sets.select(F.col("id").alias(x), F.col("own").alias(f"set_{x}")) for x in "ab")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct()
+    return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
 def _between_components(shared: DataFrame, found: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, percent: int, steps) -> DataFrame:
