@@ -7,7 +7,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
-from faultspark.llm import decontam, html_main, near_dedup, packing, pii, quality, substring_dedup, tokens, topk, toxicity
+from faultspark.llm import common, decontam, html_main, near_dedup, packing, pii, quality, substring_dedup, tokens, topk, toxicity
 from faultspark.llm.common import table
 from pyspark.sql import functions as F
 
@@ -324,3 +324,29 @@ def test_top_k_stops(spark):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, q array<long>")
     r = topk.effort(df, F.col("vec_id") == 0, 10).first()
     assert r.n_rows == 4000 and r.depth < 500 and r.n_scored < 2000
+
+
+def test_pii_learns_by_rounds_and_redacts_by_row(spark):
+    """A second context is known only by values that the first one taught; null and repeated ids keep their own spans."""
+    rows = [(-2, f"please mail me a{k}@x.org, now") for k in range(40)]
+    rows += [(10, f"please mail me q{k}-x, now") for k in range(8)] + [(20, f"the staff code q{k}-x is his") for k in range(8)]
+    rows += [(30, "the staff code z9 is his"), (None, "the staff code z9 is his"), (30, "nothing here 5"), (31, None), (31, "w" * 70 + " z9")]
+    df = spark.createDataFrame([(d, t, 0, "r") for d, t in rows], "doc_id long, text string, row int, found string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "", r.row, r.found) for r in pii.redact(df).collect() if r.doc_id is None or r.doc_id >= 30)
+    assert got == sorted([(30, "the staff code [EMAIL] is his", 0, "r"), (-1, "the staff code [EMAIL] is his", 0, "r"), (30, "nothing here 5", 0, "r"), (31, "", 0, "r"), (31, "w" * 70 + " [EMAIL]", 0, "r")])
+    assert pii.redact(df.limit(0)).count() == 0 and pii.find(df.limit(0)).count() == 0
+
+
+def test_shared_folder_on_a_cluster():
+    class Session:
+        class sparkContext:
+            master = "spark://h:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+        class conf:
+            get = staticmethod(lambda k, d: d)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
