@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, wrap_longitude
-from ..functions.geodesy import direct, from_utm, inverse, to_utm, turn, utm_zone
+from ..functions.geodesy import direct, from_utm_points, inverse, to_utm, turn, utm_zone
 
 REFERENCES = ("top_center", "top_left", "top_right", "center")
 
@@ -38,11 +38,8 @@ def subfault_corners(df: DataFrame, ref_loc: str = "top_center") -> DataFrame:
 
 def subfault_polygons(df: DataFrame, closed: bool = False) -> DataFrame:
     """polygon: the corners as an array of (lon, lat), the first again at the end if closed. Needs corners and utm_zone."""
-    for c in ("tl", "tr", "br", "bl"):
-        df = df.withColumns({"_x": F.col(f"{c}.x"), "_y": F.col(f"{c}.y")})
-        df = from_utm(df, "_x", "_y", lon="_lon", lat="_lat").withColumn(f"_{c}", F.struct(F.col("_lon").alias("lon"), F.col("_lat").alias("lat")))
-    ring = ["_tl", "_tr", "_br", "_bl"] + ["_tl"] * closed
-    return df.withColumn("polygon", F.array(*ring)).drop("_x", "_y", "_lon", "_lat", "_tl", "_tr", "_br", "_bl")
+    ring = F.array("tl", "tr", "br", "bl", *["tl"] * closed)
+    return df.withColumn("polygon", from_utm_points(ring, F.col("utm_zone")))
 
 
 def shift_event(subfaults: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

@@ -125,19 +125,26 @@ def with_monotonic_check(rows: DataFrame) -> DataFrame:
 
 
 def compare_grids(a: DataFrame, others: DataFrame) -> DataFrame:
-    """Per other grid: whether shape and undefined nodes match a's, and the first flat index that differs."""
-    width = a.agg((F.max("lon_idx") + 1).alias("n_x"))
-    mine = a.select("lat_idx", "lon_idx", finite(F.col("value")).alias("here"))
-    ids = others.select("grid_id").distinct()
-    spine = mine.withColumn("_k", F.lit(1)).join(ids.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    theirs = others.select("grid_id", "lat_idx", "lon_idx", finite(F.col("value")).alias("there"))
-    both = spine.join(theirs, ["grid_id", "lat_idx", "lon_idx"], "full").withColumn("_k", F.lit(1)).join(width.withColumn("_k", F.lit(1)), "_k")
-    flat = F.col("lat_idx") * F.col("n_x") + F.col("lon_idx")
-    shape = F.col("here").isNull() | F.col("there").isNull()
-    return both.groupBy("grid_id").agg(
-        (F.count_if(shape) == 0).alias("same_shape"), (F.count_if(shape | (F.col("here") != F.col("there"))) == 0).alias("same_mask"),
-        F.min(F.when(shape | (F.col("here") != F.col("there")), flat)).cast("long").alias("first_difference"),
-    )
+    """Per other grid: whether shape and undefined nodes match a's, and the first flat index (in a's rows) that differs.
+
+    Nodes meet by their place; a node of a that a grid lacks is found by how many of the grid's nodes met it.
+    """
+    from .lookup import on_each
+
+    place = ["lat_idx", "lon_idx"]
+    ids = F.array_sort(F.collect_set("grid_id"))
+    mine = a.select(*place, finite(F.col("value")).alias("here"), F.lit(True).alias("_a"))
+    theirs = others.groupBy(*place).agg(ids.alias("_has"), F.collect_set(F.when(finite(F.col("value")), F.col("grid_id"))).alias("_there"))
+    both = mine.join(theirs, place, "full")
+    flat = F.col("lat_idx") * F.lit(a.agg((F.max("lon_idx") + 1).alias("n")).first()["n"]) + F.col("lon_idx")
+    each = on_each(both, "grid_id", others)
+    has = F.coalesce(F.array_contains("_has", F.col("grid_id")), F.lit(False))
+    shape = (F.coalesce("_a", F.lit(False)) != has)
+    differs = shape | (has & (F.col("here") != F.coalesce(F.array_contains("_there", F.col("grid_id")), F.lit(False))))
+    marked = each.where(F.coalesce("_a", F.lit(False)) | has).select("grid_id", flat.alias("_flat"), shape.alias("_shape"), differs.alias("_differs"))
+    return marked.groupBy("grid_id").agg(
+        (F.count_if("_shape") == 0).alias("same_shape"), (F.count_if("_differs") == 0).alias("same_mask"), F.min(F.when(F.col("_differs"), F.col("_flat"))).cast("long").alias("first_difference")
+    )
 
 
 def replace_values(grid: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("grid_id", "lat_idx", "lon_idx"), column: str = "value") -> DataFrame:

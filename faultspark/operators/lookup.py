@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .grid import grid_meta, inverse_transform
 
+MOST_NAMES = 10_000
 BROADCAST_CELLS = 2_000_000  # 64 bytes each: at most about 128 MB go to every executor
 
 
@@ -46,18 +47,30 @@ def lookup_grid(points: DataFrame, grid: DataFrame, *, x: str = "lon", y: str =
     return found.withColumn(out, F.when(inside & F.col("v00").isNotNull(), value).otherwise(F.lit(float("nan")))).select(*[c for c in points.columns if c != out], out)
 
 
+def on_each(rows: DataFrame, column: str, of: DataFrame) -> DataFrame:
+    """rows once for each distinct value of `column` in `of`; the values (names of grids or moves) go into the plan."""
+    found = sorted(r[0] for r in of.select(column).distinct().limit(MOST_NAMES + 1).collect())
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} values of {column} at once")
+    values = F.array(*map(F.lit, found)) if found else F.array().cast(f"array<{of.schema[column].dataType.simpleString()}>")
+    return rows.drop(column).withColumn(column, F.explode(values))
+
+
 def lookup_many(points: DataFrame, grids: DataFrame, **how) -> DataFrame:
     """The same points against every grid of an ensemble; an error if the shapes differ."""
-    meta = grid_meta(grids)
-    shapes = meta.agg(F.count_distinct("n_x", "n_y", "x_min", "x_max", "y_min", "y_max").alias("n"))
-    ok = F.when(F.col("n") <= 1, True).otherwise(F.raise_error(F.lit("the grids do not share one base grid")).cast("boolean"))
-    ids = F.broadcast(meta.select("grid_id", F.lit(1).alias("_k")).join(shapes.select(ok.alias("ok"), F.lit(1).alias("_k")), "_k").where("ok").select("grid_id", "_k"))
-    return lookup_grid(points.drop("grid_id").withColumn("_k", F.lit(1)).join(ids, "_k").drop("_k"), grids, **how)
+    shapes = grid_meta(grids).select("n_x", "n_y", "x_min", "x_max", "y_min", "y_max").distinct().limit(2).collect()
+    if len(shapes) > 1:
+        raise ValueError("the grids do not share one base grid")
+    return lookup_grid(on_each(points, "grid_id", grids), grids, **how)
 
 
 def lookup_transformed(points: DataFrame, grid: DataFrame, transforms: DataFrame, *, x: str = "lon", y: str = "lat", **how) -> DataFrame:
-    """Values of the moved grid: points go through the inverse transform (transform_id, angle_deg, dx, dy, px, py), then are looked up."""
-    both = points.withColumn("_k", F.lit(1)).join(transforms.withColumn("_k", F.lit(1)), "_k").drop("_k") if "transform_id" not in points.columns else points.join(transforms, "transform_id")
+    """Values of the moved grid: points go through the inverse transform (transform_id, angle_deg, dx, dy, px, py), then are looked up.
+
+    Points without a transform_id go through every transform.
+    """
+    each = points if "transform_id" in points.columns else on_each(points, "transform_id", transforms)
+    both = each.join(transforms, "transform_id")
     bx, by = inverse_transform(*(F.col(c) for c in (x, y, "angle_deg", "dx", "dy", "px", "py")))
     found = lookup_grid(both.withColumns({"_x": bx, "_y": by}), grid, x="_x", y="_y", **how)
     return found.drop("_x", "_y", "angle_deg", "dx", "dy", "px", "py")

@@ -81,13 +81,44 @@ def segment_angles(points: DataFrame, polygons: DataFrame, *, identity: list[str
     return out.select(*points.columns, pick("strike"), pick("dip"), F.col("_s.seg_order").alias("seg_order"))
 
 
-def closest_subfault(points: DataFrame, subfaults: DataFrame, *, keys: list[str], identity: list[str]) -> DataFrame:
+def nearest(asked: DataFrame, have: DataFrame, *, keys: list[str], identity: list[str], tile: float, reach: float, distance: Column, rank: list[str]) -> DataFrame:
+    """Each of asked with its nearest of have, by growing rings of tiles: identity, _b (a struct of d and the rank columns).
+
+    Both have tx and ty, tiles of one plane and the given size in which `distance`, of the joined row, is measured. have may stand in several tiles. A ring of r tiles finds
+    what is nearer than r * tile. Rings double until all are found within their ring or the ring reaches over `reach`; a round has only what is still open.
+    """
+    open_, done, ring = asked, None, 1
+    own = [*keys, "tx", "ty"]
+    while True:
+        around = F.sequence(F.lit(-ring), F.lit(ring))
+        tiles = open_.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"tx": F.col("tx") + F.col("_dx"), "ty": F.col("ty") + F.col("_dy")}).drop("_dx", "_dy")
+        best = tiles.join(have, own).groupBy(*identity).agg(F.min(F.struct(distance.alias("d"), *rank)).alias("_b"))
+        last = ring * tile > reach
+        found = best if last else best.where(F.col("_b.d") < ring * tile)
+        found = found.persist()
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        open_ = open_.join(found.select(*identity), identity, "left_anti")
+        if open_.isEmpty():
+            return done
+        ring *= 2
+
+
+def closest_subfault(points: DataFrame, subfaults: DataFrame, *, keys: list[str], identity: list[str], tile: float = 50.0) -> DataFrame:
     """Nearest subfault in kilometres (x_km, y_km) of the point's own rupture: row-major index and distance; NaN left out."""
     nodes = subfaults.where(finite(F.col("x_km")) & finite(F.col("y_km"))).select(*keys, "segment_id", "subfault_id", F.col("x_km").alias("_x"), F.col("y_km").alias("_y"))
-    d2 = F.pow(F.col("x_km") - F.col("_x"), 2) + F.pow(F.col("y_km") - F.col("_y"), 2)
-    best = F.min(F.struct(d2.alias("d2"), "segment_id", "subfault_id"))
-    out = points.join(nodes, keys).groupBy(*identity).agg(best.alias("_b"))
-    return out.select(*identity, F.col("_b.segment_id").alias("segment_id"), F.col("_b.subfault_id").alias("subfault_id"), F.sqrt("_b.d2").alias("distance_km"))
+    asked = tiled(points.where(finite(F.col("x_km")) & finite(F.col("y_km"))), tile, "x_km", "y_km")
+    have = tiled(nodes, tile, "_x", "_y")
+    d = F.sqrt(F.pow(F.col("x_km") - F.col("_x"), 2) + F.pow(F.col("y_km") - F.col("_y"), 2))
+    out = nearest(asked, have, keys=keys, identity=identity, tile=tile, reach=_span(asked, have) * tile, distance=d, rank=["segment_id", "subfault_id"])
+    return out.select(*identity, F.col("_b.segment_id").alias("segment_id"), F.col("_b.subfault_id").alias("subfault_id"), F.col("_b.d").alias("distance_km"))
+
+
+def _span(asked: DataFrame, have: DataFrame) -> int:
+    """Tiles between the farthest of both tables, along the longer axis."""
+    box = asked.select("tx", "ty").union(have.select("tx", "ty")).agg(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty")).first()
+    return int(max(box[0] or 0, box[1] or 0)) + 1
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -95,20 +126,26 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def distance_to_boundaries(nodes: DataFrame, lines: DataFrame, *, identity: list[str], type_filter: str | None = "subduction", names: list[str] | None = None, contains: bool = False) -> DataFrame:
+def distance_to_boundaries(nodes: DataFrame, lines: DataFrame, *, identity: list[str], type_filter: str | None = "subduction", names: list[str] | None = None, contains: bool = False, tile: float = 2.0) -> DataFrame:
     """Kilometres from each node (lon, lat) to the nearest edge of the chosen lines (line_id, name, type, seq, lon, lat).
 
-    Edges are straight in an equirectangular plane about the node. Edges are few beside nodes and are joined to all of them.
+    Edges are straight in an equirectangular plane about the node. Edges and nodes meet in growing rings of tiles of `tile` degrees; a tile counts
+    for the least that a degree is at the nodes' latitudes, so that a ring finds all that is nearer.
     """
     kind = F.lower("type")
     chosen = lines.where(F.col("name").isin(names)) if names is not None else lines.where(F.contains(kind, F.lit(type_filter.lower())) if contains else kind == type_filter.lower()) if type_filter else lines
     order = Window.partitionBy("line_id").orderBy("seq")
     edges = chosen.select("line_id", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.lead("lon").over(order).alias("bx"), F.lead("lat").over(order).alias("by")).where("bx is not null")
     km = math.pi / 180 * EARTH_KM
+    cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / tile), F.floor(F.greatest(a, b) / tile))
+    have = edges.withColumn("tx", F.explode(cells("ax", "bx"))).withColumn("ty", F.explode(cells("ay", "by")))
+    asked = tiled(nodes, tile, "lon", "lat")
     shrink = F.cos(F.radians("lat"))
     flat = lambda x, y: F.struct(((F.col(x) - F.col("lon")) * shrink * km).alias("x"), ((F.col(y) - F.col("lat")) * km).alias("y"))
-    met = nodes.withColumn("_k", F.lit(1)).join(edges.withColumn("_k", F.lit(1)), "_k").withColumns({"_p": flat("ax", "ay"), "_q": flat("bx", "by")})
-    return met.groupBy(*identity).agg(F.min(_edge_distance(F.col("_p"), F.col("_q"), F.lit(0.0), F.lit(0.0))).alias("distance_km"))
+    d = _edge_distance(flat("ax", "ay"), flat("bx", "by"), F.lit(0.0), F.lit(0.0))
+    least = (asked.agg(F.min(shrink)).first()[0] or 1.0) * tile * km
+    out = nearest(asked, have, keys=[], identity=identity, tile=least, reach=_span(asked, have) * least, distance=d, rank=["line_id"])
+    return out.select(*identity, F.col("_b.d").alias("distance_km"))
 
 
 def rasterize_triangles(triangles: DataFrame, nx: int = 100, ny: int = 100) -> DataFrame:
@@ -200,12 +237,13 @@ def delaunay(points: np.ndarray) -> np.ndarray:
 def grid_scatter(points: DataFrame, keys: list[str], nx: int, ny: int, method: str = "linear", fill: float = 0.0) -> DataFrame:
     """Scattered (x, y, v) of each key on a regular nx by ny grid over their extent: keys, i, j, x, y, value.
 
-    One key, a segment of some hundred points, is one task's group; each is triangulated in numpy.
+    One key, a segment of some hundred points, is one task's group; each is triangulated in numpy. Of points at one place the least value counts, of equally near ones
+    the first by x and y.
     """
     key_schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f[np.isfinite(f[["x", "y", "v"]].to_numpy(float)).all(1)].drop_duplicates(["x", "y"])
+        f = f[np.isfinite(f[["x", "y", "v"]].to_numpy(float)).all(1)].sort_values(["x", "y", "v"]).drop_duplicates(["x", "y"])
         p, v = f[["x", "y"]].to_numpy(float), f["v"].to_numpy(float)
         if not len(p):
             return pd.DataFrame(columns=[*keys, "i", "j", "x", "y", "value"])
@@ -232,14 +270,24 @@ def grid_scatter(points: DataFrame, keys: list[str], nx: int, ny: int, method: s
 
 def regrid(target: DataFrame, source: DataFrame, max_radius_deg: float = 30.0, step_deg: float = 5.0) -> DataFrame:
     """source at the finite nodes of target: bilinear; where undefined the nearest node on the axes; where still undefined the
-    nearest defined source node (longitude scaled by cos(lat)) within the radius, rounded up to whole steps; NaN elsewhere."""
-    from .grid import grid_meta
-    from .lookup import lookup_grid
+    nearest defined source node (each longitude scaled by the cosine of its own latitude) within the radius, rounded up to whole steps; NaN elsewhere.
 
+    An error if target has no finite node, or if the boxes of a target and a source do not meet.
+    """
+    from .grid import grid_meta
+    from .lookup import lookup_grid, on_each
+
+    boxes = [grid_meta(g).select("grid_id", "x_min", "x_max", "y_min", "y_max") for g in (target, source)]
+    t, s = (b.select(*(F.col(c).alias(f"{p}_{c}") for c in b.columns)) for b, p in zip(boxes, "ts"))
+    pairs = on_each(t.withColumnRenamed("t_grid_id", "t_id"), "grid_id", source).join(s, F.col("grid_id") == F.col("s_grid_id"))
+    apart = (F.col("t_x_max") < F.col("s_x_min")) | (F.col("s_x_max") < F.col("t_x_min")) | (F.col("t_y_max") < F.col("s_y_min")) | (F.col("s_y_max") < F.col("t_y_min"))
+    if pairs.where(apart).limit(1).count():
+        raise ValueError("a target and a source grid do not overlap")
+    if target.where(finite(F.col("value"))).isEmpty():
+        raise ValueError("the target has no finite node")
     meta = grid_meta(source)
-    sid = source.select("grid_id").distinct().withColumnRenamed("grid_id", "_sid").withColumn("_k", F.lit(1))
     nodes = target.where(finite(F.col("value"))).select("grid_id", "lat_idx", "lon_idx", "lat", "lon")
-    asked = nodes.withColumnRenamed("grid_id", "target_id").withColumn("_k", F.lit(1)).join(F.broadcast(sid), "_k").drop("_k").withColumnRenamed("_sid", "grid_id")
+    asked = on_each(nodes.withColumnRenamed("grid_id", "target_id"), "grid_id", source)
     linear = lookup_grid(asked, source, outside="null", out="linear").join(F.broadcast(meta), "grid_id")
     at = lambda c, lo, hi, n: F.round(F.try_divide(F.col(c) - F.col(lo), F.col(hi) - F.col(lo)) * (F.col(n) - 1)).cast("int")
     near = linear.withColumns({"_i": at("lon", "x_min", "x_max", "n_x"), "_j": at("lat", "y_min", "y_max", "n_y")})
@@ -248,12 +296,13 @@ def regrid(target: DataFrame, source: DataFrame, max_radius_deg: float = 30.0, s
     two = two.select("target_id", "grid_id", "lat_idx", "lon_idx", "lat", "lon", "value")
     radius = math.ceil(max_radius_deg / step_deg) * step_deg
     tile = step_deg
-    holes = two.where(~finite(F.col("value"))).withColumns({"_tx": F.floor(F.col("lon") / tile), "_ty": F.floor(F.col("lat") / tile)})
-    wide = F.ceil(F.lit(radius) / tile / F.greatest(F.cos(F.radians("lat")), F.lit(0.05))).cast("int")
     high = math.ceil(radius / tile)
-    rings = holes.withColumn("tx", F.explode(F.sequence(F.col("_tx") - wide, F.col("_tx") + wide))).withColumn("ty", F.explode(F.sequence(F.col("_ty") - high, F.col("_ty") + high)))
-    have = tiled(source.where(finite(F.col("value"))).select("grid_id", F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("value").alias("_v")), tile, "_x", "_y")
-    d2 = F.pow((F.col("lon") - F.col("_x")) * F.cos(F.radians("lat")), 2) + F.pow(F.col("lat") - F.col("_y"), 2)
+    flat = lambda x, y: F.col(x) * F.cos(F.radians(y))
+    holes = two.where(~finite(F.col("value"))).withColumn("_u", flat("lon", "lat"))
+    around = F.sequence(F.lit(-high), F.lit(high))
+    rings = tiled(holes, tile, "_u", "lat").withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"tx": F.col("tx") + F.col("_dx"), "ty": F.col("ty") + F.col("_dy")})
+    have = tiled(source.where(finite(F.col("value"))).select("grid_id", F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("value").alias("_v")).withColumn("_w", flat("_x", "_y")), tile, "_w", "_y")
+    d2 = F.pow(F.col("_u") - F.col("_w"), 2) + F.pow(F.col("lat") - F.col("_y"), 2)
     filled = rings.join(have, ["grid_id", "tx", "ty"]).withColumn("_d", d2).where(F.col("_d") <= radius * radius).groupBy("target_id", "grid_id", "lat_idx", "lon_idx").agg(F.min(F.struct("_d", "_y", "_x", "_v"))["_v"].alias("filled"))
     out = two.join(filled, ["target_id", "grid_id", "lat_idx", "lon_idx"], "left")
     return out.select("target_id", "grid_id", "lat_idx", "lon_idx", "lat", "lon", F.when(finite(F.col("value")), F.col("value")).otherwise(F.coalesce("filled", F.lit(float("nan")))).alias("value"))

@@ -66,7 +66,7 @@ QUERIES = {
     "rotate_translate": _rotated,
     "lookup_transformed": lambda s, d: _r(lookup.lookup_transformed(_moved_points(s, d), grid.with_nan_to_zero(A.grid(s, d)), A.transforms(s, d)).select("point_id", "value"), "value"),
     "closest_subfault": _closest,
-    "sample_surface_projection": lambda s, d: sampling.sample_surface_projection(A.grid(s, d), 10000.0, 1.0, 1.0),
+    "sample_surface_projection": lambda s, d: _r(sampling.sample_surface_projection(A.grid(s, d), 10000.0, 1.0, 1.0, rng="md5"), "lon", "lat", "value"),
     "random_order_take": lambda s, d: sampling.random_order_take(A.subfaults(s, d).select("event_id", "subfault_id"), 5, ["event_id"], ["subfault_id"], rng="md5"),
     "normalize_time": _relative_time,
     "distance_to_boundaries": lambda s, d: _r(spatial.distance_to_boundaries(A.grid(s, d), A.lines(s, d), identity=["lat_idx", "lon_idx"]), "distance_km", places=6),
@@ -124,9 +124,9 @@ e AS (SELECT x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM
 k AS (SELECT lat_idx, lon_idx, (ax - lon) * cos(radians(lat)) * c AS px, (ay - lat) * c AS py, (bx - ax) * cos(radians(lat)) * c AS dx, (by_ - ay) * c AS dy FROM {_GRID} g, e, (SELECT pi() / 180 * 6371.0088e0 AS c) WHERE bx IS NOT NULL),
 t AS (SELECT *, greatest(0e0, least(1e0, coalesce(-(px * dx + py * dy) / nullif(dx * dx + dy * dy, 0), 0e0))) AS t FROM k)
 SELECT lat_idx, lon_idx, round(min(sqrt((px + t * dx) * (px + t * dx) + (py + t * dy) * (py + t * dy))), 6) AS distance_km FROM t GROUP BY 1, 2""",
-    "rasterize_triangles": """WITH t AS (SELECT n_nationkey AS tri, n_nationkey % 5 * 2e0 AS x, n_nationkey // 5 * 2e0 AS y, n_nationkey + 1e0 AS v FROM nation), b AS (SELECT min(x) AS x0, max(x) + 2 AS x1, min(y) AS y0, max(y) + 2 AS y1 FROM t),
+    "rasterize_triangles": """WITH t AS (SELECT c_custkey AS tri, (c_custkey * 7919) % 1009 / 101e0 AS x, (c_custkey * 104729) % 1013 / 101.3e0 AS y, c_acctbal AS v FROM customer), b AS (SELECT min(x) AS x0, max(x + 0.5e0) AS x1, min(y) AS y0, max(y + 0.5e0) AS y1 FROM t),
 g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, x0 + i * (x1 - x0) / 19 AS x, y0 + j * (y1 - y0) / 19 AS y FROM range(20) a(i), range(20) c(j), b)
-SELECT i, j, round(g.x, 9) AS x, round(g.y, 9) AS y, coalesce(arg_min(v, tri), 0e0) AS value FROM g LEFT JOIN t ON g.x >= t.x - 1e-12 AND g.y >= t.y - 1e-12 AND g.x - t.x + g.y - t.y <= 2 + 1e-12 GROUP BY i, j, g.x, g.y""",
+SELECT i, j, round(g.x, 9) AS x, round(g.y, 9) AS y, coalesce(arg_min(v, tri), 0e0) AS value FROM g LEFT JOIN t ON g.x >= t.x - 1e-12 AND g.y >= t.y - 1e-12 AND g.x - t.x + g.y - t.y <= 0.5e0 + 1e-12 GROUP BY i, j, g.x, g.y""",
     "bandwidth": f"SELECT k, round(0.9e0 * pow(sum(weight) * sum(weight) / sum(weight * weight), -0.2e0), 9) AS h FROM {_VAL} GROUP BY k",
     "kde_pdf2d": """WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, count(*) AS n FROM lineitem),
 s AS (SELECT any_value(n) AS n, sqrt(avg((l_quantity - mx) * (l_quantity - mx))) AS sx, sqrt(avg((l_extendedprice - my) * (l_extendedprice - my))) AS sy, pow(any_value(n), -1e0 / 6) AS h FROM lineitem, m)
@@ -146,6 +146,11 @@ e AS (SELECT k, x + ax[s + 1] AS px, y + ay[s + 1] AS py, x + ax[(s + 1) % 4 + 1
 p AS (SELECT c_custkey AS point_id, (c_custkey * 7919) % 1009 / 101e0 AS x, (c_custkey * 104729) % 1013 / 101.3e0 AS y FROM customer),
 h AS (SELECT point_id, k FROM p, e GROUP BY point_id, k HAVING count_if((py > y) <> (qy > y) AND x < px + (y - py) * (qx - px) / (qy - py)) % 2 = 1)
 SELECT point_id, min(k) * 10e0 AS strike, min(k) + 5e0 AS dip FROM p LEFT JOIN h USING (point_id) GROUP BY point_id""",
+    "sample_surface_projection": f"""WITH g AS (SELECT lat_idx, lon_idx, value FROM {_GRID}), k AS (SELECT CAST(trunc(10000e0 / 1000.0 * 1.0 * sum(value)) AS BIGINT) AS n FROM g),
+p AS (SELECT i AS proposal, -73 + {_random("x")} * 5 AS lon, -31 + {_random("y")} * 12 AS lat, {_random("h")} * (SELECT max(value) FROM g) AS h FROM range(40000) r(i)),
+f AS (SELECT *, {_INDEX} FROM p), v AS (SELECT proposal, lon, lat, h, {_BILINEAR} AS value FROM f JOIN g ON {_CORNERS} GROUP BY proposal, lon, lat, h HAVING count(g.value) = count(*)),
+a AS (SELECT *, row_number() OVER (ORDER BY proposal) - 1 AS sample_idx FROM v WHERE value > h)
+SELECT 'g' AS grid_id, sample_idx, round(lon, 9) AS lon, round(lat, 9) AS lat, round(value, 9) AS value FROM a WHERE sample_idx < (SELECT n FROM k)""",
     "sample_grid": f"""WITH g AS (SELECT lat_idx, lon_idx, value FROM {_GRID}), p AS (SELECT i AS proposal, -73 + {_random("x")} * 5 AS lon, -31 + {_random("y")} * 12 AS lat, {_random("h")} * (SELECT max(value) FROM g) AS h FROM range(20000) r(i)),
 f AS (SELECT *, {_INDEX} FROM p), v AS (SELECT proposal, lon, lat, h, {_BILINEAR} AS value FROM f JOIN g ON {_CORNERS} GROUP BY proposal, lon, lat, h HAVING count(g.value) = count(*)),
 a AS (SELECT *, row_number() OVER (ORDER BY proposal) - 1 AS sample_idx FROM v WHERE value > h)

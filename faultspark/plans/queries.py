@@ -8,12 +8,34 @@ from ..functions.columns import finite
 from ..operators import compare, ecdf, faults, grid, kde, lookup, sampling, spatial
 from ..sources import adapters as A
 from . import geometry_queries as G
+from . import rupture_sql as S
 from . import workloads as W
 
 X = [5.0 * k for k in range(21)]
 XE = [-0.5 + k / 20 for k in range(21)]
 
 
+#: smaller than a paper's run (500 realizations at kappa 750, densities to 1e5), so that DuckDB can follow; the rupture box of the tables is wider than their grid's defined part
+NULL = {"n_null": 8, "max_tries": 24, "min_finite": 0.75, "kappa": 20.0}
+KAPPAS, KAPPA_REF, TOL = [20.0, 60.0, 180.0], 540.0, 0.05
+
+
+def _patches(s, d):
+    return faults.subfault_polygons(faults.subfault_corners(faults.project(A.subfaults(s, d), ["event_id"])))
+
+
+def _starts(s, d):
+    """A place 0.01 degrees down dip of each event's greatest slip."""
+    place = F.struct((F.col("lon") + 0.01 * F.cos(F.radians("strike"))).alias("long"), (F.col("lat") - 0.01 * F.sin(F.radians("strike"))).alias("lat"))
+    first = F.min_by(place, F.struct(-F.col("slip"), "subfault_id")).alias("_p")
+    return A.subfaults(s, d).groupBy("event_id").agg(first).select("event_id", "_p.*")
+
+
+def _epicenter(s, d):
+    found = spatial.find_epicenter_subfault(_starts(s, d), _patches(s, d)).select(*A.subfaults(s, d).columns)
+    return _r(sampling.sample_epicenter(found, 500.0, rng="md5"), "lon", "lat", places=6)
+
+
 def _points(s, d):
     return A.places(s, d).select("point_id", F.lit("g").alias("grid_id"), (-73.5 + F.col("x") * 0.6).alias("lon"), (-32 + F.col("y") * 1.4).alias("lat"))
 
@@ -23,13 +45,13 @@ def _hn(s, d):
     return v.where("weight < 2"), v.where("weight >= 2")
 
 
-def _r(df, *cols):
-    """Doubles to nine places, so that sums in another order agree."""
-    return df.withColumns({c: F.round(c, 9) for c in cols})
+def _r(df, *cols, places=9):
+    """Doubles to nine places, so that sums in another order agree; what goes through sines, to six."""
+    return df.withColumns({c: F.round(c, places) for c in cols})
 
 
 QUERIES = {
-    "observed_cdf": lambda s, d: W.observed_cdf(A.subfaults(s, d), A.grid(s, d), 50.0, rng="md5"),
+    "observed_cdf": lambda s, d: _r(W.observed_cdf(A.subfaults(s, d), A.grid(s, d), 200.0, rng="md5"), "cdf"),
     "fault_summary": lambda s, d: faults.fault_summary(A.subfaults(s, d), ["event_id"], 50.0, 1.0).withColumn("slip_area", F.round("slip_area", 4)),
     "average_time": lambda s, d: A.subfaults(s, d).select("subfault_id", faults.average_time().alias("t")).where(finite(F.col("t"))),
     "spacing": lambda s, d: _r(faults.spacing(A.subfaults(s, d), ["event_id"], "lat", ["subfault_id"], "width_dip_km"), "spacing"),
@@ -52,15 +74,19 @@ QUERIES = {
     "p_superiority_ci": lambda s, d: compare.p_superiority_ci(*_hn(s, d), ["k"]),
     "kde_pdf": lambda s, d: _r(kde.kde_pdf(A.values(s, d), ["value"], [(v,) for v in X], weight="weight"), "pdf"),
     "pdf_cdf": lambda s, d: _r(kde.pdf_cdf(A.values(s, d), "value", X), "pdf", "cdf"),
-    "sample_uniform": lambda s, d: sampling.sample_uniform(A.subfaults(s, d), 500, rng="md5"),
+    "sample_uniform": lambda s, d: _r(sampling.sample_uniform(A.subfaults(s, d), 500, rng="md5"), "lon", "lat", places=6),
+    "subfault_polygons": lambda s, d: _r(_patches(s, d).select("subfault_id", F.posexplode("polygon").alias("corner", "_p")).select("subfault_id", "corner", "_p.lon", "_p.lat"), "lon", "lat", places=6),
+    "find_epicenter_subfault": lambda s, d: spatial.find_epicenter_subfault(_starts(s, d), _patches(s, d)).select("event_id", "segment_id", "subfault_id"),
+    "sample_epicenter": _epicenter,
     "sample_grid": lambda s, d: _r(sampling.sample_grid(A.grid(s, d), 2000, rng="md5"), "lon", "lat", "value"),
-    "sample_polygons": lambda s, d: sampling.sample_polygons(A.boxes(s, d).select(F.col("seg_order").alias("poly_id"), "ring", F.lit(100).alias("n")), "n"),
+    "sample_polygons": lambda s, d: _r(sampling.sample_polygons(A.plots(s, d), "n", rng="md5"), "x", "y"),
     "segment_angles": lambda s, d: spatial.segment_angles(A.places(s, d), A.boxes(s, d), identity=["point_id"], x="x", y="y", strict=False).select("point_id", "strike", "dip"),
-    "grid_scatter": lambda s, d: spatial.grid_scatter(A.places(s, d), ["key"], 20, 20),
-    "regrid": lambda s, d: spatial.regrid(A.ensemble(s, d).where("grid_id = 'A'"), A.grid(s, d)),
-    "kappa_convergence": lambda s, d: W.kappa_convergence(A.subfaults(s, d), A.grid(s, d), [5.0, 15.0, 30.0], 60.0)[1],
-    "null_model_geodesic": lambda s, d: W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), n_null=3, max_tries=6, min_finite=0.5, kappa=5.0),
-    "null_model_planar": lambda s, d: W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), n_null=3, max_tries=6, min_finite=0.5, kappa=5.0, mode="planar"),
+    "grid_scatter": lambda s, d: spatial.grid_scatter(A.places(s, d).withColumn("key", F.floor(F.col("point_id") / 200)), ["key"], 20, 20),
+    "grid_scatter_nearest": lambda s, d: _r(spatial.grid_scatter(A.places(s, d).withColumn("key", F.floor(F.col("point_id") / 200)), ["key"], 20, 20, "nearest"), "x", "y"),
+    "regrid": lambda s, d: _r(spatial.regrid(A.ensemble(s, d).where("grid_id = 'A'"), grid.downsample(A.grid(s, d), 2)).drop("lat", "lon"), "value"),
+    "kappa_convergence": lambda s, d: W.kappa_convergence(A.subfaults(s, d), A.grid(s, d), KAPPAS, KAPPA_REF, tol=TOL, rng="md5")[1],
+    "null_model_geodesic": lambda s, d: W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), **NULL),
+    "null_model_planar": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), mode="planar", rng="md5", **NULL), "cdf"),
 } | G.QUERIES
 
 _SUB = """(SELECT o_custkey % 61 AS event_id, o_orderkey AS subfault_id, o_totalprice / 125000.0 AS slip, -72 + (o_orderkey % 97) * 3e-2 AS lon, -30 + (o_orderkey % 211) * 5e-2 AS lat,
@@ -99,4 +125,14 @@ SELECT k, round(any_value(m), 9) AS mean_value, round(sum(weight * (value - m) *
     "p_superiority": f"""WITH v AS (SELECT * FROM {_VAL} WHERE value IS NOT NULL)
 SELECT h.k AS k, round(sum(CASE WHEN n.value <= h.value THEN 1e0 ELSE 0e0 END) / count(*), 9) AS p_gt, CAST((SELECT count(*) FROM v WHERE v.k = h.k AND weight < 2) AS BIGINT) AS n_h, CAST((SELECT count(*) FROM v WHERE v.k = h.k AND weight >= 2) AS BIGINT) AS n_n
 FROM v h JOIN v n ON h.k = n.k AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k""",
+    "observed_cdf": S.observed_cdf(200.0),
+    "kappa_convergence": S.kappa_convergence(KAPPAS, KAPPA_REF, TOL),
+    "null_model_planar": S.null_planar(**NULL),
+    "sample_uniform": S.sample_uniform(500),
+    "subfault_polygons": S.subfault_polygons(),
+    "find_epicenter_subfault": S.find_epicenter_subfault(),
+    "sample_epicenter": S.sample_epicenter(500.0),
+    "sample_polygons": S.sample_polygons(),
+    "grid_scatter_nearest": S.grid_scatter_nearest(),
+    "regrid": S.regrid(),
 } | G.ORACLE_SQL

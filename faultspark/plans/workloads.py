@@ -9,68 +9,94 @@ from ..functions.rng import explode_counts, uniform
 from ..operators.ecdf import ecdf_on_grid, from_histogram, histogram, levels
 from ..operators.faults import rotate_event, shift_event
 from ..operators.grid import defined_nodes, rotate_translate
-from ..operators.lookup import lookup_grid
+from ..operators.lookup import lookup_grid, on_each
 from ..operators.sampling import sample_rupture, with_kappas
 
 LEVELS = [k / 200 for k in range(201)]
 
 
 def observed_cdf(subfaults: DataFrame, grid: DataFrame, kappa: float = 3500.0, x: list[float] = LEVELS, *, seed: int = 0, rng: str = "xxhash64", keys: list[str] = ["event_id"], force_endpoints: bool = True) -> DataFrame:  # noqa: B006
-    """ECDF of a one-grid field at the points of each rupture."""
+    """ECDF of every grid's field at the points of each rupture: keys, grid_id, x_idx, x, cdf."""
     points = sample_rupture(subfaults, kappa, seed=seed, keys=keys, rng=rng)
-    grid_id = grid.select("grid_id").limit(1)
-    found = lookup_grid(points.withColumn("_k", F.lit(1)).join(F.broadcast(grid_id.withColumn("_k", F.lit(1))), "_k").drop("_k"), grid)
-    return ecdf_on_grid(found, "value", x, keys, force_endpoints=force_endpoints)
+    return ecdf_on_grid(lookup_grid(on_each(points, "grid_id", grid), grid), "value", x, [*keys, "grid_id"], force_endpoints=force_endpoints)
 
 
 def kappa_convergence(subfaults: DataFrame, grid: DataFrame, kappas: list[float], kappa_ref: float, x: list[float] = LEVELS, *, tol: float = 0.01, **how) -> tuple[DataFrame, DataFrame]:
-    """delta = greatest difference from the reference density's CDF by event and kappa; and each event's smallest kappa from which every larger one is under tol (else the largest)."""
+    """delta = greatest difference from the reference density's CDF by event, grid and kappa; and the smallest kappa of each event and grid from which every larger one is under tol (else the largest)."""
+    by = ["event_id", "grid_id"]
     cdf = observed_cdf(with_kappas(subfaults, [*kappas, kappa_ref]), grid, None, x, keys=["event_id", "kappa"], **how)
-    ref = cdf.where(F.col("kappa") == kappa_ref).select("event_id", "x_idx", F.col("cdf").alias("ref"))
-    delta = cdf.where(F.col("kappa").isin([float(k) for k in kappas])).join(ref, ["event_id", "x_idx"]).groupBy("event_id", "kappa").agg(F.max(F.abs(F.col("cdf") - F.col("ref"))).alias("delta"))
-    later = Window.partitionBy("event_id").orderBy("kappa").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ref = cdf.where(F.col("kappa") == kappa_ref).select(*by, "x_idx", F.col("cdf").alias("ref"))
+    delta = cdf.where(F.col("kappa").isin([float(k) for k in kappas])).join(ref, [*by, "x_idx"]).groupBy(*by, "kappa").agg(F.max(F.abs(F.col("cdf") - F.col("ref"))).alias("delta"))
+    later = Window.partitionBy(*by).orderBy("kappa").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     held = delta.withColumn("ok", F.min((F.col("delta") < tol).cast("int")).over(later))
-    return delta, held.groupBy("event_id").agg(F.coalesce(F.min(F.when(F.col("ok") == 1, F.col("kappa"))), F.max("kappa")).alias("kappa"))
+    return delta, held.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("ok") == 1, F.col("kappa"))), F.max("kappa")).alias("kappa"))
 
 
 def _candidates(grid: DataFrame) -> DataFrame:
-    """Defined nodes as node, lon, lat, numbered by row and column from per-row counts and a running sum over rows."""
-    nodes = defined_nodes(grid).select("lat_idx", "lon_idx", "lon", "lat")
-    rows = nodes.groupBy("lat_idx").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("lat_idx")) - F.col("n"))
-    return nodes.join(rows, "lat_idx").withColumn("node", F.col("base") + F.row_number().over(Window.partitionBy("lat_idx").orderBy("lon_idx")) - 1).select("node", F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat"))
+    """Defined nodes of each grid as node, lon, lat, numbered by row and column from per-row counts and a running sum over rows."""
+    nodes = defined_nodes(grid).select("grid_id", "lat_idx", "lon_idx", "lon", "lat")
+    rows = nodes.groupBy("grid_id", "lat_idx").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.partitionBy("grid_id").orderBy("lat_idx")) - F.col("n"))
+    return nodes.join(rows, ["grid_id", "lat_idx"]).withColumn("node", F.col("base") + F.row_number().over(Window.partitionBy("grid_id", "lat_idx").orderBy("lon_idx")) - 1).select("grid_id", "node", F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat"))
 
 
-def null_model(events: DataFrame, subfaults: DataFrame, grid: DataFrame, *, n_null: int = 500, max_tries: int = 2000, min_finite: float = 0.95, kappa: float = 750.0, x: list[float] = LEVELS, seed: int = 0, mode: str = "geodesic", rng: str = "xxhash64") -> DataFrame:
-    """CDFs of the first n_null accepted relocations of each event: event_id, realization_id, try, x_idx, x, cdf.
+def null_model(
+    events: DataFrame, subfaults: DataFrame, grid: DataFrame, *, n_null: int = 500, max_tries: int = 2000, min_finite: float = 0.95, kappa: float = 750.0, x: list[float] = LEVELS,
+    seed: int = 0, mode: str = "geodesic", rng: str = "xxhash64", round_size: int | None = None,
+) -> DataFrame:
+    """CDFs of the first n_null accepted relocations of each event on each grid: event_id, grid_id, realization_id, try, n_accepted, x_idx, x, cdf.
 
     Try t moves the rupture's epicentre (event long, lat) to a random defined node and turns it by a random angle; it is accepted if at least
     min_finite of its points hit a defined value. mode='planar' moves points in the lon/lat plane instead of along geodesics.
-    One partial aggregate gives both the share and the histogram.
+    One partial aggregate gives both the share and the histogram. Tries go in rounds of round_size (n_null and a quarter); a round has the events
+    only that are still short. n_accepted tells of events that stay short after max_tries.
     """
+    if mode not in ("geodesic", "planar"):
+        raise ValueError("mode must be 'geodesic' or 'planar'")
     nodes = _candidates(grid)
-    count = nodes.agg(F.count("*").alias("n_nodes"), F.lit(1).alias("_k"))
-    tries = events.select("event_id", F.col("long").alias("from_lon"), F.col("lat").alias("from_lat"), F.lit(max_tries).cast("long").alias("_n"))
-    tries = explode_counts(tries, "_n", ["event_id"], "try").drop("_n").withColumn("_k", F.lit(1)).join(F.broadcast(count), "_k").drop("_k")
-    tries = tries.withColumn("node", F.floor(uniform(seed, "node", "event_id", "try", rng=rng) * F.col("n_nodes"))).withColumn("angle_deg", uniform(seed, "angle", "event_id", "try", rng=rng) * 360.0)
-    placed = tries.join(nodes, "node").drop("node", "n_nodes")
-    keys = ["event_id", "try"]
+    by, x = ["event_id", "grid_id"], levels(x)
+    size = round_size or n_null + -(-n_null // 4)
+    places = on_each(events.select("event_id", F.col("long").alias("from_lon"), F.col("lat").alias("from_lat")), "grid_id", grid)
+    places = places.join(nodes.groupBy("grid_id").agg(F.count("*").alias("n_nodes")), "grid_id")
+    parts, open_, low = [], places, 0
+    while True:
+        high = min(max_tries, low + size)
+        parts.append(_tried(open_, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed, mode, rng).persist())
+        accepted = _union(parts).select(*by, "try").distinct().groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= n_null)
+        open_, low = places.join(accepted, by, "left_anti"), high
+        if low >= max_tries or open_.isEmpty():
+            break
+    hist = _union(parts)
+    order = Window.partitionBy(*by).orderBy("try")
+    kept = hist.select(*by, "try").distinct().withColumn("realization_id", F.row_number().over(order) - 1).where(F.col("realization_id") < n_null)
+    kept = kept.withColumn("n_accepted", F.count("*").over(Window.partitionBy(*by)))
+    cdf = from_histogram(hist.join(kept, [*by, "try"]), x, [*by, "try", "realization_id", "n_accepted"], "floor")
+    return cdf.select(*by, "realization_id", "try", "n_accepted", "x_idx", "x", "cdf")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _tried(places, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed, mode, rng) -> DataFrame:
+    """Histograms of the accepted ones of tries low to high - 1 at each place (event_id, grid_id, from_lon, from_lat, n_nodes)."""
+    keys = ["event_id", "grid_id", "try"]
+    tries = explode_counts(places.withColumn("_n", F.lit(high - low).cast("long")), "_n", ["event_id", "grid_id"], "try").drop("_n").withColumn("try", F.col("try") + low)
+    number = lambda stream: uniform(seed, stream, *keys, rng=rng)
+    tries = tries.withColumn("node", F.floor(number("node") * F.col("n_nodes"))).withColumn("angle_deg", number("angle") * 360.0)
+    placed = tries.join(nodes, ["grid_id", "node"]).drop("node", "n_nodes")
     if mode == "planar":
         points = sample_rupture(subfaults, kappa, seed=seed, rng=rng)
         moved = points.join(placed, "event_id")
         lon, lat = rotate_translate(F.col("lon"), F.col("lat"), F.col("angle_deg"), F.col("to_lon") - F.col("from_lon"), F.col("to_lat") - F.col("from_lat"), F.col("from_lon"), F.col("from_lat"))
         points = moved.withColumns({"lon": lon, "lat": lat}).select(*keys, "lon", "lat")
-    elif mode == "geodesic":
+    else:
         ruptures = subfaults.join(placed.select(*keys), "event_id")
         shifted = shift_event(ruptures, placed.select(*keys, "from_lon", "from_lat", "to_lon", "to_lat"), keys)
         turns = placed.select(*keys, F.col("to_lon").alias("pivot_lon"), F.col("to_lat").alias("pivot_lat"), "angle_deg")
         points = sample_rupture(rotate_event(shifted, turns, keys), kappa, seed=seed, keys=keys, rng=rng)
-    else:
-        raise ValueError("mode must be 'geodesic' or 'planar'")
-    grid_id = grid.select("grid_id").limit(1).withColumn("_k", F.lit(1))
-    found = lookup_grid(points.withColumn("_k", F.lit(1)).join(F.broadcast(grid_id), "_k").drop("_k"), grid)
-    x = levels(x)
-    hist = histogram(found, "value", x, keys)
+    hist = histogram(lookup_grid(points, grid), "value", x, keys)
     share = hist.groupBy(*keys).agg((F.sum(F.when(F.col("bucket") >= 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("share")).where(F.col("share") >= min_finite)
-    kept = share.withColumn("realization_id", F.row_number().over(Window.partitionBy("event_id").orderBy("try")) - 1).where(F.col("realization_id") < n_null)
-    cdf = from_histogram(hist.join(kept.select(*keys, "realization_id"), keys), x, [*keys, "realization_id"], "floor")
-    return cdf.select("event_id", "realization_id", "try", "x_idx", "x", "cdf")
+    return hist.join(share.drop("share"), keys)

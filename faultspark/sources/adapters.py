@@ -82,8 +82,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A right triangle by nation."""
-    k = F.col("n_nationkey")
-    x, y = (k % 5) * 2.0, F.floor(k / 5) * 2.0
-    at = {"x1": x, "y1": y, "x2": x + 2, "y2": y, "x3": x, "y3": y + 2}
-    return read(spark, sf_dir, "nation").select(k.alias("tri_id"), *(c.alias(n) for n, c in at.items()), (k + 1.0).alias("value"))
+    """A right triangle by customer."""
+    at = {"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x") + 0.5, "y2": F.col("y"), "x3": F.col("x"), "y3": F.col("y") + 0.5}
+    return places(spark, sf_dir).select(F.col("point_id").alias("tri_id"), *(c.alias(n) for n, c in at.items()), F.col("v").alias("value"))
+
+
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A convex quadrangle by customer, with the number of points asked for in it."""
+    ring = F.array(*(F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in ((0.0, 0.0), (0.5, 0.125), (0.625, 0.75), (-0.125, 0.5))))
+    return places(spark, sf_dir).select(F.col("point_id").alias("poly_id"), ring.alias("ring"), (F.col("point_id") % 40).cast("int").alias("n"))

@@ -9,12 +9,17 @@ from ..operators.grid import validate_grid
 
 
 def read_coupling(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Grid nodes from long-form files with lat, lon, value and perhaps grid_id; ordered and checked."""
-    schema = "grid_id string, lat double, lon double, value double"
-    raw = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).schema(schema).csv(path) if fmt == "csv" else spark.read.schema(schema).json(path)
+    """Grid nodes from long-form files with lat, lon, value and perhaps grid_id, in any order of columns; ordered and checked.
+
+    CSV files have a header and are read by its names; text that is no number is an undefined value.
+    """
+    if fmt not in ("parquet", "csv", "json"):
+        raise ValueError("fmt must be 'parquet', 'csv' or 'json'")
+    raw = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.schema("grid_id string, lat double, lon double, value double").json(path)
     if "grid_id" not in raw.columns:
         raw = raw.withColumn("grid_id", F.lit("grid"))
-    nodes = raw.select("grid_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))
+    number = lambda c: F.col(c).try_cast("double")
+    nodes = raw.select(F.coalesce(F.col("grid_id"), F.lit("grid")).alias("grid_id"), number("lat").alias("lat"), number("lon").alias("lon"), F.coalesce(number("value"), F.lit(float("nan"))).alias("value"))
     return validate_grid(nodes).select("grid_id", "lat_idx", "lon_idx", "lat", "lon", "value")
 
 
