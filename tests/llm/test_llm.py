@@ -2,11 +2,14 @@ import hashlib
 import html as entities
 import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
 from faultspark.llm import common, decontam, html_main, near_dedup, packing, pii, quality, substring_dedup, tokens, topk, toxicity
 from faultspark.llm.common import table
 from pyspark.sql import functions as F
@@ -350,3 +353,115 @@ def test_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session)
+
+
+@needs_tables
+def test_decontamination_equals_shared_windows(spark):
+    """Over the whole small tables: the pairs of a document and an item that share eight words in a row."""
+    d, b = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    windows = lambda t: (lambda w: {tuple(w[k : k + 8]) for k in range(len(w) - 7)})(re.findall(r"\w+", (t or "").lower()))
+    of = {}
+    for r in b.collect():
+        for w in windows(r.text):
+            of.setdefault(w, set()).add(r.item_id)
+    want = {(r.doc_id, i) for r in d.collect() for w in windows(r.text) for i in of.get(w, ())}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()} == want
+
+
+@needs_tables
+@pytest.mark.parametrize("gap", [5, 9])
+def test_decontamination_finds_new_parameters(spark, gap):
+    """Items get a number or a name about every gap words; the documents have them with other numbers and names."""
+    rng = np.random.default_rng(gap)
+    items = table(spark, SF, "benchmark").orderBy("item_id").collect()
+    around = [r.text.split() for r in table(spark, SF, "documents").orderBy("doc_id").limit(60).collect() if r.text]
+    number = lambda: str(rng.integers(2, 900))
+    name = lambda: rng.choice(list("BCDFGKLMN")) + "".join(rng.choice(list("aeioulmnr"), 5))
+    asked, rows = [], []
+    for r in items:
+        w = r.text.split()
+        v = list(w)
+        for k in range(int(rng.integers(2, gap)), len(w), gap):
+            if not w[k - 1].endswith((".", "?", "!", ":")):
+                new = number if rng.random() < 0.5 else name
+                w[k], v[k] = new(), new()
+        f = around[rng.integers(len(around))]
+        k = rng.integers(len(f) + 1)
+        asked.append((r.item_id, " ".join(w)))
+        rows.append((r.item_id, " ".join([*f[:k], "so.", *v, *f[k:]])))
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")).collect()
+    assert len({r.doc_id for r in got if r.doc_id == r.item_id}) >= 0.9 * len(items)
+
+
+def test_decontamination_cases(spark):
+    """Null and repeated ids, repeated items of other texts, empty tables, long texts, other columns."""
+    item = "which gas do the plants of the wood take from the air around them by day"
+    docs = [(None, item), (1, item), (1, "nothing"), (1, item), (2, None), (3, ""), (4, text(4, 20000) + " " + item)]
+    d = spark.createDataFrame([(i, t, 7, 1) for i, t in docs], "doc_id long, text string, item_id int, pos int")
+    b = spark.createDataFrame([(5, item, 0), (5, text(77, 30), 0), (6, item, 0), (7, None, 0)], "item_id long, text string, hash int")
+    assert sorted((r.doc_id or -1, r.item_id) for r in decontam.contaminated(d, b).collect()) == [(-1, 5), (-1, 6), (1, 5), (1, 6), (4, 5), (4, 6)]
+    assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
+
+
+ODD = [None, "", " ", "one", "ha ha ha", "Ünïcode — x_y", "a\tb\x0bc d", "!!! ??", "W1 w1 " * 3000]
+
+
+@needs_tables
+def test_quality_scores_equal_plain_python(spark):
+    """Every small document's score from its hashed tokens and pairs, one by one."""
+    docs = table(spark, SF, "documents")
+    model = quality.fit(docs, table(spark, SF, "labels"))
+    texts = [r.text for r in docs.collect()] + ODD
+    for t, got in zip(texts, model.scores(pa.array([x or "" for x in texts]))):
+        low = re.sub(r"[\t\n\f\r ]+", " ", pc.utf8_lower(pa.scalar(t or "")).as_py())
+        h = [zlib.crc32(w.encode()) for w in regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N} ]+", low)]
+        keys = [*h, *(quality.REPEATED if a == b else a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F for a, b in zip(h, h[1:]))]
+        n = Counter((k * 0xFF51AFD7ED558CCD % 2**64) >> (64 - quality.BITS) for k in keys)
+        z = model.bias + sum(np.sqrt(c) * float(model.weights[k]) for k, c in n.items()) / np.sqrt(max(1, sum(n.values())))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+@needs_tables
+def test_toxicity_scores_equal_plain_python(spark):
+    """Every small document's score as the softmax of the mean over its words' n-grams, one by one."""
+    docs = table(spark, SF, "documents")
+    model = toxicity.fit(docs, table(spark, SF, "labels"), "toxic")
+    texts = [r.text for r in docs.collect()] + ODD
+    for t, got in zip(texts, model.scores(pa.array([x or "" for x in texts]))):
+        grams = [g for w in regex.findall(r"[\p{L}\p{N}]+", pc.utf8_lower(pa.scalar(t or "")).as_py()) for g in toxicity.buckets_of(w)]
+        z = model.bias + (float(np.mean(model.logits[grams], dtype=np.float64)) if grams else 0.0)
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_classifier_cases(spark):
+    """Ties, repeated and null ids, null labels, one class, empty tables, other columns."""
+    rows = [(1, "good old words", 5), (1, "good old words", 6), (2, None, 7), (None, "bad new marks", 8), (3, text(3, 20000), 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    y = spark.createDataFrame([(1, 1, 0), (3, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for run in (quality.quality, toxicity.toxicity):
+        got = run(d, y).collect()
+        assert len(got) == 5 and set(got[0].asDict()) == {"doc_id", "held_out", "score", "predicted"} and all(0 < r.score < 1 and r.predicted == int(r.score >= 0.7) for r in got)
+        assert len({r.score for r in got if r.doc_id == 1}) == 1
+        assert run(d.limit(0), y).count() == 0 and {r.score for r in run(d, y.limit(0)).collect()} == {0.5}
+
+
+def test_near_duplicate_cases(spark):
+    """Null and repeated ids, empty and one-word texts, a chain, a large group of copies, other columns."""
+    base = [f"v{k}" for k in range(60)]
+    chain = [" ".join([*base[k:], *(f"z{j}" for j in range(k))]) for k in range(0, 21, 3)]
+    rows = [(100 + k, t) for k, t in enumerate(chain)] + [(200 + k, "the same text of a few words") for k in range(300)] + [(5, "one"), (6, "ONE"), (7, None), (8, " \t"), (None, "one"), (9, "x y"), (9, "x y"), (10, text(10, 20000)), (11, text(10, 20000) + " end")]
+    d = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, rep int, component int")
+    got = near_dedup.near_duplicates(d, shingle=2).collect()
+    of = {r.doc_id: r.component_id for r in got}
+    assert len(got) == len(rows) and {of[100 + k] for k in range(len(chain))} == {100} and {of[200 + k] for k in range(300)} == {200}
+    assert (of[5], of[6], of[7], of[8], of[None], of[9], of[10], of[11]) == (5, 5, 7, 8, None, 9, 10, 10)
+    assert sum(r.kept for r in got if r.doc_id == 9) == 2 and [r.kept for r in got if r.doc_id is None] == [True]
+
+
+def test_packing_cases(spark):
+    """Null and repeated ids, equal lengths, empty and very long texts, an empty table, other columns."""
+    rows = [(None, None, 1), (None, None, 2), (4, "", 3), (4, "a b", 4), (4, "a b", 5), (-(1 << 63), text(5, 9000), 6)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, piece int")).toPandas()
+    assert got.doc_id.isna().sum() == 2 and (got[got.doc_id == -(1 << 63)].sort_values("piece").length.to_numpy()[:-1] == 4096).all()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 4096 and g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
