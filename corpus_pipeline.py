@@ -1,7 +1,9 @@
 """A training corpus from raw documents: quality, near duplicates, benchmark leaks, personal data, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
-return the columns of documents. Rows with a null doc_id pass the filters by id.
+Each stage takes (spark, docs, sf_dir), docs being a table read from files, and works on all rows that its predecessor kept; all but the last
+return the columns of documents. Cases: a null text is scored, compared and packed as an empty one and stays null; rows with a null doc_id are no near
+duplicates and pass that stage, all others treat them like any row; rows with one doc_id are one document to near_dedup and stay or go together;
+empty tables, empty and very long texts pass through every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from faultspark.llm import decontam, near_dedup, packing, pii, quality
 from faultspark.llm.common import blocks, crc_mod, spread, staged, table
 
-REJECT_BELOW = 0.5
+REJECT_BELOW = 0.5  # under the operator's threshold of 0.7: a filter should keep what is more likely good than not
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    leaks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(staged(leaks, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without passages of the benchmark, row by row: docs is a written table, whose rows keep their numbers."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    leaks = decontam.contaminated(numbered.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return numbered.join(staged(leaks.select(F.col("doc_id").alias("_row")).distinct(), "leaks"), "_row", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
