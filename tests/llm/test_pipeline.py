@@ -79,3 +79,30 @@ def test_stages_equal_plain_python(spark):
     for _, g in packed.sort_values("offset").groupby("sequence_id"):
         assert g.length.sum() <= 4096 and g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
     assert packed.sequence_id.nunique() <= sum(want.values()) / 4096 * 1.05 + 2
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, an empty table; every stage keeps the columns and loses only what it should."""
+    good = "It was the best of the times that we had in the old town, and so it was for all of them who came with us to see it."
+    item = "which gas do the plants of the wood take from the air around them by day"
+    rows = [(1, good), (1, good), (2, good + " " + item), (None, "see " + item), (None, None), (3, ""), (4, None), (5, "mail a@b.org " + good), (6, (good + " ") * 400), (None, "mail c@d.org please")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(d, t, "en", None, len(t or "")) for d, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, item) for k in range(2)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    docs = table(spark, sf, "documents")
+    n = lambda df: df.count()
+    scored = staged(stage["quality"](spark, docs, sf), "q")
+    assert scored.columns == docs.columns and n(scored) == 10  # no labels: every score is 0.5
+    single = staged(stage["near_dedup"](spark, docs, sf), "n")
+    assert single.columns == docs.columns and n(single) == 8 and n(single.where("doc_id = 1")) == 2  # 5 and 6 are near 1
+    clean = staged(stage["decontamination"](spark, docs, sf), "d")
+    assert clean.columns == docs.columns and n(clean) == 8 and n(clean.where(F.col("text").contains("plants"))) == 0
+    private = staged(stage["pii"](spark, docs, sf), "p")
+    assert private.columns == docs.columns and n(private) == 10 and n(private.where(F.col("text").contains("@"))) == 0 and n(private.where("text is null")) == 2
+    assert n(private.where("text is not null and n_chars != length(text)")) == 0
+    packed = stage["packing"](spark, docs, sf)
+    assert n(packed.select("doc_id", "piece")) >= 10
+    for name in stage:
+        assert n(stage[name](spark, docs.limit(0), sf)) == 0, name
