@@ -10,10 +10,13 @@ from ..functions.geodesy import from_utm
 from ..functions.rng import explode_counts, uniform
 from .faults import points_per_subfault, project, subfault_corners
 from .grid import grid_meta
-from .lookup import lookup_grid
+from .lookup import MOST_NAMES, lookup_grid
 from .spatial import triangulate
 
 
+HOPELESS = 2_000_000  # proposals
+
+
 def place_points(patches: DataFrame, n: Column, keys: list[str], seed: int, rng: str = "xxhash64") -> DataFrame:
     """n uniform points in each patch's surface parallelogram; patches has corners and utm_zone. Adds sample_idx, lon, lat."""
     by = [*keys, "segment_id", "subfault_id"]
@@ -91,28 +94,31 @@ def grid_proposals(grid: DataFrame, low: int, high: Column, seed: int, rng: str)
     return found.withColumn("accepted", finite(F.col("value")) & (F.col("value") > F.col("_h"))).drop("_h")
 
 
-def sample_grid(grid: DataFrame, n: int, *, seed: int = 0, rng: str = "xxhash64", rounds: int = 6) -> DataFrame:
+def sample_grid(grid: DataFrame, n: int, *, seed: int = 0, rng: str = "xxhash64") -> DataFrame:
     """The first n accepted proposals of each grid, accepted in proportion to the bilinear value.
 
-    The first round proposes n * max / mean * 1.2 + 64 for each grid; while one is short the number is doubled. A grid without positive values is an error.
+    The first round proposes n * max / mean * 1.2 + 64 for each grid; rounds go on from the number proposed so far, as many as the share accepted
+    asks for, with the grids only that are still short. An error where a grid has no positive values, or none that a proposal meets in HOPELESS tries.
     """
     stats = grid.groupBy("grid_id").agg(F.max(F.when(finite(F.col("value")), F.col("value"))).alias("top"), F.avg(F.when(finite(F.col("value")), F.greatest("value", F.lit(0.0))).otherwise(0.0)).alias("mean"))
-    worst = stats.agg(F.max(F.try_divide("top", F.col("mean"))).alias("r"), F.count_if(F.coalesce(F.col("top") <= 0, F.lit(True))).alias("empty"), F.count("*").alias("grids")).first()
+    worst = stats.agg(F.max(F.try_divide("top", F.col("mean"))).alias("r"), F.count_if(F.coalesce(F.col("top") <= 0, F.lit(True))).alias("empty")).first()
     if worst["empty"]:
         raise ValueError("a grid has no positive value to sample")
-    if not worst["grids"]:
-        return grid_proposals(grid, 0, F.lit(0), seed, rng).select("grid_id", F.col("proposal").alias("sample_idx"), "lon", "lat", "value")
-    want = int(n * worst["r"] * 1.2) + 64
-    for _ in range(rounds):
-        accepted = grid_proposals(grid, 0, F.lit(want).cast("long"), seed, rng).where("accepted")
-        least = accepted.groupBy("grid_id").count().agg(F.min("count").alias("least"), F.count("*").alias("grids")).first()
-        if least["grids"] == worst["grids"] and least["least"] >= n:
+    low, high, done, open_ = 0, int(n * (worst["r"] or 0) * 1.2) + 64, None, grid
+    while True:
+        some = grid_proposals(open_, low, F.lit(high).cast("long"), seed, rng).where("accepted").drop("accepted").persist()
+        done = some if done is None else done.unionByName(some)
+        counts = done.groupBy("grid_id").agg(F.count("*").alias("_n"))
+        short = stats.select("grid_id").join(counts, "grid_id", "left").select("grid_id", F.coalesce("_n", F.lit(0)).alias("n")).where(F.col("n") < n).limit(MOST_NAMES + 1).collect()
+        if not short:
             break
-        want *= 2
-    else:
-        raise ValueError("too few proposals were accepted")
+        least = min(r["n"] for r in short)
+        if not least and high >= HOPELESS:
+            raise ValueError(f"a grid accepted none of {high} proposals")
+        open_ = grid if len(short) > MOST_NAMES else grid.where(F.col("grid_id").isin([r["grid_id"] for r in short]))
+        low, high = high, max(2 * high, int(1.2 * n * high / least)) if least else 8 * high
     order = Window.partitionBy("grid_id").orderBy("proposal")
-    return accepted.withColumn("sample_idx", F.row_number().over(order).cast("long") - 1).where(F.col("sample_idx") < n).select("grid_id", "sample_idx", "lon", "lat", "value")
+    return done.withColumn("sample_idx", F.row_number().over(order).cast("long") - 1).where(F.col("sample_idx") < n).select("grid_id", "sample_idx", "lon", "lat", "value")
 
 
 def surface_count(grid: DataFrame, kappa: float, dx: float, dy: float) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.rng import explode_counts, uniform
 from ..operators.ecdf import ecdf_on_grid, from_histogram, histogram, levels
 from ..operators.faults import rotate_event, shift_event
 from ..operators.grid import defined_nodes, rotate_translate
-from ..operators.lookup import lookup_grid, on_each
+from ..operators.lookup import MOST_NAMES, lookup_grid, on_each
 from ..operators.sampling import sample_rupture, with_kappas
 
 LEVELS = [k / 200 for k in range(201)]
@@ -48,7 +48,7 @@ def null_model(
     Try t moves the rupture's epicentre (event long, lat) to a random defined node and turns it by a random angle; it is accepted if at least
     min_finite of its points hit a defined value. mode='planar' moves points in the lon/lat plane instead of along geodesics.
     One partial aggregate gives both the share and the histogram. Tries go in rounds of round_size (n_null and a quarter); a round has the events
-    only that are still short. n_accepted tells of events that stay short after max_tries.
+    only that are still short (all of them while more than MOST_NAMES are). n_accepted tells of events that stay short after max_tries.
     """
     if mode not in ("geodesic", "planar"):
         raise ValueError("mode must be 'geodesic' or 'planar'")
@@ -62,9 +62,10 @@ def null_model(
         high = min(max_tries, low + size)
         parts.append(_tried(open_, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed, mode, rng).persist())
         accepted = _union(parts).select(*by, "try").distinct().groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= n_null)
-        open_, low = places.join(accepted, by, "left_anti"), high
-        if low >= max_tries or open_.isEmpty():
+        short, low = places.join(accepted, by, "left_anti").limit(MOST_NAMES + 1).collect(), high
+        if low >= max_tries or not short:
             break
+        open_ = places if len(short) > MOST_NAMES else events.sparkSession.createDataFrame(short, places.schema)
     hist = _union(parts)
     order = Window.partitionBy(*by).orderBy("try")
     kept = hist.select(*by, "try").distinct().withColumn("realization_id", F.row_number().over(order) - 1).where(F.col("realization_id") < n_null)

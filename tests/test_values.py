@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 from faultspark.functions.geodesy import geodesic_direct, geodesic_inverse, to_utm
-from faultspark.operators import ecdf, faults, grid, kde, lookup, spatial
+from faultspark.operators import ecdf, faults, grid, kde, lookup, sampling, spatial
 from faultspark.plans import workloads
 from faultspark.sources import tables
 from faultspark.sources.fsp import bad_files, read_fsp
@@ -171,6 +171,18 @@ def test_every_grid_counts(spark):
         workloads.null_model(events, sub, grids, mode="flat")
 
 
+def test_sample_grid_goes_on_while_short(spark):
+    """One node in a large grid: few proposals are accepted; two grids are ready after other rounds; no grid, no samples."""
+    peak = nodes(spark, "peak", lambda i, j: 1.0 if (i, j) == (7, 7) else 0.0, 15).union(nodes(spark, "flat", n=15))
+    got = sampling.sample_grid(peak, 200)
+    assert {r.grid_id: r["count"] for r in got.groupBy("grid_id").count().collect()} == {"peak": 200, "flat": 200}
+    assert {r.grid_id for r in got.where("value > 0").select("grid_id").distinct().collect()} == {"peak", "flat"} and got.where("grid_id = 'peak' and (lon < 6 or lon > 8)").count() == 0
+    assert sampling.sample_grid(peak.limit(0), 5).count() == 0
+    lonely = nodes(spark, "g", lambda i, j: 1.0 if (i, j) == (1, 1) else NAN)
+    with pytest.raises(ValueError, match="none of"):
+        sampling.sample_grid(lonely, 5)
+
+
 def test_transforms_and_checks(spark):
     g = nodes(spark, "g", lambda i, j: i + 10 * j)
     meta = grid.grid_meta(g)
