@@ -85,7 +85,7 @@ QUERIES = {
     "grid_scatter_nearest": lambda s, d: _r(spatial.grid_scatter(A.places(s, d).withColumn("key", F.floor(F.col("point_id") / 200)), ["key"], 20, 20, "nearest"), "x", "y"),
     "regrid": lambda s, d: _r(spatial.regrid(A.ensemble(s, d).where("grid_id = 'A'"), grid.downsample(A.grid(s, d), 2)).drop("lat", "lon"), "value"),
     "kappa_convergence": lambda s, d: W.kappa_convergence(A.subfaults(s, d), A.grid(s, d), KAPPAS, KAPPA_REF, tol=TOL, rng="md5")[1],
-    "null_model_geodesic": lambda s, d: W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), **NULL),
+    "null_model_geodesic": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), rng="md5", **NULL), "cdf"),
     "null_model_planar": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), mode="planar", rng="md5", **NULL), "cdf"),
 } | G.QUERIES
 
@@ -128,6 +128,7 @@ FROM v h JOIN v n ON h.k = n.k AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k""
     "observed_cdf": S.observed_cdf(200.0),
     "kappa_convergence": S.kappa_convergence(KAPPAS, KAPPA_REF, TOL),
     "null_model_planar": S.null_planar(**NULL),
+    "null_model_geodesic": S.null_geodesic(**NULL),
     "sample_uniform": S.sample_uniform(500),
     "subfault_polygons": S.subfault_polygons(),
     "find_epicenter_subfault": S.find_epicenter_subfault(),
