@@ -14,7 +14,7 @@ from .lookup import MOST_NAMES, lookup_grid
 from .spatial import triangulate
 
 
-HOPELESS = 2_000_000  # proposals
+HOPELESS = 200_000  # proposals
 
 
 def place_points(patches: DataFrame, n: Column, keys: list[str], seed: int, rng: str = "xxhash64") -> DataFrame:
