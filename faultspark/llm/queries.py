@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_main, near_dedup, packing, pii, quality, substring_dedup, tokens, topk, toxicity
+from . import decontam, html_main, near_dedup, packing, pii, quality, resampling, substring_dedup, tokens, topk, toxicity
 from .common import table
 
 
@@ -49,7 +49,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.scaled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_pii, op4_toxicity, op5_packing, op6_repeated_spans, op7_html_main_text, op8_quality, op9_near_duplicates, op10_exact_top_k)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_pii, op4_toxicity, op5_packing, op6_repeated_spans, op7_html_main_text, op8_quality, op9_near_duplicates, op10_exact_top_k, op11_importance_resampling)}
 
 ORACLE_SQL = {
     "op9_near_duplicates": r"""
@@ -78,5 +82,31 @@ WITH v AS (
   FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
 ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+    "op11_importance_resampling": r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || list_transform(range(8), lambda z: CAST(0 AS BIGINT)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), texts AS (
+  SELECT doc_id, true AS own, text FROM documents UNION ALL SELECT NULL, false, text FROM benchmark
+), lists AS (
+  SELECT doc_id, own, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM texts
+), one AS (SELECT doc_id, own, unnest(w) AS w FROM lists),
+vocabulary AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM one)),
+hashed AS (
+  SELECT w, xor(list_reduce([4294967295] || list_transform(range(1, len(x), 2), lambda i: CAST(CAST('0x' || substr(x, i, 2) AS INTEGER) AS BIGINT)), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM vocabulary, crc_table
+), counts AS (SELECT bucket, count_if(own) AS s, count_if(NOT own) AS t FROM one JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT CAST(sum(s) AS DOUBLE) AS n_s, CAST(sum(t) AS DOUBLE) AS n_t FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (n_s + 10000) / ((CAST(s AS DOUBLE) + 1) * (n_t + 10000)))) AS BIGINT) AS gain FROM counts, totals),
+weights AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM one JOIN hashed USING (w) JOIN gains USING (bucket) WHERE own GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+  FROM lists LEFT JOIN weights USING (doc_id) WHERE own
+), placed AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place, count_if(n_features >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM placed
 """,
 }
