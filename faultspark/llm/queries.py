@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_main, near_dedup, packing, pii, quality, resampling, substring_dedup, tokens, topk, toxicity
+from . import collocations, decontam, html_main, near_dedup, packing, pii, quality, resampling, substring_dedup, tokens, topk, toxicity
 from .common import table
 
 
@@ -53,7 +53,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_pii, op4_toxicity, op5_packing, op6_repeated_spans, op7_html_main_text, op8_quality, op9_near_duplicates, op10_exact_top_k, op11_importance_resampling)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_pii, op4_toxicity, op5_packing, op6_repeated_spans, op7_html_main_text, op8_quality, op9_near_duplicates, op10_exact_top_k, op11_importance_resampling, op12_collocations)}
 
 ORACLE_SQL = {
     "op9_near_duplicates": r"""
@@ -108,5 +112,26 @@ scored AS (
   SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place, count_if(n_features >= 20) OVER () AS n FROM scored
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM placed
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+runs AS (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM lists, range(1, 5) r(k)),
+f AS (SELECT lang, p, array_to_string(p, ' ') AS phrase, count(*) AS a FROM runs GROUP BY lang, p HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.p, c.a, k, l.a AS l, r.a AS r, 2000000::HUGEINT * c.a // (l.a + r.a) AS score
+  FROM f c JOIN range(1, 4) z(k) ON k < len(c.p) JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:]
+), least AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts) WHERE place = 1),
+inside AS (
+  SELECT DISTINCT c.lang, c.phrase FROM f c JOIN (
+    SELECT lang, a, p[i:j] AS q FROM f, range(1, 4) s(i), range(2, 5) e(j) WHERE i < j AND j <= len(p) AND j - i + 1 < len(p)
+  ) m ON m.lang = c.lang AND m.q = c.p WHERE 100::HUGEINT * m.a >= 80::HUGEINT * c.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(score AS BIGINT) AS score
+  FROM least ANTI JOIN inside USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }
