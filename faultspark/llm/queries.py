@@ -118,8 +118,12 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
 totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
-runs AS (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM lists, range(1, 5) r(k)),
-f AS (SELECT lang, p, array_to_string(p, ' ') AS phrase, count(*) AS a FROM runs GROUP BY lang, p HAVING count(*) >= 30),
+placed AS (SELECT lang, z, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT lang, w, row_number() OVER () AS z FROM lists)),
+runs AS (
+  SELECT lang, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3, w || ' ' || w2 || ' ' || w3 || ' ' || w4]) AS phrase
+  FROM (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM placed WINDOW o AS (PARTITION BY z ORDER BY i))
+),
+f AS MATERIALIZED (SELECT lang, string_split(phrase, ' ') AS p, phrase, a FROM (SELECT lang, phrase, count(*) AS a FROM runs WHERE phrase IS NOT NULL GROUP BY lang, phrase HAVING count(*) >= 30)),
 cuts AS (
   SELECT c.lang, c.phrase, c.p, c.a, k, l.a AS l, r.a AS r, 2000000::HUGEINT * c.a // (l.a + r.a) AS score
   FROM f c JOIN range(1, 4) z(k) ON k < len(c.p) JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:]
