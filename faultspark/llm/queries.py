@@ -118,21 +118,20 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
 totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
-placed AS (SELECT lang, z, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT lang, w, row_number() OVER () AS z FROM lists)),
+placed AS (SELECT lang, z, x.w AS w, x.i AS i FROM (SELECT lang, z, unnest(list_transform(w, lambda v, i: {'w': v, 'i': i})) AS x FROM (SELECT lang, w, row_number() OVER () AS z FROM lists))),
 runs AS (
   SELECT lang, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3, w || ' ' || w2 || ' ' || w3 || ' ' || w4]) AS phrase
   FROM (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM placed WINDOW o AS (PARTITION BY z ORDER BY i))
 ),
 f AS MATERIALIZED (SELECT lang, string_split(phrase, ' ') AS p, phrase, a FROM (SELECT lang, phrase, count(*) AS a FROM runs WHERE phrase IS NOT NULL GROUP BY lang, phrase HAVING count(*) >= 30)),
+parts AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(p[1:k], ' ') AS first, array_to_string(p[k + 1:], ' ') AS rest FROM f, range(1, 4) z(k) WHERE k < len(p)),
 cuts AS (
-  SELECT c.lang, c.phrase, c.p, c.a, k, l.a AS l, r.a AS r, 2000000::HUGEINT * c.a // (l.a + r.a) AS score
-  FROM f c JOIN range(1, 4) z(k) ON k < len(c.p) JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:]
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, 2000000::HUGEINT * c.a // (l.a + r.a) AS score
+  FROM parts c JOIN f l ON l.lang = c.lang AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.phrase = c.rest
 ), least AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts) WHERE place = 1),
-inside AS (
-  SELECT DISTINCT c.lang, c.phrase FROM f c JOIN (
-    SELECT lang, a, p[i:j] AS q FROM f, range(1, 4) s(i), range(2, 5) e(j) WHERE i < j AND j <= len(p) AND j - i + 1 < len(p)
-  ) m ON m.lang = c.lang AND m.q = c.p WHERE 100::HUGEINT * m.a >= 80::HUGEINT * c.a
-), ranked AS (
+subs AS MATERIALIZED (SELECT lang, a, array_to_string(p[i:j], ' ') AS phrase FROM f, range(1, 4) s(i), range(2, 5) e(j) WHERE i < j AND j <= len(p) AND j - i + 1 < len(p)),
+inside AS (SELECT DISTINCT c.lang, c.phrase FROM f c JOIN subs m ON m.lang = c.lang AND m.phrase = c.phrase WHERE 100::HUGEINT * m.a >= 80::HUGEINT * c.a),
+ranked AS (
   SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(score AS BIGINT) AS score
   FROM least ANTI JOIN inside USING (lang, phrase)
 )
