@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontam, html_main, near_dedup, packing, pii, quality, resampling, substring_dedup, tokens, topk, toxicity
+from . import collocations, decontam, embedding_dedup, html_main, near_dedup, packing, pii, quality, resampling, substring_dedup, tokens, topk, toxicity
 from .common import table
 
 
@@ -57,7 +57,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_pii, op4_toxicity, op5_packing, op6_repeated_spans, op7_html_main_text, op8_quality, op9_near_duplicates, op10_exact_top_k, op11_importance_resampling, op12_collocations)}
+def op13_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_pii, op4_toxicity, op5_packing, op6_repeated_spans, op7_html_main_text, op8_quality, op9_near_duplicates, op10_exact_top_k, op11_importance_resampling, op12_collocations, op13_embedding_near_duplicates)}
 
 ORACLE_SQL = {
     "op9_near_duplicates": r"""
@@ -136,5 +140,17 @@ ranked AS (
   FROM least ANTI JOIN inside USING (lang, phrase)
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
+    "op13_embedding_near_duplicates": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), lowest AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN lowest USING (vec_id) LEFT JOIN counts USING (vec_id)
 """,
 }
