@@ -3,6 +3,7 @@
 1. Equal vectors are one class, the smallest vec_id its representative. A class has a sketch, the signs of random projections.
 2. Every pass orders the classes by its own share of projections, concatenated to one number, within ranges of that number, and compares each with the WINDOW next ones.
    Pairs whose sketches differ by more than a pair of the threshold does (but with probability MISS) are dropped, the others are verified on the full vectors in double precision.
+   Neighbours whose sketches differ by less than those of any pair under the threshold (but with probability MISS) hang on the first such neighbour; pairs of one such tree need no look.
    There are as many passes as leave a pair at the threshold unseen with probability MISS in a table of this size, were its vectors spread evenly.
 3. The verified pairs of all passes are joined to components. Within a component every pair is then settled: members that are nearer than half the threshold's angle
    to the component's first member are linked with each other without a look (their angles add up to less), all others are compared with every member in blocks,
@@ -50,6 +51,17 @@ def most_differing(threshold: float, miss: float = MISS) -> int:
     return k
 
 
+def surely_linked(threshold: float, miss: float = MISS) -> int:
+    """Of BITS signs, no more than this differ with probability under miss where the similarity is under the threshold; -1 if there is no such number."""
+    p, total, k = math.acos(threshold) / math.pi, 0.0, 0
+    while p:
+        total += math.exp(math.lgamma(BITS + 1) - math.lgamma(k + 1) - math.lgamma(BITS - k + 1) + k * math.log(p) + (BITS - k) * math.log1p(-p))
+        if total > miss:
+            break
+        k += 1
+    return k - 1
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of one length as doubles."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -82,8 +94,8 @@ def _sketched(passes: int):
     return run
 
 
-def _windows(most: int, window: int):
-    """Pairs of neighbours in order whose sketches agree well enough: a, b."""
+def _windows(most: int, sure: int, window: int):
+    """Pairs of neighbours in order whose sketches agree well enough: a, b. Of pairs in one tree of sure neighbours only the tree's own."""
 
     def run(batches):
         tail = None
@@ -92,15 +104,22 @@ def _windows(most: int, window: int):
             rep, sketch = b.column("rep").to_numpy(), np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, BITS // 8)
             if tail is not None:
                 group, rep, sketch = np.concatenate([tail[0], group]), np.concatenate([tail[1], rep]), np.concatenate([tail[2], sketch])
-            held, low, high = 0 if tail is None else len(tail[1]), [], []
+            held, met, hangs = 0 if tail is None else len(tail[1]), [], np.arange(len(rep))
             for d in range(1, min(window, len(rep) - 1) + 1):
-                i = np.arange(max(0, held - d), len(rep) - d)  # the later one is new
-                i = i[group[i] == group[i + d]]
-                i = i[_ONES[sketch[i] ^ sketch[i + d]].sum(1) <= most]
-                low.append(np.minimum(rep[i], rep[i + d]))
-                high.append(np.maximum(rep[i], rep[i + d]))
+                i = np.flatnonzero(group[:-d] == group[d:])
+                differ = _ONES[sketch[i] ^ sketch[i + d]].sum(1)
+                close = i[differ <= sure]
+                hangs[close + d] = close  # the farthest back comes last
+                i = i[(differ <= most) & (i + d >= held)]  # the later one is new
+                met.append(np.stack([i, i + d], 1))
+            tree = np.stack([hangs, np.arange(len(rep))], 1)[held:]
+            root = hangs
+            while (root != root[root]).any():
+                root = root[root]
+            met = np.concatenate([*met, np.zeros((0, 2), np.int64)])
+            met = np.concatenate([met[root[met[:, 0]] != root[met[:, 1]]], tree[tree[:, 0] != tree[:, 1]]])
+            pairs = np.unique(np.sort(rep[met], 1), axis=0)
             tail = group[-window:], rep[-window:], sketch[-window:]
-            pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], 1), axis=0) if low else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
@@ -184,7 +203,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.95, windo
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = staged(spread(classes.select("rep", "v")).mapInArrow(_sketched(passes), "dim long, pass long, key long, rep long, sketch binary"), "keyed")
     order = ["dim", "pass", "key", "rep"]
-    pairs = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(most_differing(threshold, miss), window), "a long, b long").where("a < b").distinct()
+    pairs = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(most_differing(threshold, miss), surely_linked(threshold, miss), window), "a long, b long").where("a < b").distinct()
     sides = [classes.select(F.col("rep").alias(x), F.col("v").alias(f"v{x}")) for x in "ab"]
     met = staged(pairs, "pairs").join(sides[0], "a").join(sides[1], "b").where(F.size("va") == F.size("vb"))
     links = staged(met.mapInArrow(_verified(threshold), "a long, b long").distinct(), "links")
