@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import spread, staged
 
 N = 4
-RUN, PART, STEP = 16 << 20, 16 << 20, 256 << 10  # bytes of text in a run, in a range, and for each window of the sample
+RUN, PART, STEP = 8 << 20, 12 << 20, 256 << 10  # bytes of text in a run, in a range, and for each window of the sample
 LEAST, COVER, TOP = 30, 80, 2000
 
 _LOWER = np.arange(256, dtype=np.uint8)
