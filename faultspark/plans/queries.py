@@ -17,6 +17,8 @@ XE = [-0.5 + k / 20 for k in range(21)]
 
 #: smaller than a paper's run (500 realizations at kappa 750, densities to 1e5), so that DuckDB can follow; the rupture box of the tables is wider than their grid's defined part
 NULL = {"n_null": 8, "max_tries": 24, "min_finite": 0.75, "kappa": 20.0}
+#: the study's share of defined points; most events need several rounds, some stay short or empty
+ROUNDS = {"n_null": 6, "max_tries": 14, "min_finite": 0.95, "kappa": 10.0}
 KAPPAS, KAPPA_REF, TOL = [20.0, 60.0, 180.0], 540.0, 0.05
 
 
@@ -87,6 +89,8 @@ QUERIES = {
     "kappa_convergence": lambda s, d: W.kappa_convergence(A.subfaults(s, d), A.grid(s, d), KAPPAS, KAPPA_REF, tol=TOL, rng="md5")[1],
     "null_model_geodesic": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), rng="md5", **NULL), "cdf"),
     "null_model_planar": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), mode="planar", rng="md5", **NULL), "cdf"),
+    "null_model_planar_rounds": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), mode="planar", rng="md5", round_size=4, **ROUNDS), "cdf"),
+    "null_model_geodesic_rounds": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), rng="md5", round_size=4, **ROUNDS), "cdf"),
 } | G.QUERIES
 
 _SUB = """(SELECT o_custkey % 61 AS event_id, o_orderkey AS subfault_id, o_totalprice / 125000.0 AS slip, -72 + (o_orderkey % 97) * 3e-2 AS lon, -30 + (o_orderkey % 211) * 5e-2 AS lat,
@@ -129,6 +133,8 @@ FROM v h JOIN v n ON h.k = n.k AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k""
     "kappa_convergence": S.kappa_convergence(KAPPAS, KAPPA_REF, TOL),
     "null_model_planar": S.null_planar(**NULL),
     "null_model_geodesic": S.null_geodesic(**NULL),
+    "null_model_planar_rounds": S.null_planar(**ROUNDS),
+    "null_model_geodesic_rounds": S.null_geodesic(**ROUNDS),
     "sample_uniform": S.sample_uniform(500),
     "subfault_polygons": S.subfault_polygons(),
     "find_epicenter_subfault": S.find_epicenter_subfault(),

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import explode_counts, uniform
+from ..functions.stage import staged
 from ..operators.ecdf import ecdf_on_grid, from_histogram, histogram, levels
 from ..operators.faults import rotate_event, shift_event
 from ..operators.grid import defined_nodes, rotate_translate
-from ..operators.lookup import MOST_NAMES, lookup_grid, on_each
+from ..operators.lookup import lookup_grid, on_each
 from ..operators.sampling import sample_rupture, with_kappas
 
 LEVELS = [k / 200 for k in range(201)]
@@ -47,31 +48,35 @@ def null_model(
 
     Try t moves the rupture's epicentre (event long, lat) to a random defined node and turns it by a random angle; it is accepted if at least
     min_finite of its points hit a defined value. mode='planar' moves points in the lon/lat plane instead of along geodesics.
-    One partial aggregate gives both the share and the histogram. Tries go in rounds of round_size (n_null and a quarter); a round has the events
-    only that are still short (all of them while more than MOST_NAMES are). n_accepted tells of events that stay short after max_tries.
+    One partial aggregate gives both the share and the histogram. Tries go in rounds of round_size (n_null and a quarter); a round, a written table, has the events
+    only that are still short. n_accepted tells of events that stay short after max_tries; one that accepted none has one row, with n_accepted 0 and all else null.
     """
     if mode not in ("geodesic", "planar"):
         raise ValueError("mode must be 'geodesic' or 'planar'")
-    nodes = _candidates(grid)
+    nodes = staged(_candidates(grid), "nodes")
     by, x = ["event_id", "grid_id"], levels(x)
     size = round_size or n_null + -(-n_null // 4)
     places = on_each(events.select("event_id", F.col("long").alias("from_lon"), F.col("lat").alias("from_lat")), "grid_id", grid)
-    places = places.join(nodes.groupBy("grid_id").agg(F.count("*").alias("n_nodes")), "grid_id")
+    places = staged(places.join(nodes.groupBy("grid_id").agg(F.count("*").alias("n_nodes")), "grid_id"), "places")
     parts, open_, low = [], places, 0
     while True:
         high = min(max_tries, low + size)
-        parts.append(_tried(open_, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed, mode, rng).persist())
-        accepted = _union(parts).select(*by, "try").distinct().groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= n_null)
-        short, low = places.join(accepted, by, "left_anti").limit(MOST_NAMES + 1).collect(), high
-        if low >= max_tries or not short:
+        parts.append(staged(_tried(open_, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed, mode, rng), "round"))
+        accepted = _union(parts).select(*by, "try").distinct().groupBy(*by).agg(F.count("*").alias("_n"))
+        low = high
+        if low >= max_tries:
+            break
+        open_ = staged(places.join(accepted.where(F.col("_n") >= n_null), by, "left_anti").select(places.columns), "open")
+        if open_.isEmpty():
             break
-        open_ = places if len(short) > MOST_NAMES else events.sparkSession.createDataFrame(short, places.schema)
     hist = _union(parts)
     order = Window.partitionBy(*by).orderBy("try")
     kept = hist.select(*by, "try").distinct().withColumn("realization_id", F.row_number().over(order) - 1).where(F.col("realization_id") < n_null)
-    kept = kept.withColumn("n_accepted", F.count("*").over(Window.partitionBy(*by)))
+    kept = staged(kept.withColumn("n_accepted", F.count("*").over(Window.partitionBy(*by))), "kept")
     cdf = from_histogram(hist.join(kept, [*by, "try"]), x, [*by, "try", "realization_id", "n_accepted"], "floor")
-    return cdf.select(*by, "realization_id", "try", "n_accepted", "x_idx", "x", "cdf")
+    cdf = cdf.select(*by, "realization_id", "try", "n_accepted", "x_idx", "x", "cdf")
+    none = places.select(*by).join(kept.select(*by).distinct(), by, "left_anti").withColumn("n_accepted", F.lit(0).cast("long"))
+    return cdf.unionByName(none, allowMissingColumns=True)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

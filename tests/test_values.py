@@ -224,3 +224,19 @@ def test_kernels_are_densities(spark, kernel):
     x = np.linspace(-12, 14, 1301)
     pdf = [r.pdf for r in kde.kde_pdf(df, ["v"], [(float(v),) for v in x], kernel=kernel, rule=0.8, standardize=False).orderBy("point_idx").collect()]
     assert min(pdf) >= 0 and np.trapezoid(pdf, x) == pytest.approx(1, abs=2e-2)
+
+
+@pytest.mark.parametrize("mode", ["planar", "geodesic"])
+def test_null_model_goes_on_in_rounds(spark, mode):
+    """At the default share some events need more rounds, one stays short and one accepts nothing; rounds change nothing."""
+    rows = [(e, 0, k, 2.5 + 0.1 * k, 2.5, 10.0, 1.0 + k, 20.0 * e, 20.0, 10.0 if e < 3 else 2000.0, 8.0) for e in (1, 2, 3) for k in range(3)]
+    sub = spark.createDataFrame(rows, "event_id long, segment_id int, subfault_id long, lon double, lat double, z double, slip double, strike double, dip double, len_strike_km double, width_dip_km double")
+    holes = nodes(spark, "g", lambda i, j: NAN if (i + j) % 3 == 0 or i in (0, 9) or j in (0, 9) else 0.1 * i, 10)
+    grids = holes.union(nodes(spark, "h", lambda i, j: NAN if i in (0, 5) or j in (0, 5) else 0.5, 6))
+    events = spark.createDataFrame([(e, 2.6, 2.5) for e in (1, 2, 3)], "event_id long, long double, lat double")
+    how = {"n_null": 5, "max_tries": 16, "kappa": 30.0, "mode": mode}
+    once, rounds = (workloads.null_model(events, sub, grids, round_size=size, **how).collect() for size in (16, 5))
+    assert sorted(map(str, once)) == sorted(map(str, rounds))
+    counts = {(r.event_id, r.grid_id): r.n_accepted for r in rounds}
+    assert len(counts) == 6 and counts[3, "g"] == counts[3, "h"] == 0 and 5 in counts.values()
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
