@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from .nearest import nearest
 
 EARTH_KM = 6371.0088
 
@@ -81,71 +83,76 @@ def segment_angles(points: DataFrame, polygons: DataFrame, *, identity: list[str
     return out.select(*points.columns, pick("strike"), pick("dip"), F.col("_s.seg_order").alias("seg_order"))
 
 
-def nearest(asked: DataFrame, have: DataFrame, *, keys: list[str], identity: list[str], tile: float, reach: float, distance: Column, rank: list[str]) -> DataFrame:
-    """Each of asked with its nearest of have, by growing rings of tiles: identity, _b (a struct of d and the rank columns).
-
-    Both have tx and ty, tiles of one plane and the given size in which `distance`, of the joined row, is measured. have may stand in several tiles. A ring of r tiles finds
-    what is nearer than r * tile. Rings double until all are found within their ring or the ring reaches over `reach`; a round has only what is still open.
-    """
-    open_, done, ring = asked, None, 1
-    own = [*keys, "tx", "ty"]
-    while True:
-        around = F.sequence(F.lit(-ring), F.lit(ring))
-        tiles = open_.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"tx": F.col("tx") + F.col("_dx"), "ty": F.col("ty") + F.col("_dy")}).drop("_dx", "_dy")
-        best = tiles.join(have, own).groupBy(*identity).agg(F.min(F.struct(distance.alias("d"), *rank)).alias("_b"))
-        last = ring * tile > reach
-        found = best if last else best.where(F.col("_b.d") < ring * tile)
-        found = found.persist()
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        open_ = open_.join(found.select(*identity), identity, "left_anti")
-        if open_.isEmpty():
-            return done
-        ring *= 2
-
-
 def closest_subfault(points: DataFrame, subfaults: DataFrame, *, keys: list[str], identity: list[str], tile: float = 50.0) -> DataFrame:
     """Nearest subfault in kilometres (x_km, y_km) of the point's own rupture: row-major index and distance; NaN left out."""
     nodes = subfaults.where(finite(F.col("x_km")) & finite(F.col("y_km"))).select(*keys, "segment_id", "subfault_id", F.col("x_km").alias("_x"), F.col("y_km").alias("_y"))
-    asked = tiled(points.where(finite(F.col("x_km")) & finite(F.col("y_km"))), tile, "x_km", "y_km")
-    have = tiled(nodes, tile, "_x", "_y")
+    asked = points.where(finite(F.col("x_km")) & finite(F.col("y_km")))
     d = F.sqrt(F.pow(F.col("x_km") - F.col("_x"), 2) + F.pow(F.col("y_km") - F.col("_y"), 2))
-    out = nearest(asked, have, keys=keys, identity=identity, tile=tile, reach=_span(asked, have) * tile, distance=d, rank=["segment_id", "subfault_id"])
+    out = nearest(asked.select(*dict.fromkeys([*keys, *identity, "x_km", "y_km"])), nodes, keys=keys, identity=identity, axes=[("x_km", "_x"), ("y_km", "_y")], tile=tile, distance=d, rank=["segment_id", "subfault_id"])
     return out.select(*identity, F.col("_b.segment_id").alias("segment_id"), F.col("_b.subfault_id").alias("subfault_id"), F.col("_b.d").alias("distance_km"))
 
 
-def _span(asked: DataFrame, have: DataFrame) -> int:
-    """Tiles between the farthest of both tables, along the longer axis."""
-    box = asked.select("tx", "ty").union(have.select("tx", "ty")).agg(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty")).first()
-    return int(max(box[0] or 0, box[1] or 0)) + 1
-
-
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+def _on_sphere(lon: Column, lat: Column) -> list[Column]:
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
+
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _chord(a: list[Column], b: list[Column]) -> Column:
+    return F.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]))
+
+
+def arc_chord(p: list[Column], a: list[Column], b: list[Column]) -> Column:
+    """Chord (of the unit sphere) from p to the nearest place of the shorter arc from a to b."""
+    n = _cross(a, b)
+    size = F.sqrt(_dot(n, n))
+    off = F.abs(_dot(p, n)) / F.when(size > 0, size)  # sine of the angle to the arc's circle
+    ahead = (_dot(_cross(n, a), p) >= 0) & (_dot(_cross(b, n), p) >= 0)
+    to_circle = 2 * F.sin(F.asin(F.least(F.lit(1.0), off)) / 2)
+    return F.when((size > 0) & ahead, to_circle).otherwise(F.least(_chord(p, a), _chord(p, b)))
+
+
 def distance_to_boundaries(nodes: DataFrame, lines: DataFrame, *, identity: list[str], type_filter: str | None = "subduction", names: list[str] | None = None, contains: bool = False, tile: float = 2.0) -> DataFrame:
-    """Kilometres from each node (lon, lat) to the nearest edge of the chosen lines (line_id, name, type, seq, lon, lat).
+    """Kilometres on the sphere from each node (lon, lat) to the nearest edge of the chosen lines (line_id, name, type, seq, lon, lat).
 
-    Edges are straight in an equirectangular plane about the node. Edges and nodes meet in growing rings of tiles of `tile` degrees; a tile counts
-    for the least that a degree is at the nodes' latitudes, so that a ring finds all that is nearer.
+    Edges are the shorter arcs of great circles. Arcs and nodes meet in tiles of space about the unit sphere, of `tile` degrees, where neither the date line nor the poles are anything special; arcs
+    come in pieces shorter than a tile. Nodes and vertices without finite coordinates take no part; without any edge there are no rows.
     """
     kind = F.lower("type")
     chosen = lines.where(F.col("name").isin(names)) if names is not None else lines.where(F.contains(kind, F.lit(type_filter.lower())) if contains else kind == type_filter.lower()) if type_filter else lines
     order = Window.partitionBy("line_id").orderBy("seq")
-    edges = chosen.select("line_id", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.lead("lon").over(order).alias("bx"), F.lead("lat").over(order).alias("by")).where("bx is not null")
-    km = math.pi / 180 * EARTH_KM
-    cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / tile), F.floor(F.greatest(a, b) / tile))
-    have = edges.withColumn("tx", F.explode(cells("ax", "bx"))).withColumn("ty", F.explode(cells("ay", "by")))
-    asked = tiled(nodes, tile, "lon", "lat")
-    shrink = F.cos(F.radians("lat"))
-    flat = lambda x, y: F.struct(((F.col(x) - F.col("lon")) * shrink * km).alias("x"), ((F.col(y) - F.col("lat")) * km).alias("y"))
-    d = _edge_distance(flat("ax", "ay"), flat("bx", "by"), F.lit(0.0), F.lit(0.0))
-    least = (asked.agg(F.min(shrink)).first()[0] or 1.0) * tile * km
-    out = nearest(asked, have, keys=[], identity=identity, tile=least, reach=_span(asked, have) * least, distance=d, rank=["line_id"])
-    return out.select(*identity, F.col("_b.d").alias("distance_km"))
+    ok = finite(F.col("lon")) & finite(F.col("lat"))
+    ends = chosen.where(ok).select("line_id", "seq", *(c.alias(f"_a{k}") for k, c in enumerate(_on_sphere(F.col("lon"), F.col("lat")))))
+    edges = ends.select("line_id", *(f"_a{k}" for k in range(3)), *(F.lead(f"_a{k}").over(order).alias(f"_b{k}") for k in range(3))).where("_b0 is not null")
+    a, b, p = ([F.col(f"_{x}{k}") for k in range(3)] for x in "abp")
+    step = math.radians(tile)
+    angle = 2 * F.asin(F.least(F.lit(1.0), _chord(a, b) / 2))
+    pieces = edges.withColumn("_angle", angle).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_angle") / step).cast("int"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+
+    def along(t: Column) -> list[Column]:  # the place at share t of the arc
+        s = F.sin("_angle")
+        u, v = F.when(s > 1e-12, F.sin((1 - t) * F.col("_angle")) / s).otherwise(1 - t), F.when(s > 1e-12, F.sin(t * F.col("_angle")) / s).otherwise(t)
+        return [u * x + v * y for x, y in zip(a, b)]
+
+    middle, t = F.struct(*(c.alias(f"m{k}") for k, c in enumerate(along((F.col("_k") - 0.5) / F.col("_n"))))), [(F.col("_k") - j) / F.col("_n") for j in (1, 0)]
+    bit = [F.struct(*(c.alias(f"m{k}") for k, c in enumerate(along(x)))) for x in t]
+    have = pieces.select("line_id", middle.alias("_m"), bit[0].alias("_f"), bit[1].alias("_l"), "_n", *(f"_{x}{k}" for x in "ab" for k in range(3)))
+    ends_of = lambda x, own: [F.when(F.col("_n") == 1, F.col(f"_{own}{k}")).otherwise(F.col(f"_{x}.m{k}")).alias(f"_{own}{k}") for k in range(3)]
+    have = have.select("line_id", *(F.col(f"_m.m{k}").alias(f"_m{k}") for k in range(3)), *ends_of("f", "a"), *ends_of("l", "b"))
+    asked = nodes.where(ok).select(*identity, *(c.alias(f"_p{k}") for k, c in enumerate(_on_sphere(F.col("lon"), F.col("lat")))))
+    out = nearest(asked, have, keys=[], identity=identity, axes=[(f"_p{k}", f"_m{k}") for k in range(3)], tile=step, extent=step * 0.51, distance=arc_chord(p, a, b), rank=["line_id"])
+    return out.select(*identity, (2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("_b.d") / 2))).alias("distance_km"))
 
 
 def rasterize_triangles(triangles: DataFrame, nx: int = 100, ny: int = 100) -> DataFrame:
@@ -204,68 +211,130 @@ def triangulate(polygons: DataFrame) -> DataFrame:
     return polygons.mapInPandas(run, f"poly_id {kind}, tri_id int, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
 
 
+def _sign(rough: np.ndarray, bound: np.ndarray, exact) -> np.ndarray:
+    """Signs of determinants: by floating point where that is sure, else by exact fractions (exact(k) of row k)."""
+    out = np.sign(rough).astype(int)
+    for k in np.flatnonzero(np.abs(rough) <= bound):
+        value = exact(k)
+        out[k] = (value > 0) - (value < 0)
+    return out
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """1 where a, b, c turn left, -1 right, 0 on one line: exact."""
+    left, right = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]), (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+
+    def exact(k):
+        (ax, ay), (bx, by), (cx, cy) = ([Fraction(float(x)) for x in p[k]] for p in (a, b, c))
+        return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+    return _sign(left - right, 4e-15 * (np.abs(left) + np.abs(right)), exact)
+
+
+def _in_circle(a: np.ndarray, b: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """1 where p lies inside the circle through a, b, c (turning left), 0 on it: exact."""
+    (ax, ay), (bx, by), (cx, cy) = ((q - p).T for q in (a, b, c))
+    sa, sb, sc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    terms = ax * by * sc, -ax * sb * cy, -ay * bx * sc, ay * sb * cx, sa * bx * cy, -sa * by * cx
+
+    def exact(k):
+        px, py = (Fraction(float(x)) for x in p)
+        rows = [(Fraction(float(q[k][0])) - px, Fraction(float(q[k][1])) - py) for q in (a, b, c)]
+        (x1, y1), (x2, y2), (x3, y3) = rows
+        s1, s2, s3 = (x * x + y * y for x, y in rows)
+        return x1 * (y2 * s3 - s2 * y3) - y1 * (x2 * s3 - s2 * x3) + s1 * (x2 * y3 - y2 * x3)
+
+    return _sign(sum(terms), 2e-14 * sum(np.abs(t) for t in terms), exact)
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles of distinct points by inserting one at a time and re-making what its circumcircles hold; degenerate sets give none."""
-    n = len(points)
+    """Triangles (left turns) of distinct points, one point put in after another; points on one line have none.
+
+    Each edge of the hull has a triangle with a vertex at infinity, -1, so that the hull is covered whole however flat it is. Tests are exact: of four points on
+    one circle the diagonal that was there first stays.
+    """
+    p = np.asarray(points, float)
+    n = len(p)
     if n < 3:
         return np.zeros((0, 3), int)
-    low, size = points.min(0), max(float(np.ptp(points, 0).max()), 1e-300)
-    p = np.concatenate([(points - low) / size, [[-30, -30], [31, -30], [0.5, 60]]])
-    p[:n] += 1e-9 * np.random.default_rng(0).random((n, 2))  # lattices have no unique triangulation; a fixed nudge picks one
-    tris = np.array([[n, n + 1, n + 2]])
-
-    def circle(t):
-        a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
-        d = 2 * (a[:, 0] * (b[:, 1] - c[:, 1]) + b[:, 0] * (c[:, 1] - a[:, 1]) + c[:, 0] * (a[:, 1] - b[:, 1]))
-        d = np.where(d == 0, 1e-300, d)
-        sa, sb, sc = ((x * x).sum(1) for x in (a, b, c))
-        o = np.stack([sa * (b[:, 1] - c[:, 1]) + sb * (c[:, 1] - a[:, 1]) + sc * (a[:, 1] - b[:, 1]), sa * (c[:, 0] - b[:, 0]) + sb * (a[:, 0] - c[:, 0]) + sc * (b[:, 0] - a[:, 0])], 1) / d[:, None]
-        return o, ((a - o) ** 2).sum(1)
-
-    o, r = circle(tris)
-    for k in range(n):
-        bad = ((p[k] - o) ** 2).sum(1) < r
+    turns = _turn(np.repeat(p[:1], n, 0), np.repeat(p[1:2], n, 0), p)
+    if not turns.any():
+        return np.zeros((0, 3), int)
+    third = int(np.flatnonzero(turns)[0])
+    first = (0, 1, third) if turns[third] > 0 else (1, 0, third)
+    tris = np.array([first, *((first[(k + 1) % 3], first[k], -1) for k in range(3))])
+    for k in range(2, n):
+        if k == third:
+            continue
+        ghost = tris[:, 2] < 0
+        bad = np.zeros(len(tris), bool)
+        real = tris[~ghost]
+        bad[~ghost] = _in_circle(p[real[:, 0]], p[real[:, 1]], p[real[:, 2]], p[k]) > 0
+        u, v = p[tris[ghost, 0]], p[tris[ghost, 1]]
+        side = _turn(u, v, np.repeat(p[k : k + 1], len(u), 0))
+        between = ((u < p[k]) != (v < p[k])).any(1) & (np.minimum(u, v) <= p[k]).all(1) & (p[k] <= np.maximum(u, v)).all(1)
+        bad[ghost] = (side > 0) | ((side == 0) & between)
         edges = np.concatenate([tris[bad][:, [0, 1]], tris[bad][:, [1, 2]], tris[bad][:, [2, 0]]])
-        _, at, count = np.unique(np.sort(edges, 1), axis=0, return_index=True, return_counts=True)
-        rim = edges[at[count == 1]]
+        code = (edges[:, 0] + 1) * (n + 1) + edges[:, 1] + 1
+        rim = edges[~np.isin(code, (edges[:, 1] + 1) * (n + 1) + edges[:, 0] + 1)]
         new = np.column_stack([rim, np.full(len(rim), k)])
-        no, nr = circle(new) if len(new) else (np.zeros((0, 2)), np.zeros(0))
-        tris, o, r = np.concatenate([tris[~bad], new]), np.concatenate([o[~bad], no]), np.concatenate([r[~bad], nr])
-    return tris[(tris < n).all(1)]
+        new[rim[:, 0] < 0] = new[rim[:, 0] < 0][:, [1, 2, 0]]  # infinity comes last
+        new[rim[:, 1] < 0] = new[rim[:, 1] < 0][:, [2, 0, 1]]
+        tris = np.concatenate([tris[~bad], new])
+    return tris[(tris >= 0).all(1)]
 
 
-def grid_scatter(points: DataFrame, keys: list[str], nx: int, ny: int, method: str = "linear", fill: float = 0.0) -> DataFrame:
-    """Scattered (x, y, v) of each key on a regular nx by ny grid over their extent: keys, i, j, x, y, value.
+def scatter_triangles(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Delaunay triangles of the scattered (x, y, v) of each key: keys, tri_id, x1..y3, v1..v3. Of points at one place the least value counts.
 
-    One key, a segment of some hundred points, is one task's group; each is triangulated in numpy. Of points at one place the least value counts, of equally near ones
-    the first by x and y.
+    A key, a segment of some hundred points, is one task's group.
     """
     key_schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    names = [f"{c}{k}" for k in (1, 2, 3) for c in "xyv"]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f[np.isfinite(f[["x", "y", "v"]].to_numpy(float)).all(1)].sort_values(["x", "y", "v"]).drop_duplicates(["x", "y"])
-        p, v = f[["x", "y"]].to_numpy(float), f["v"].to_numpy(float)
-        if not len(p):
-            return pd.DataFrame(columns=[*keys, "i", "j", "x", "y", "value"])
-        gx, gy = np.linspace(p[:, 0].min(), p[:, 0].max(), nx), np.linspace(p[:, 1].min(), p[:, 1].max(), ny)
-        i, j = (a.ravel() for a in np.meshgrid(np.arange(nx), np.arange(ny), indexing="ij"))
-        q, out = np.column_stack([gx[i], gy[j]]), np.full(nx * ny, float(fill))
-        if method == "nearest":
-            for k in range(0, len(q), 1024):
-                out[k : k + 1024] = v[((q[k : k + 1024, None] - p) ** 2).sum(2).argmin(1)]
-        else:
-            for t in delaunay(p):
-                (a, b, c), tol = p[t], 1e-9
-                m = np.column_stack([b - a, c - a])
-                det = np.linalg.det(m)
-                if abs(det) < 1e-14 * max(1e-300, float(np.abs(m).max()) ** 2):
-                    continue
-                w = np.linalg.solve(m, (q - a).T)
-                hit = (w[0] >= -tol) & (w[1] >= -tol) & (w.sum(0) <= 1 + tol)
-                out[hit] = v[t[0]] * (1 - w[0, hit] - w[1, hit]) + v[t[1]] * w[0, hit] + v[t[2]] * w[1, hit]
-        return pd.DataFrame({**{k: f[k].iloc[0] for k in keys}, "i": i, "j": j, "x": q[:, 0], "y": q[:, 1], "value": out})
-
-    return points.select(*keys, "x", "y", "v").groupBy(*keys).applyInPandas(run, f"{key_schema}, i int, j int, x double, y double, value double")
+        f = f.sort_values(["x", "y", "v"]).drop_duplicates(["x", "y"])
+        p = f[["x", "y", "v"]].to_numpy(float)
+        tris = delaunay(p[:, :2])
+        out = pd.DataFrame(p[tris].reshape(len(tris), 9), columns=names)
+        for k in keys:
+            out[k] = f[k].iloc[0]
+        return out.assign(tri_id=np.arange(len(tris)))[[*keys, "tri_id", *names]]
+
+    some = points.select(*keys, "x", "y", "v").where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("v")))
+    return some.groupBy(*keys).applyInPandas(run, f"{key_schema}, tri_id int, {', '.join(f'{c} double' for c in names)}")
+
+
+def grid_scatter(points: DataFrame, keys: list[str], nx: int, ny: int, method: str = "linear", fill: float = 0.0) -> DataFrame:
+    """Scattered (x, y, v) of each key on a regular nx by ny grid over their extent: keys, i, j, x, y, value.
+
+    'linear' weighs the corners of the Delaunay triangle that a grid node lies in, the first of several, `fill` outside the hull; a triangle meets the nodes of its box only. 'nearest' takes the
+    nearest point's value, the first by x and y of equally near ones. Of points at one place the least value counts; keys must not be null.
+    """
+    if method not in ("linear", "nearest"):
+        raise ValueError("method must be 'linear' or 'nearest'")
+    some = points.select(*keys, "x", "y", "v").where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("v")))
+    box = some.groupBy(*keys).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    place = lambda k, c, n: F.when(F.col(k) == n - 1, F.col(f"_{c}1")).otherwise(F.col(f"_{c}0") + F.col(k) * ((F.col(f"_{c}1") - F.col(f"_{c}0")) / max(1, n - 1)))
+    nodes = box.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
+    nodes = nodes.select(*keys, "i", "j", place("i", "x", nx).alias("x"), place("j", "y", ny).alias("y"))
+    by = [*keys, "i", "j"]
+    if method == "nearest":
+        each = some.groupBy(*keys, "x", "y").agg(F.min("v").alias("v")).select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"), "v")
+        d2 = (F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))
+        span = box.agg(F.max(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")))).first()[0]
+        found = nearest(nodes, each, keys=keys, identity=by, axes=[("x", "_px"), ("y", "_py")], tile=(span or 1.0) / 8, distance=F.sqrt(d2), rank=[d2.alias("_d2"), "_px", "_py", "v"])
+        return nodes.join(found, by).select(*by, "x", "y", F.col("_b.v").alias("value"))
+    tri = scatter_triangles(points, keys).join(box, keys)
+    cell = lambda v, c, n: F.coalesce(F.try_divide((v - F.col(f"_{c}0")) * (n - 1), F.col(f"_{c}1") - F.col(f"_{c}0")), F.lit(0.0))
+    span = lambda c, n: F.sequence(F.greatest(F.lit(0), F.floor(cell(F.least(*(f"{c}{k}" for k in (1, 2, 3))), c, n)).cast("int")), F.least(F.lit(n - 1), F.ceil(cell(F.greatest(*(f"{c}{k}" for k in (1, 2, 3))), c, n)).cast("int")))
+    met = tri.withColumn("i", F.explode(span("x", nx))).withColumn("j", F.explode(span("y", ny))).withColumns({"x": place("i", "x", nx), "y": place("j", "y", ny)})
+    side = lambda a, b: (F.col(f"x{b}") - F.col(f"x{a}")) * (F.col("y") - F.col(f"y{a}")) - (F.col(f"y{b}") - F.col(f"y{a}")) * (F.col("x") - F.col(f"x{a}"))
+    size = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x3") - F.col("x1"))
+    met = met.withColumn("_all", size).where("_all > 0").withColumns({f"_w{a}": side(b, c) / F.col("_all") for a, b, c in ((1, 2, 3), (2, 3, 1), (3, 1, 2))})
+    inside = met.where(F.least("_w1", "_w2", "_w3") >= -1e-9).withColumn("_v", F.col("_w1") * F.col("v1") + F.col("_w2") * F.col("v2") + F.col("_w3") * F.col("v3"))
+    value = inside.groupBy(*by).agg(F.min_by("_v", "tri_id").alias("_v"))
+    return nodes.join(value, by, "left").select(*by, "x", "y", F.coalesce("_v", F.lit(float(fill))).alias("value"))
 
 
 def regrid(target: DataFrame, source: DataFrame, max_radius_deg: float = 30.0, step_deg: float = 5.0) -> DataFrame:
@@ -295,14 +364,11 @@ def regrid(target: DataFrame, source: DataFrame, max_radius_deg: float = 30.0, s
     two = near.join(own, ["grid_id", "_i", "_j"], "left").withColumn("value", F.when(finite(F.col("linear")), F.col("linear")).otherwise(F.col("nearest")))
     two = two.select("target_id", "grid_id", "lat_idx", "lon_idx", "lat", "lon", "value")
     radius = math.ceil(max_radius_deg / step_deg) * step_deg
-    tile = step_deg
-    high = math.ceil(radius / tile)
     flat = lambda x, y: F.col(x) * F.cos(F.radians(y))
-    holes = two.where(~finite(F.col("value"))).withColumn("_u", flat("lon", "lat"))
-    around = F.sequence(F.lit(-high), F.lit(high))
-    rings = tiled(holes, tile, "_u", "lat").withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"tx": F.col("tx") + F.col("_dx"), "ty": F.col("ty") + F.col("_dy")})
-    have = tiled(source.where(finite(F.col("value"))).select("grid_id", F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("value").alias("_v")).withColumn("_w", flat("_x", "_y")), tile, "_w", "_y")
-    d2 = F.pow(F.col("_u") - F.col("_w"), 2) + F.pow(F.col("lat") - F.col("_y"), 2)
-    filled = rings.join(have, ["grid_id", "tx", "ty"]).withColumn("_d", d2).where(F.col("_d") <= radius * radius).groupBy("target_id", "grid_id", "lat_idx", "lon_idx").agg(F.min(F.struct("_d", "_y", "_x", "_v"))["_v"].alias("filled"))
+    holes = two.where(~finite(F.col("value"))).select("target_id", "grid_id", "lat_idx", "lon_idx", "lat", flat("lon", "lat").alias("_u"))
+    have = source.where(finite(F.col("value"))).select("grid_id", flat("lon", "lat").alias("_w"), F.col("lat").alias("_y"), F.col("lon").alias("_x"), F.col("value").alias("_v"))
+    d = F.sqrt((F.col("_u") - F.col("_w")) * (F.col("_u") - F.col("_w")) + (F.col("lat") - F.col("_y")) * (F.col("lat") - F.col("_y")))
+    near = nearest(holes, have, keys=["grid_id"], identity=["target_id", "grid_id", "lat_idx", "lon_idx"], axes=[("_u", "_w"), ("lat", "_y")], tile=step_deg, distance=d, rank=["_y", "_x", "_v"])
+    filled = near.where(F.col("_b.d") <= radius).select("target_id", "grid_id", "lat_idx", "lon_idx", F.col("_b._v").alias("filled"))
     out = two.join(filled, ["target_id", "grid_id", "lat_idx", "lon_idx"], "left")
     return out.select("target_id", "grid_id", "lat_idx", "lon_idx", "lat", "lon", F.when(finite(F.col("value")), F.col("value")).otherwise(F.coalesce("filled", F.lit(float("nan")))).alias("value"))

@@ -70,6 +70,7 @@ QUERIES = {
     "random_order_take": lambda s, d: sampling.random_order_take(A.subfaults(s, d).select("event_id", "subfault_id"), 5, ["event_id"], ["subfault_id"], rng="md5"),
     "normalize_time": _relative_time,
     "distance_to_boundaries": lambda s, d: _r(spatial.distance_to_boundaries(A.grid(s, d), A.lines(s, d), identity=["lat_idx", "lon_idx"]), "distance_km", places=6),
+    "distance_over_date_line": lambda s, d: _r(spatial.distance_to_boundaries(A.ocean_nodes(s, d), A.ocean_lines(s, d), identity=["point_id"]), "distance_km", places=6),
     "rasterize_triangles": lambda s, d: _r(spatial.rasterize_triangles(A.triangles(s, d), 20, 20), "x", "y", "value"),
     "bandwidth": lambda s, d: _r(kde.effective_n(A.values(s, d), ["k"], "weight").select("k", kde.bandwidth("silverman", F.col("n_eff"), 1).alias("h")), "h"),
     "kde_pdf2d": lambda s, d: _r(kde.kde_pdf2d(A.read(s, d, "lineitem"), "l_quantity", "l_extendedprice", QX, QY).withColumn("pdf", F.col("pdf") * 1e6), "pdf", places=6),
@@ -92,6 +93,22 @@ _BILINEAR = "sum(g.value * (1 - abs(fx - g.lon_idx)) * (1 - abs(fy - g.lat_idx))
 _CORNERS = "g.lon_idx BETWEEN CAST(floor(fx) AS INTEGER) AND CAST(floor(fx) AS INTEGER) + 1 AND g.lat_idx BETWEEN CAST(floor(fy) AS INTEGER) AND CAST(floor(fy) AS INTEGER) + 1"
 
 
+def _arcs(nodes: str, lon: str, lat: str, by: str) -> str:
+    """Kilometres to the nearest great-circle arc of the regions' lines through their nations at (lon, lat)."""
+    cross = lambda a, b: [f"({a}{m} * {b}{n} - {a}{n} * {b}{m})" for m, n in ("yz", "zx", "xy")]
+    dot = lambda u, v: " + ".join(f"{x} * {y}" for x, y in zip(u, v))
+    xyz = lambda a: [f"{a}{c}" for c in "xyz"]
+    chord = lambda a: " + ".join(f"(p{c} - {a}{c}) * (p{c} - {a}{c})" for c in "xyz")
+    unit = lambda a: f"cos(radians(lat)) * cos(radians(lon)) AS {a}x, cos(radians(lat)) * sin(radians(lon)) AS {a}y, sin(radians(lat)) AS {a}z"
+    return f"""WITH l AS (SELECT n_regionkey AS line, n_nationkey AS seq, {lon} AS lon, {lat} AS lat FROM nation WHERE n_regionkey % 2 = 0), u AS (SELECT line, seq, {unit("a")} FROM l),
+e AS (SELECT *, lead(ax) OVER w AS zx, lead(ay) OVER w AS zy, lead(az) OVER w AS zz FROM u WINDOW w AS (PARTITION BY line ORDER BY seq)),
+q AS (SELECT {by}, {unit("p")} FROM ({nodes})),
+k AS (SELECT q.*, ax, ay, az, zx, zy, zz, {", ".join(f"{x} AS n{c}" for x, c in zip(cross("a", "z"), "xyz"))} FROM q, (SELECT * FROM e WHERE zx IS NOT NULL) e),
+d AS (SELECT {by}, CASE WHEN {dot(cross("n", "a"), xyz("p"))} >= 0 AND {dot(cross("z", "n"), xyz("p"))} >= 0 THEN asin(least(1e0, abs({dot(xyz("p"), xyz("n"))}) / sqrt({dot(xyz("n"), xyz("n"))})))
+ ELSE 2 * asin(least(1e0, sqrt(least({chord("a")}, {chord("z")})) / 2)) END AS angle FROM k)
+SELECT {by}, round(6371.0088e0 * min(angle), 6) AS distance_km FROM d GROUP BY {by}"""
+
+
 def _density(weight: str) -> str:
     """Gaussian density of the values at the levels, by Scott's rule."""
     return f"""WITH v AS (SELECT value, {weight} AS w FROM {_VAL} WHERE value IS NOT NULL), m AS (SELECT sum(w * value) / sum(w) AS mean, sum(w) AS mass, sum(w) * sum(w) / sum(w * w) AS n FROM v),
@@ -119,11 +136,8 @@ g AS (SELECT lat_idx, lon_idx, coalesce(value, 0) AS value FROM {_GRID}) SELECT
 SELECT point_id, segment_id, subfault_id, round(sqrt(d2), 6) AS distance_km FROM n WHERE place = 1""",
     "random_order_take": f"SELECT event_id, subfault_id FROM (SELECT event_id, subfault_id, row_number() OVER (PARTITION BY event_id ORDER BY substr(md5('0:order:' || event_id || ':' || subfault_id), 1, 13), subfault_id) AS place FROM {_SUB}) WHERE place <= 5",
     "normalize_time": f"SELECT event_id, subfault_id, round(t / max(t) OVER (PARTITION BY event_id), 9) AS t FROM {_SUB} WHERE subfault_id % 7 <> 0",
-    "distance_to_boundaries": f"""WITH l AS (SELECT n_regionkey AS line, n_nationkey AS seq, -73 + (n_nationkey * 7) % 25 / 5e0 AS x, -31 + (n_nationkey * 11) % 25 / 2e0 AS y FROM nation WHERE n_regionkey % 2 = 0),
-e AS (SELECT x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM l WINDOW w AS (PARTITION BY line ORDER BY seq)),
-k AS (SELECT lat_idx, lon_idx, (ax - lon) * cos(radians(lat)) * c AS px, (ay - lat) * c AS py, (bx - ax) * cos(radians(lat)) * c AS dx, (by_ - ay) * c AS dy FROM {_GRID} g, e, (SELECT pi() / 180 * 6371.0088e0 AS c) WHERE bx IS NOT NULL),
-t AS (SELECT *, greatest(0e0, least(1e0, coalesce(-(px * dx + py * dy) / nullif(dx * dx + dy * dy, 0), 0e0))) AS t FROM k)
-SELECT lat_idx, lon_idx, round(min(sqrt((px + t * dx) * (px + t * dx) + (py + t * dy) * (py + t * dy))), 6) AS distance_km FROM t GROUP BY 1, 2""",
+    "distance_to_boundaries": _arcs(f"SELECT lat_idx, lon_idx, lon, lat FROM {_GRID}", "-73 + (n_nationkey * 7) % 25 / 5e0", "-31 + (n_nationkey * 11) % 25 / 2e0", "lat_idx, lon_idx"),
+    "distance_over_date_line": _arcs("SELECT c_custkey AS point_id, 170 + (c_custkey * 7919) % 1009 / 50e0 AS lon, -85 + (c_custkey * 104729) % 1013 / 6e0 AS lat FROM customer", "CASE WHEN n_nationkey % 2 = 0 THEN 175 ELSE -185 END + (n_nationkey * 7) % 25 / 2e0", "-80 + (n_nationkey * 11) % 25 * 6e0", "point_id"),
     "rasterize_triangles": """WITH t AS (SELECT c_custkey AS tri, (c_custkey * 7919) % 1009 / 101e0 AS x, (c_custkey * 104729) % 1013 / 101.3e0 AS y, c_acctbal AS v FROM customer), b AS (SELECT min(x) AS x0, max(x + 0.5e0) AS x1, min(y) AS y0, max(y + 0.5e0) AS y1 FROM t),
 g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, x0 + i * (x1 - x0) / 19 AS x, y0 + j * (y1 - y0) / 19 AS y FROM range(20) a(i), range(20) c(j), b)
 SELECT i, j, round(g.x, 9) AS x, round(g.y, 9) AS y, coalesce(arg_min(v, tri), 0e0) AS value FROM g LEFT JOIN t ON g.x >= t.x - 1e-12 AND g.y >= t.y - 1e-12 AND g.x - t.x + g.y - t.y <= 0.5e0 + 1e-12 GROUP BY i, j, g.x, g.y""",

@@ -83,7 +83,8 @@ QUERIES = {
     "sample_grid": lambda s, d: _r(sampling.sample_grid(A.grid(s, d), 2000, rng="md5"), "lon", "lat", "value"),
     "sample_polygons": lambda s, d: _r(sampling.sample_polygons(A.plots(s, d), "n", rng="md5"), "x", "y"),
     "segment_angles": lambda s, d: spatial.segment_angles(A.places(s, d), A.boxes(s, d), identity=["point_id"], x="x", y="y", strict=False).select("point_id", "strike", "dip"),
-    "grid_scatter": lambda s, d: spatial.grid_scatter(A.places(s, d).withColumn("key", F.floor(F.col("point_id") / 200)), ["key"], 20, 20),
+    "grid_scatter": lambda s, d: _r(_r(spatial.grid_scatter(A.places(s, d).withColumn("key", F.floor(F.col("point_id") / 12)), ["key"], 20, 20), "x", "y"), "value", places=3),
+    "grid_scatter_wide": lambda s, d: spatial.grid_scatter(A.places(s, d).withColumn("key", F.floor(F.col("point_id") / 200)), ["key"], 20, 20),
     "grid_scatter_nearest": lambda s, d: _r(spatial.grid_scatter(A.places(s, d).withColumn("key", F.floor(F.col("point_id") / 200)), ["key"], 20, 20, "nearest"), "x", "y"),
     "regrid": lambda s, d: _r(spatial.regrid(A.ensemble(s, d).where("grid_id = 'A'"), grid.downsample(A.grid(s, d), 2)).drop("lat", "lon"), "value"),
     "kappa_convergence": lambda s, d: W.kappa_convergence(A.subfaults(s, d), A.grid(s, d), KAPPAS, KAPPA_REF, tol=TOL, rng="md5")[1],
@@ -140,6 +141,7 @@ FROM v h JOIN v n ON h.k = n.k AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k""
     "find_epicenter_subfault": S.find_epicenter_subfault(),
     "sample_epicenter": S.sample_epicenter(500.0),
     "sample_polygons": S.sample_polygons(),
+    "grid_scatter": S.grid_scatter(),
     "grid_scatter_nearest": S.grid_scatter_nearest(),
     "regrid": S.regrid(),
 } | G.ORACLE_SQL

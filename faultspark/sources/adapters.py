@@ -81,6 +81,21 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select(r.alias("line_id"), r.cast("string").alias("name"), kind.alias("type"), k.alias("seq"), (-73 + (k * 7) % 25 / 5.0).alias("lon"), (-31 + (k * 11) % 25 / 2.0).alias("lat"))
 
 
+def ocean_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by customer on both sides of the date line, from pole to pole; longitudes run on past 180."""
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(k.alias("point_id"), (170 + (k * 7919) % 1009 / 50.0).alias("lon"), (-85 + (k * 104729) % 1013 / 6.0).alias("lat"))
+
+
+def ocean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the regions moved to the date line, which most of their edges cross."""
+    k = F.col("n_nationkey")
+    lon = F.when(k % 2 == 0, 175).otherwise(-185) + (k * 7) % 25 / 2.0
+    return read(spark, sf_dir, "nation").join(lines(spark, sf_dir).select("line_id", "name", "type", F.col("seq").alias("n_nationkey")), "n_nationkey").select(
+        "line_id", "name", "type", k.alias("seq"), lon.alias("lon"), (-80 + (k * 11) % 25 * 6.0).alias("lat")
+    )
+
+
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A right triangle by customer."""
     at = {"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x") + 0.5, "y2": F.col("y"), "x3": F.col("x"), "y3": F.col("y") + 0.5}

@@ -1,6 +1,7 @@
 """Known values, odd inputs and plain-Python checks of the rupture, grid and distribution operators."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -128,20 +129,113 @@ def test_nearest_over_many_tiles(spark):
     assert set(got) == set(want) and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
 
 
-def test_boundaries_far_from_nodes(spark):
-    lines = spark.createDataFrame([(1, "a", "subduction", k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (30, 5), (31, 40)])], "line_id int, name string, type string, seq int, lon double, lat double")
-    at = [(0, 10.0, 10.0), (1, -60.0, -35.0), (2, 31.0, 50.0), (3, 15.0, 2.5)]
-    got = {r.n: r.distance_km for r in spatial.distance_to_boundaries(spark.createDataFrame(at, "n int, lon double, lat double"), lines, identity=["n"]).collect()}
-    km = math.pi / 180 * spatial.EARTH_KM
-
-    def edge(lon, lat, a, b):
-        flat = lambda p: np.array([(p[0] - lon) * math.cos(math.radians(lat)), p[1] - lat]) * km
-        p, q = flat(a), flat(b)
-        t = min(1, max(0, -p @ (q - p) / ((q - p) @ (q - p))))
-        return float(np.hypot(*(p + t * (q - p))))
-
-    for n, lon, lat in at:
-        assert got[n] == pytest.approx(min(edge(lon, lat, (0, 0), (30, 5)), edge(lon, lat, (30, 5), (31, 40))), abs=1e-6)
+def sphere(lon, lat):
+    lon, lat = math.radians(lon), math.radians(lat)
+    return np.array([math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat)])
+
+
+def arc_km(at, a, b):
+    """By the arc's places, a thousand to begin with and then closer about the nearest."""
+    p, u, v = sphere(*at), sphere(*a), sphere(*b)
+    angle, low, high = math.acos(max(-1, min(1, u @ v))), 0.0, 1.0
+    for _ in range(8):
+        t = np.linspace(low, high, 1001)[:, None]
+        q = (np.sin((1 - t) * angle) * u + np.sin(t * angle) * v) / math.sin(angle)
+        d = np.sqrt(((q - p) ** 2).sum(1))
+        k, w = int(d.argmin()), (high - low) / 500
+        low, high = max(0.0, t[k, 0] - w), min(1.0, t[k, 0] + w)
+    return 2 * spatial.EARTH_KM * math.asin(d.min() / 2)
+
+
+def test_boundaries_on_the_sphere(spark):
+    """Across the date line, over a pole, far away, beside long arcs; a node without place, a line of one vertex."""
+    shape = [(0, 0), (30, 5), (31, 40)], [(179.8, -25), (-179.8, -15), (178, 10)], [(20, 88), (-150, 87)], [(-60, -60), (60, -60)]
+    lines = spark.createDataFrame([(k, str(k), "Subduction", j, float(x), float(y)) for k, line in enumerate(shape) for j, (x, y) in enumerate(line)] + [(9, "9", "subduction", 0, 1.0, 1.0), (8, "8", "ridge", 0, 1.0, 1.0), (8, "8", "ridge", 1, 2.0, 1.0)], "line_id int, name string, type string, seq int, lon double, lat double")
+    at = [(0, 10.0, 10.0), (1, -60.0, -35.0), (2, 31.0, 50.0), (3, 15.0, 2.5), (4, 179.9, -20.0), (5, -179.9, -20.0), (6, 180.1, -20.0), (7, 100.0, 89.9), (8, 0.0, -75.0), (9, -72.0, -90.0), (10, 540.0, 2.0)]
+    df = spark.createDataFrame([*at, (11, NAN, 1.0)], "n int, lon double, lat double")
+    got = {r.n: r.distance_km for r in spatial.distance_to_boundaries(df, lines, identity=["n"]).collect()}
+    assert set(got) == {n for n, _, _ in at}
+    for n, *node in at:
+        want = min(arc_km(node, a, b) for line in shape for a, b in zip(line, line[1:]))
+        assert got[n] == pytest.approx(want, abs=1e-5), n
+    assert got[5] == pytest.approx(got[6], abs=1e-9) and got[4] < 25
+    assert spatial.distance_to_boundaries(df, lines, identity=["n"], names=["none"]).count() == 0
+
+
+def test_nearest_over_empty_space(spark):
+    """Sources far away, in one cluster, on tile edges; equal distances go by rank; keys without a source have no row."""
+    rng = np.random.default_rng(5)
+    have = [*rng.normal((1e6, -3e5), 2.0, (200, 2)), *(np.array([[0, 0], [8, 0], [0, 8], [8, 8]]) * 10.0), *rng.uniform(-3e5, 3e5, (20, 2))]
+    asked = [*rng.normal((0, 0), 30.0, (40, 2)), *rng.uniform(-2e6, 2e6, (30, 2)), np.array([40.0, 40.0]), np.array([80.0, 0.0])]
+    sub = spark.createDataFrame([(1, 0, k, *map(float, v)) for k, v in enumerate(have)], "event_id int, segment_id int, subfault_id int, x_km double, y_km double")
+    pts = spark.createDataFrame([(1, k, *map(float, v)) for k, v in enumerate(asked)] + [(2, 99, 0.0, 0.0)], "event_id int, p int, x_km double, y_km double")
+    got = {r.p: (r.subfault_id, r.distance_km) for r in spatial.closest_subfault(pts, sub, keys=["event_id"], identity=["p"], tile=10.0).collect()}
+    want = {k: min((math.dist(v, w), m) for m, w in enumerate(have)) for k, v in enumerate(asked)}
+    assert set(got) == set(want) and all(got[k] == (want[k][1], pytest.approx(want[k][0])) for k in want)
+    with pytest.raises(ValueError, match="extent"):
+        spatial.nearest(pts, sub, keys=[], identity=["p"], axes=[("x_km", "x_km")], tile=1.0, distance=F.lit(1.0), rank=[], extent=1.0)
+
+
+def hull_area(p):
+    """Exact."""
+    p = sorted((Fraction(float(x)), Fraction(float(y))) for x, y in p)
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    ring = []
+    for way in (p, p[::-1]):
+        half = []
+        for q in way:
+            while len(half) > 1 and cross(half[-2], half[-1], q) <= 0:
+                half.pop()
+            half.append(q)
+        ring += half[:-1]
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+
+
+@pytest.mark.parametrize("shape", ["square", "strip 10", "strip 100", "strip 1e6", "lattice", "sheared", "circle", "duplicates on a line"])
+def test_delaunay_covers_the_hull(shape):
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        p = rng.random((90, 2))
+        if shape.startswith("strip"):
+            p = p / [1, float(shape.split()[1])]
+            turn = math.radians(37 * seed)
+            p = p @ [[math.cos(turn), math.sin(turn)], [-math.sin(turn), math.cos(turn)]]
+        if shape in ("lattice", "sheared"):
+            p = np.array([(i, j) for i in range(9) for j in range(8)], float) @ ([[1, 0], [0, 1]] if shape == "lattice" else [[0.1, 0.3], [0.7, 1.1]])
+            p = p[rng.permutation(len(p))]
+        if shape == "circle":
+            p = np.array([(math.cos(k * math.pi / 20), math.sin(k * math.pi / 20)) for k in range(40)])[rng.permutation(40)]
+        if shape.startswith("dup"):
+            p = np.array([(k, 0.0) for k in range(30)] + [(7.5, 1.0)])[rng.permutation(31)]
+        t = spatial.delaunay(p)
+        a, b, c = (p[t[:, k]] for k in range(3))
+        areas = [hull_area(p[k]) for k in t]
+        assert (spatial._turn(a, b, c) > 0).all() and sum(areas) == hull_area(p)  # to the last bit: no gap, no overlap
+        assert all((spatial._in_circle(a, b, c, q) <= 0).all() for q in p)
+    assert len(spatial.delaunay(np.array([(k, 2.0 * k) for k in range(5)]))) == 0 and len(spatial.delaunay(p[:2])) == 0
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_grid_scatter_values(spark, method):
+    """A plane comes back as itself inside the hull of turned strips; a line has no inside; the least value of a place counts."""
+    rows = []
+    for key in range(3):
+        p = np.random.default_rng(key).random((40, 2)) * [1, 0.01]
+        turn = math.radians(25 + 30 * key)
+        p = p @ [[math.cos(turn), math.sin(turn)], [-math.sin(turn), math.cos(turn)]]
+        rows += [(f"k{key}", float(x), float(y), float(3 * x - 2 * y + 1)) for x, y in p]
+    rows += [("k0", *rows[0][1:3], 99.0), ("line", 0.0, 0.0, 5.0), ("line", 1.0, 1.0, 6.0), ("odd", NAN, 0.0, 1.0), ("one", 2.0, 3.0, 4.0)]
+    got = spatial.grid_scatter(spark.createDataFrame(rows, "key string, x double, y double, v double"), ["key"], 9, 7, method, fill=-1.0).collect()
+    assert len(got) == 5 * 63 and {r.key for r in got} == {"k0", "k1", "k2", "line", "one"}
+    inside = [r for r in got if r.value != -1]
+    if method == "linear":
+        assert all(r.value == pytest.approx(3 * r.x - 2 * r.y + 1, abs=1e-6) for r in inside) and len(inside) >= 3 and {r.key for r in inside} <= {"k0", "k1", "k2"}
+    else:
+        assert len(inside) == len(got) and {r.value for r in got if r.key == "one"} == {4.0} and {r.value for r in got if r.key == "line"} == {5.0, 6.0}
+        for r in got:
+            assert r.value == min((math.dist((r.x, r.y), (x, y)), x, y, v) for k, x, y, v in rows if k == r.key)[3]
+    with pytest.raises(ValueError, match="method"):
+        spatial.grid_scatter(spark.createDataFrame(rows, "key string, x double, y double, v double"), ["key"], 3, 3, "cubic")
 
 
 def test_compare_grids_of_other_shapes(spark):
