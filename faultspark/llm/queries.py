@@ -30,7 +30,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), min_words=substring_dedup.PASSAGE)
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), passage=substring_dedup.PASSAGE)
+
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that op6 goes by first of all, on their own."""
+    return substring_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op13_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_pii, op4_toxicity, op5_packing, op6_repeated_spans, op7_html_main_text, op8_quality, op9_near_duplicates, op10_exact_top_k, op11_importance_resampling, op12_collocations, op13_embedding_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_pii, op4_toxicity, op5_packing, op6_repeated_spans, op7_html_main_text, op8_quality, op9_near_duplicates, op10_exact_top_k, op11_importance_resampling, op12_collocations, op13_embedding_near_duplicates, repeated_lines)}
 
 ORACLE_SQL = {
     "op9_near_duplicates": r"""
@@ -152,5 +157,12 @@ WITH RECURSIVE v AS (
 ), lowest AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
 counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN lowest USING (vec_id) LEFT JOIN counts USING (vec_id)
+""",
+    "repeated_lines": r"""
+WITH pieces AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+lines AS (SELECT doc_id, x.i AS line, x.t AS t FROM (SELECT doc_id, unnest(list_transform(p, lambda v, i: {'i': i - 1, 't': v})) AS x FROM pieces)),
+placed AS (SELECT doc_id, line, t, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(t) - 1 AS base, list_filter(string_split_regex(lower(t), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+'), lambda w: w <> '') AS w FROM lines),
+ranked AS (SELECT *, row_number() OVER o AS place, first_value(doc_id) OVER o AS kept_doc_id, first_value(line) OVER o AS kept_line FROM placed WHERE len(w) > 0 WINDOW o AS (PARTITION BY w ORDER BY doc_id, line))
+SELECT doc_id, line, CAST(base + length(t) - length(ltrim(t, chr(32) || chr(9) || chr(13))) AS BIGINT) AS start, CAST(base + length(rtrim(t, chr(32) || chr(9) || chr(13))) AS BIGINT) AS "end", CAST(len(w) AS BIGINT) AS n_words, kept_doc_id, kept_line FROM ranked WHERE place > 1
 """,
 }

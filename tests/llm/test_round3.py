@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from faultspark.llm import collocations, embedding_dedup, resampling
+from faultspark.llm import collocations, embedding_dedup, resampling, substring_dedup
 from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string, lang string, score string"
@@ -152,3 +152,32 @@ def test_passes_and_sketches():
     most, p = embedding_dedup.most_differing(0.95), math.acos(0.95) / math.pi
     tail = sum(math.comb(256, k) * p**k * (1 - p) ** (256 - k) for k in range(most + 1, 257))
     assert tail <= embedding_dedup.MISS < tail + math.comb(256, most) * p**most * (1 - p) ** (256 - most)
+
+
+def test_repeated_lines_of_any_length(spark):
+    """Whole lines of one word, of seven, of sixteen with a cut inside and of many whose words stand in two documents; the earliest stays."""
+    words = [f"u{k}" for k in range(400)]
+    seven, sixteen, long = " ".join(words[:7]), " ".join(words[20:36]), " ".join(words[40:80])
+    rows = [
+        (5, f"{seven}\n{' '.join(words[300:330])}"), (2, f"own words here\n  {seven.upper()} \r\n\nEn."), (7, f"En.\n{sixteen}\n{long}"), (1, f"{long}\nand {sixteen} again"), (9, f"{sixteen}\n\n{long}\nlast"),
+        (None, "En."), (None, "\tEN. "), (3, None), (4, ""), (8, f"alone\n{seven}"), (8, f"alone\n{seven}"),
+    ]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, row string")
+    seen, want = {}, Counter()
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        at = 0
+        for k, line in enumerate((t or "").split("\n")):
+            key = tuple(line.lower().split())
+            if key and key in seen:
+                left = at + len(line) - len(line.lstrip())
+                want[i, k, left, left + len(line.strip()), len(key), *seen[key]] += 1
+            elif key:
+                seen[key] = i, k
+            at += len(line) + 1
+    got = substring_dedup.repeated_lines(df).drop("row").collect()
+    assert Counter(map(tuple, got)) == want and sum(want.values()) >= 9
+    spans = substring_dedup.repeated_spans(df, passage=substring_dedup.PASSAGE).collect()
+    inside = lambda i, a, b: any(s.doc_id == i and s.start <= a and b <= s.end for s in spans)
+    assert all(inside(i, a, b) for i, _, a, b, *_ in want)
+    assert {(s.doc_id, s.is_passage) for s in spans if s.n_words == 7} >= {(5, 0)} and all(s.is_passage == (s.longest >= 17) for s in spans)
+    assert substring_dedup.repeated_lines(df.limit(0)).count() == 0 and all(r.n_words > 6 for r in substring_dedup.repeated_lines(df, min_words=7).collect())
