@@ -47,11 +47,15 @@ def lookup_grid(points: DataFrame, grid: DataFrame, *, x: str = "lon", y: str =
     return found.withColumn(out, F.when(inside & F.col("v00").isNotNull(), value).otherwise(F.lit(float("nan")))).select(*[c for c in points.columns if c != out], out)
 
 
-def on_each(rows: DataFrame, column: str, of: DataFrame) -> DataFrame:
-    """rows once for each distinct value of `column` in `of`; the values (names of grids or moves) go into the plan."""
-    found = sorted(r[0] for r in of.select(column).distinct().limit(MOST_NAMES + 1).collect())
-    if len(found) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} values of {column} at once")
+def on_each(rows: DataFrame, column: str, of: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+    """rows once for each distinct value of `column` in `of`. Up to `most` values (names of grids or moves) go into the plan; more are dealt into blocks of about as many, which rows meet one by one."""
+    distinct = of.select(column).distinct()
+    found = sorted(r[0] for r in distinct.limit(most + 1).collect())
+    if len(found) > most:
+        n = -(-distinct.count() // most)
+        blocks = distinct.groupBy(F.pmod(F.xxhash64(column), F.lit(n)).alias("_block")).agg(F.collect_list(column).alias("_names"))
+        each = rows.drop(column).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+        return each.join(blocks, "_block").withColumn(column, F.explode("_names")).drop("_block", "_names")
     values = F.array(*map(F.lit, found)) if found else F.array().cast(f"array<{of.schema[column].dataType.simpleString()}>")
     return rows.drop(column).withColumn(column, F.explode(values))
 

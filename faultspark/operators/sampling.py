@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite
 from ..functions.geodesy import from_utm
 from ..functions.rng import explode_counts, uniform
+from ..functions.stage import staged
 from .faults import points_per_subfault, project, subfault_corners
 from .grid import grid_meta
-from .lookup import MOST_NAMES, lookup_grid
+from .lookup import lookup_grid
 from .spatial import triangulate
 
 
-HOPELESS = 200_000  # proposals
+HOPELESS = 2_000_000  # proposals; a grid where none of so many is accepted has less than 2 millionths of its box to sample, but for one case in e^4
 
 
 def place_points(patches: DataFrame, n: Column, keys: list[str], seed: int, rng: str = "xxhash64") -> DataFrame:
@@ -84,39 +85,41 @@ def sample_polygons(polygons: DataFrame, n: str, *, seed: int = 0, rng: str = "x
     return placed.select("poly_id", "sample_idx", at("x").alias("x"), at("y").alias("y"))
 
 
-def grid_proposals(grid: DataFrame, low: int, high: Column, seed: int, rng: str) -> DataFrame:
-    """Proposals number low to high-1 for each grid with their place, value and whether they are accepted."""
-    meta = grid_meta(grid).join(grid.where(finite(F.col("value"))).groupBy("grid_id").agg(F.max("value").alias("_top")), "grid_id")
-    dealt = explode_counts(meta.withColumn("_n", high - low), "_n", ["grid_id"], "proposal").withColumn("proposal", F.col("proposal") + low)
+def grid_proposals(grid: DataFrame, bounds: DataFrame, seed: int, rng: str) -> DataFrame:
+    """Proposals number low to high - 1 of each grid in bounds (grid_id, low, high) with their place, value and whether they are accepted."""
+    meta = grid_meta(grid).join(grid.where(finite(F.col("value"))).groupBy("grid_id").agg(F.max("value").alias("_top")), "grid_id").join(bounds, "grid_id")
+    dealt = explode_counts(meta.withColumn("_n", F.col("high") - F.col("low")), "_n", ["grid_id"], "proposal").withColumn("proposal", F.col("proposal") + F.col("low"))
     x, y, h = (uniform(seed, s, "grid_id", "proposal", rng=rng) for s in ("x", "y", "h"))
     placed = dealt.select("grid_id", "proposal", (F.col("x_min") + x * (F.col("x_max") - F.col("x_min"))).alias("lon"), (F.col("y_min") + y * (F.col("y_max") - F.col("y_min"))).alias("lat"), (h * F.col("_top")).alias("_h"))
     found = lookup_grid(placed, grid)
     return found.withColumn("accepted", finite(F.col("value")) & (F.col("value") > F.col("_h"))).drop("_h")
 
 
-def sample_grid(grid: DataFrame, n: int, *, seed: int = 0, rng: str = "xxhash64") -> DataFrame:
+def sample_grid(grid: DataFrame, n: int, *, seed: int = 0, rng: str = "xxhash64", strict: bool = True) -> DataFrame:
     """The first n accepted proposals of each grid, accepted in proportion to the bilinear value.
 
-    The first round proposes n * max / mean * 1.2 + 64 for each grid; rounds go on from the number proposed so far, as many as the share accepted
-    asks for, with the grids only that are still short. An error where a grid has no positive values, or none that a proposal meets in HOPELESS tries.
+    The first round proposes n * max / mean * 1.2 + 64 for a grid; each goes on from its own number of proposals with as many as its own accepted share asks for, until it has n. An error
+    where a grid has no positive value, or none that one of HOPELESS proposals meets; such grids are left out if not strict.
     """
     stats = grid.groupBy("grid_id").agg(F.max(F.when(finite(F.col("value")), F.col("value"))).alias("top"), F.avg(F.when(finite(F.col("value")), F.greatest("value", F.lit(0.0))).otherwise(0.0)).alias("mean"))
-    worst = stats.agg(F.max(F.try_divide("top", F.col("mean"))).alias("r"), F.count_if(F.coalesce(F.col("top") <= 0, F.lit(True))).alias("empty")).first()
-    if worst["empty"]:
+    stats = staged(stats.withColumn("some", F.coalesce(F.col("top") > 0, F.lit(False))), "stats")
+    if strict and not stats.where("not some").isEmpty():
         raise ValueError("a grid has no positive value to sample")
-    low, high, done, open_ = 0, int(n * (worst["r"] or 0) * 1.2) + 64, None, grid
+    high = F.floor(F.try_divide("top", F.col("mean")) * n * 1.2).cast("long") + 64
+    bounds, done = stats.where("some").select("grid_id", F.lit(0).cast("long").alias("low"), high.alias("high")), None
     while True:
-        some = grid_proposals(open_, low, F.lit(high).cast("long"), seed, rng).where("accepted").drop("accepted").persist()
-        done = some if done is None else done.unionByName(some)
-        counts = done.groupBy("grid_id").agg(F.count("*").alias("_n"))
-        short = stats.select("grid_id").join(counts, "grid_id", "left").select("grid_id", F.coalesce("_n", F.lit(0)).alias("n")).where(F.col("n") < n).limit(MOST_NAMES + 1).collect()
-        if not short:
+        bounds = staged(bounds, "bounds")
+        if bounds.isEmpty() and done is not None:
             break
-        least = min(r["n"] for r in short)
-        if not least and high >= HOPELESS:
-            raise ValueError(f"a grid accepted none of {high} proposals")
-        open_ = grid if len(short) > MOST_NAMES else grid.where(F.col("grid_id").isin([r["grid_id"] for r in short]))
-        low, high = high, max(2 * high, int(1.2 * n * high / least)) if least else 8 * high
+        some = staged(grid_proposals(grid, bounds, seed, rng).where("accepted").drop("accepted"), "accepted")
+        done = some if done is None else done.unionByName(some)
+        counts = bounds.join(done.groupBy("grid_id").agg(F.count("*").alias("_n")), "grid_id", "left").select("grid_id", "high", F.coalesce("_n", F.lit(0)).alias("_n"))
+        counts = staged(counts.where(F.col("_n") < n), "short")
+        lost = counts.where((F.col("_n") == 0) & (F.col("high") >= HOPELESS))
+        if strict and not lost.isEmpty():
+            raise ValueError(f"a grid accepted none of {lost.first()['high']} proposals")
+        more = F.when(F.col("_n") == 0, F.least(8 * F.col("high"), F.greatest(F.lit(HOPELESS), F.col("high")))).otherwise(F.greatest(2 * F.col("high"), F.floor(1.2 * n * F.col("high") / F.col("_n"))))
+        bounds = counts.where((F.col("_n") > 0) | (F.col("high") < HOPELESS)).select("grid_id", F.col("high").alias("low"), more.cast("long").alias("high"))
     order = Window.partitionBy("grid_id").orderBy("proposal")
     return done.withColumn("sample_idx", F.row_number().over(order).cast("long") - 1).where(F.col("sample_idx") < n).select("grid_id", "sample_idx", "lon", "lat", "value")
 

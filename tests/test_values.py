@@ -273,8 +273,19 @@ def test_sample_grid_goes_on_while_short(spark):
     assert {r.grid_id for r in got.where("value > 0").select("grid_id").distinct().collect()} == {"peak", "flat"} and got.where("grid_id = 'peak' and (lon < 6 or lon > 8)").count() == 0
     assert sampling.sample_grid(peak.limit(0), 5).count() == 0
     lonely = nodes(spark, "g", lambda i, j: 1.0 if (i, j) == (1, 1) else NAN)
-    with pytest.raises(ValueError, match="none of"):
+    with pytest.raises(ValueError, match="none of 2000000"):
         sampling.sample_grid(lonely, 5)
+    both = lonely.withColumn("grid_id", F.lit("lost")).union(nodes(spark, "flat"))
+    assert {r.grid_id: r["count"] for r in sampling.sample_grid(both, 50, strict=False).groupBy("grid_id").count().collect()} == {"flat": 50}
+
+
+def test_more_names_than_a_plan_holds(spark):
+    moves = spark.range(25).select(F.col("id").cast("int").alias("transform_id"))
+    rows = spark.createDataFrame([(1,), (2,), (2,)], "p int")
+    got = lookup.on_each(rows, "transform_id", moves.union(moves), most=4)
+    assert sorted(map(tuple, got.collect())) == sorted((p, k) for p in (1, 2, 2) for k in range(25))
+    assert sorted(map(tuple, lookup.on_each(rows, "transform_id", moves, most=25).collect())) == sorted(map(tuple, got.collect()))
+    assert lookup.on_each(rows, "transform_id", moves.limit(0), most=4).count() == 0
 
 
 def test_transforms_and_checks(spark):
