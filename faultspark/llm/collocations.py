@@ -129,8 +129,8 @@ def _by_language(rows: list[pa.RecordBatch]):
         yield lang, t.column("text").filter(pc.equal(langs.indices, k)).combine_chunks()
 
 
-def _runs(cuts: list[tuple[bytes, tuple[bytes, ...]]]):
-    """Sorted runs of windows cut at the ranges: part, lang, words, kind, n, raw."""
+def _runs(cuts: list[tuple[bytes, tuple[bytes, ...]]], slots: list[int]):
+    """Sorted runs of windows cut at the ranges: slot, part, lang, words, kind, n, raw."""
 
     def run(batches):
         codec, held, size = pa.Codec("zstd"), [], 0
@@ -145,8 +145,8 @@ def _runs(cuts: list[tuple[bytes, tuple[bytes, ...]]]):
                 at = [0, *(_cut(cols, words, c) for c in own), len(amount)]
                 for k, (a, b) in enumerate(zip(at, at[1:])):
                     if a < b:
-                        row = first + k, lang, *_packed([c[a:b] for c in cols], amount[a:b], words, codec)
-                        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["part", "lang", "words", "kind", "n", "raw"])
+                        row = slots[first + k], first + k, lang, *_packed([c[a:b] for c in cols], amount[a:b], words, codec)
+                        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["slot", "part", "lang", "words", "kind", "n", "raw"])
 
         for b in batches:
             for at in range(0, len(b), 256):
@@ -227,6 +227,13 @@ def _spaced(rows: list[tuple], parts: int) -> list[tuple]:
     return sorted({rows[len(rows) * k // parts] for k in range(1, parts)}) if rows else []
 
 
+def _slots(spark, parts: int, partitions: int) -> list[int]:
+    """A number for each part that hash partitioning puts in the partition where it belongs: parts in order, as many in each."""
+    put = F.pmod(F.hash("id"), F.lit(partitions))
+    found = dict(spark.range(40 * partitions).groupBy(put.alias("at")).agg(F.min("id")).collect())
+    return [found.get(k * partitions // parts, k) for k in range(parts)]
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, words (array), n of every phrase of one to N words found at least `least` times; no words: the number of all words."""
     texts = spread(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
@@ -235,8 +242,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     parts = max(shuffled, samples.count() * STEP // PART)
     some = samples.orderBy(F.xxhash64("lang", "words", "at")).limit(64 * parts).collect()
     cuts = _spaced([(r["lang"].encode(), tuple(map(bytes, r["words"]))) for r in some], parts)
-    runs = texts.mapInArrow(_runs(cuts), "part long, lang string, words binary, kind string, n long, raw binary")
-    merged = runs.repartition(shuffled, "part").sortWithinPartitions("part", "lang").mapInArrow(_merged(least), "lang string, words array<string>, n long")
+    slots = _slots(docs.sparkSession, len(cuts) + 1, shuffled)
+    runs = texts.mapInArrow(_runs(cuts, slots), "slot long, part long, lang string, words binary, kind string, n long, raw binary")
+    merged = runs.repartition(shuffled, "slot").sortWithinPartitions("part", "lang").mapInArrow(_merged(least), "lang string, words array<string>, n long")
     return staged(merged.groupBy("lang", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.size("words") == 0)), "counts")
 
 
