@@ -308,7 +308,7 @@ def scatter_triangles(points: DataFrame, keys: list[str]) -> DataFrame:
 def grid_scatter(points: DataFrame, keys: list[str], nx: int, ny: int, method: str = "linear", fill: float = 0.0) -> DataFrame:
     """Scattered (x, y, v) of each key on a regular nx by ny grid over their extent: keys, i, j, x, y, value.
 
-    'linear' weighs the corners of the Delaunay triangle that a grid node lies in, the first of several, `fill` outside the hull; a triangle meets the nodes of its box only. 'nearest' takes the
+    'linear' weighs the corners of the Delaunay triangle that a grid node lies in, the largest of several, `fill` outside the hull; a triangle meets the nodes of its box only. 'nearest' takes the
     nearest point's value, the first by x and y of equally near ones. Of points at one place the least value counts; keys must not be null.
     """
     if method not in ("linear", "nearest"):
@@ -333,7 +333,7 @@ def grid_scatter(points: DataFrame, keys: list[str], nx: int, ny: int, method: s
     size = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x3") - F.col("x1"))
     met = met.withColumn("_all", size).where("_all > 0").withColumns({f"_w{a}": side(b, c) / F.col("_all") for a, b, c in ((1, 2, 3), (2, 3, 1), (3, 1, 2))})
     inside = met.where(F.least("_w1", "_w2", "_w3") >= -1e-9).withColumn("_v", F.col("_w1") * F.col("v1") + F.col("_w2") * F.col("v2") + F.col("_w3") * F.col("v3"))
-    value = inside.groupBy(*by).agg(F.min_by("_v", "tri_id").alias("_v"))
+    value = inside.groupBy(*by).agg(F.min_by("_v", F.struct(-F.col("_all"), "tri_id")).alias("_v"))  # weights of nearly flat triangles are the least sure
     return nodes.join(value, by, "left").select(*by, "x", "y", F.coalesce("_v", F.lit(float(fill))).alias("value"))
 
 
