@@ -17,9 +17,18 @@ def uniform(seed: int, stream: str, *keys: Column | str, rng: str = "xxhash64")
     return F.xxhash64(F.lit(seed), F.lit(stream), *cols).bitwiseAND((1 << 53) - 1).cast("double") / float(1 << 53)
 
 
-def explode_counts(df: DataFrame, n: str, keys: list[str], index: str = "sample_idx", block: int = BLOCK) -> DataFrame:
-    """n rows for each row, numbered from 0. Blocks of rows are dealt out first, so a large n fills many tasks."""
+def deal(df: DataFrame, n: str, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """A row for each block of at most `block` of a row's n, dealt out over the tasks: numbers _from up to below _to."""
     some = df.where(F.col(n) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / block))))
-    dealt = some.repartition(*keys, "_block")
     low = F.col("_block") * block
-    return dealt.withColumn(index, F.explode(F.sequence(low, F.least(low + block, F.col(n).cast("long")) - 1))).drop("_block")
+    return some.repartition(*keys, "_block").withColumns({"_from": low, "_to": F.least(low + block, F.col(n).cast("long"))}).drop("_block")
+
+
+def number(dealt: DataFrame, index: str = "sample_idx") -> DataFrame:
+    """The numbers of each block as rows."""
+    return dealt.withColumn(index, F.explode(F.sequence(F.col("_from"), F.col("_to") - 1))).drop("_from", "_to")
+
+
+def explode_counts(df: DataFrame, n: str, keys: list[str], index: str = "sample_idx", block: int = BLOCK) -> DataFrame:
+    """n rows for each row, numbered from 0. Blocks of rows are dealt out first, so a large n fills many tasks."""
+    return number(deal(df, n, keys, block), index)

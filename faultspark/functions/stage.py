@@ -22,13 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table; Spark deletes it when the application ends."""
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; Spark deletes it when the application ends."""
+    new = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(path)
     files.deleteOnExit(path)
-    df.write.parquet(f"{folder}/rows")
-    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+    return new
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table; Spark deletes it when the application ends."""
+    path = f"{folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

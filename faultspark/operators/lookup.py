@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import grid_meta, inverse_transform
@@ -24,6 +24,23 @@ def _sized(cells: DataFrame) -> DataFrame:
     return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
 
 
+def in_cells(points: DataFrame, meta: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+    """points with their grid's meta, their place in steps of its nodes (_fx, _fy), clamped to the border, and their cell i, j; null for no place or no grid."""
+    px, py = F.col(x), F.col(y)
+    fx = (px - F.col("x_min")) / (F.col("x_max") - F.col("x_min")) * (F.col("n_x") - 1)
+    fy = (py - F.col("y_min")) / (F.col("y_max") - F.col("y_min")) * (F.col("n_y") - 1)
+    clamp = lambda c, n: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.col(n) - 1.0, c)))
+    placed = points.join(F.broadcast(meta), "grid_id", "left").withColumn("_fx", clamp(F.when(~F.isnan(px), fx), "n_x")).withColumn("_fy", clamp(F.when(~F.isnan(py), fy), "n_y"))  # one row a grid
+    return placed.withColumn("i", F.floor("_fx").cast("int")).withColumn("j", F.floor("_fy").cast("int"))
+
+
+def bilinear(v00: Column, v10: Column, v01: Column, v11: Column) -> Column:
+    """The value at _fx, _fy of cell i, j; corners that are null take no part."""
+    t, s = F.col("_fx") - F.col("i"), F.col("_fy") - F.col("j")
+    part = lambda v, w: F.coalesce(v * w, F.lit(0.0))
+    return part(v00, (1 - t) * (1 - s)) + part(v10, t * (1 - s)) + part(v01, (1 - t) * s) + part(v11, t * s)
+
+
 def lookup_grid(points: DataFrame, grid: DataFrame, *, x: str = "lon", y: str = "lat", outside: str = "border", out: str = "value") -> DataFrame:
     """points (grid_id, x, y, ...) with the bilinear value.
 
@@ -33,17 +50,10 @@ def lookup_grid(points: DataFrame, grid: DataFrame, *, x: str = "lon", y: str =
     if outside not in ("border", "null"):
         raise ValueError("outside must be 'border' or 'null'")
     px, py = F.col(x), F.col(y)
-    meta = F.broadcast(grid_meta(grid))  # one row a grid
-    fx = (px - F.col("x_min")) / (F.col("x_max") - F.col("x_min")) * (F.col("n_x") - 1)
-    fy = (py - F.col("y_min")) / (F.col("y_max") - F.col("y_min")) * (F.col("n_y") - 1)
-    clamp = lambda c, n: F.greatest(F.lit(0.0), F.least(F.col(n) - 1.0, c))
-    placed = points.join(meta, "grid_id", "left").withColumn("_fx", clamp(F.when(~F.isnan(px), fx), "n_x")).withColumn("_fy", clamp(F.when(~F.isnan(py), fy), "n_y"))
-    placed = placed.withColumn("i", F.floor("_fx").cast("int")).withColumn("j", F.floor("_fy").cast("int"))
+    placed = in_cells(points, grid_meta(grid), x, y)
     inside = px.between(F.col("x_min"), F.col("x_max")) & py.between(F.col("y_min"), F.col("y_max")) if outside == "null" else F.lit(True)
-    t, s = F.col("_fx") - F.col("i"), F.col("_fy") - F.col("j")
     found = placed.join(_sized(grid_cells(grid)), ["grid_id", "i", "j"], "left")
-    part = lambda v, w: F.coalesce(F.col(v) * w, F.lit(0.0))
-    value = part("v00", (1 - t) * (1 - s)) + part("v10", t * (1 - s)) + part("v01", (1 - t) * s) + part("v11", t * s)
+    value = bilinear(*(F.col(c) for c in ("v00", "v10", "v01", "v11")))
     return found.withColumn(out, F.when(inside & F.col("v00").isNotNull(), value).otherwise(F.lit(float("nan")))).select(*[c for c in points.columns if c != out], out)
 
 

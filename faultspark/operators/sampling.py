@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..functions.geodesy import from_utm
-from ..functions.rng import explode_counts, uniform
+from ..functions.rng import deal, explode_counts, number, uniform
 from ..functions.stage import staged
 from .faults import points_per_subfault, project, subfault_corners
 from .grid import grid_meta
@@ -18,16 +18,25 @@ from .spatial import triangulate
 HOPELESS = 2_000_000  # proposals; a grid where none of so many is accepted has less than 2 millionths of its box to sample, but for one case in e^4
 
 
-def place_points(patches: DataFrame, n: Column, keys: list[str], seed: int, rng: str = "xxhash64") -> DataFrame:
-    """n uniform points in each patch's surface parallelogram; patches has corners and utm_zone. Adds sample_idx, lon, lat."""
+def deal_points(patches: DataFrame, n: Column, keys: list[str]) -> DataFrame:
+    """Blocks of the n points of each patch; patches has corners and utm_zone."""
+    return deal(patches.withColumn("_n", n), "_n", [*keys, "segment_id", "subfault_id"])
+
+
+def put_points(dealt: DataFrame, keys: list[str], seed: int, rng: str = "xxhash64") -> DataFrame:
+    """The points of dealt blocks, uniform in their patch's surface parallelogram. Adds sample_idx, lon, lat; the same block gives the same points wherever it lies."""
     by = [*keys, "segment_id", "subfault_id"]
-    some = explode_counts(patches.withColumn("_n", n), "_n", by)
     u, v = (uniform(seed, s, *by, "sample_idx", rng=rng) for s in ("u", "v"))
     at = lambda c: F.col(f"tl.{c}") + F.col("_u") * (F.col(f"tr.{c}") - F.col(f"tl.{c}")) + F.col("_v") * (F.col(f"bl.{c}") - F.col(f"tl.{c}"))
-    placed = some.withColumns({"_u": u, "_v": v}).withColumns({"_x": at("x"), "_y": at("y")})
+    placed = number(dealt).withColumns({"_u": u, "_v": v}).withColumns({"_x": at("x"), "_y": at("y")})
     return from_utm(placed, "_x", "_y").drop("_u", "_v", "_x", "_y", "_n")
 
 
+def place_points(patches: DataFrame, n: Column, keys: list[str], seed: int, rng: str = "xxhash64") -> DataFrame:
+    """n uniform points in each patch's surface parallelogram. Adds sample_idx, lon, lat."""
+    return put_points(deal_points(patches, n, keys), keys, seed, rng)
+
+
 def sample_rupture(subfaults: DataFrame, kappa: float | None = None, *, seed: int = 0, keys: list[str] = ["event_id"], weight: str = "slip", n_per_subfault: int | None = None, ref_loc: str = "top_center", rng: str = "xxhash64", carry: list[str] = []) -> DataFrame:  # noqa: B006
     """Points of every rupture: keys, segment_id, subfault_id, sample_idx, lon, lat and the carried columns.
 

@@ -54,6 +54,7 @@ def _r(df, *cols, places=9):
 
 QUERIES = {
     "observed_cdf": lambda s, d: _r(W.observed_cdf(A.subfaults(s, d), A.grid(s, d), 200.0, rng="md5"), "cdf"),
+    "observed_cdf_tiled": lambda s, d: _r(W.observed_cdf(A.subfaults(s, d), A.grid(s, d), 50.0, rng="md5", most_nodes=0, tile=4), "cdf"),
     "fault_summary": lambda s, d: faults.fault_summary(A.subfaults(s, d), ["event_id"], 50.0, 1.0).withColumn("slip_area", F.round("slip_area", 4)),
     "average_time": lambda s, d: A.subfaults(s, d).select("subfault_id", faults.average_time().alias("t")).where(finite(F.col("t"))),
     "spacing": lambda s, d: _r(faults.spacing(A.subfaults(s, d), ["event_id"], "lat", ["subfault_id"], "width_dip_km"), "spacing"),
@@ -131,6 +132,7 @@ SELECT k, round(any_value(m), 9) AS mean_value, round(sum(weight * (value - m) *
 SELECT h.k AS k, round(sum(CASE WHEN n.value <= h.value THEN 1e0 ELSE 0e0 END) / count(*), 9) AS p_gt, CAST((SELECT count(*) FROM v WHERE v.k = h.k AND weight < 2) AS BIGINT) AS n_h, CAST((SELECT count(*) FROM v WHERE v.k = h.k AND weight >= 2) AS BIGINT) AS n_n
 FROM v h JOIN v n ON h.k = n.k AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k""",
     "observed_cdf": S.observed_cdf(200.0),
+    "observed_cdf_tiled": S.observed_cdf(50.0),
     "kappa_convergence": S.kappa_convergence(KAPPAS, KAPPA_REF, TOL),
     "null_model_planar": S.null_planar(**NULL),
     "null_model_geodesic": S.null_geodesic(**NULL),

@@ -7,19 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import explode_counts, uniform
 from ..functions.stage import staged
-from ..operators.ecdf import ecdf_on_grid, from_histogram, histogram, levels
-from ..operators.faults import rotate_event, shift_event
+from ..operators.ecdf import from_histogram, histogram, levels
+from ..operators.faults import points_per_subfault, project, rotate_event, shift_event, subfault_corners
 from ..operators.grid import defined_nodes, rotate_translate
-from ..operators.lookup import lookup_grid, on_each
-from ..operators.sampling import sample_rupture, with_kappas
+from ..operators.lookup import BROADCAST_CELLS, lookup_grid, on_each
+from ..operators.sampling import deal_points, put_points, sample_rupture, with_kappas
+from ..operators.tiles import TILE, tiled_histogram
 
 LEVELS = [k / 200 for k in range(201)]
 
 
-def observed_cdf(subfaults: DataFrame, grid: DataFrame, kappa: float = 3500.0, x: list[float] = LEVELS, *, seed: int = 0, rng: str = "xxhash64", keys: list[str] = ["event_id"], force_endpoints: bool = True) -> DataFrame:  # noqa: B006
-    """ECDF of every grid's field at the points of each rupture: keys, grid_id, x_idx, x, cdf."""
-    points = sample_rupture(subfaults, kappa, seed=seed, keys=keys, rng=rng)
-    return ecdf_on_grid(lookup_grid(on_each(points, "grid_id", grid), grid), "value", x, [*keys, "grid_id"], force_endpoints=force_endpoints)
+def rupture_histogram(subfaults: DataFrame, grid: DataFrame, kappa: float | None, x: list[float], keys: list[str], *, seed: int = 0, rng: str = "xxhash64", most_nodes: int = BROADCAST_CELLS, tile: int = TILE) -> DataFrame:
+    """The histogram of the grids' values at the points of each rupture; keys hold grid_id, by which subfaults are told apart if they have it, else they meet every grid.
+
+    Grids of up to most_nodes nodes in all are broadcast as cells, larger ones met tile by tile; in neither case is a point shuffled.
+    """
+    own = keys if "grid_id" in subfaults.columns else [k for k in keys if k != "grid_id"]
+    if grid.count() <= most_nodes:
+        points = sample_rupture(subfaults, kappa, seed=seed, keys=own, rng=rng)
+        return histogram(lookup_grid(points if own == keys else on_each(points, "grid_id", grid), grid), "value", x, keys)
+    dealt = deal_points(subfault_corners(project(subfaults, own)), points_per_subfault(F.col("kappa") if kappa is None else kappa), own)
+    dealt = dealt.select(*own, "segment_id", "subfault_id", "utm_zone", "tl", "tr", "bl", "_from", "_to", "_n")
+    return tiled_histogram(dealt if own == keys else on_each(dealt, "grid_id", grid), lambda d: put_points(d, own, seed, rng), grid, x, keys, tile)
+
+
+def observed_cdf(subfaults: DataFrame, grid: DataFrame, kappa: float | None = 3500.0, x: list[float] = LEVELS, *, keys: list[str] = ["event_id"], force_endpoints: bool = True, **how) -> DataFrame:  # noqa: B006
+    """ECDF of every grid's field at the points of each rupture: keys, grid_id, x_idx, x, cdf. how: see rupture_histogram."""
+    x, by = levels(x), [*keys, "grid_id"]
+    return from_histogram(rupture_histogram(subfaults, grid, kappa, x, by, **how), x, by, "finite", force_endpoints)
 
 
 def kappa_convergence(subfaults: DataFrame, grid: DataFrame, kappas: list[float], kappa_ref: float, x: list[float] = LEVELS, *, tol: float = 0.01, **how) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +57,7 @@ def _candidates(grid: DataFrame) -> DataFrame:
 
 def null_model(
     events: DataFrame, subfaults: DataFrame, grid: DataFrame, *, n_null: int = 500, max_tries: int = 2000, min_finite: float = 0.95, kappa: float = 750.0, x: list[float] = LEVELS,
-    seed: int = 0, mode: str = "geodesic", rng: str = "xxhash64", round_size: int | None = None,
+    seed: int = 0, mode: str = "geodesic", rng: str = "xxhash64", round_size: int | None = None, **size_of,
 ) -> DataFrame:
     """CDFs of the first n_null accepted relocations of each event on each grid: event_id, grid_id, realization_id, try, n_accepted, x_idx, x, cdf.
 
@@ -50,18 +65,19 @@ def null_model(
     min_finite of its points hit a defined value. mode='planar' moves points in the lon/lat plane instead of along geodesics.
     One partial aggregate gives both the share and the histogram. Tries go in rounds of round_size (n_null and a quarter); a round, a written table, has the events
     only that are still short. n_accepted tells of events that stay short after max_tries; one that accepted none has one row, with n_accepted 0 and all else null.
+    size_of: most_nodes and tile, see rupture_histogram, which the geodesic mode counts by; the planar one joins points with cells beyond the broadcast.
     """
     if mode not in ("geodesic", "planar"):
         raise ValueError("mode must be 'geodesic' or 'planar'")
     nodes = staged(_candidates(grid), "nodes")
     by, x = ["event_id", "grid_id"], levels(x)
-    size = round_size or n_null + -(-n_null // 4)
+    step = round_size or n_null + -(-n_null // 4)
     places = on_each(events.select("event_id", F.col("long").alias("from_lon"), F.col("lat").alias("from_lat")), "grid_id", grid)
     places = staged(places.join(nodes.groupBy("grid_id").agg(F.count("*").alias("n_nodes")), "grid_id"), "places")
     parts, open_, low = [], places, 0
     while True:
-        high = min(max_tries, low + size)
-        parts.append(staged(_tried(open_, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed, mode, rng), "round"))
+        high = min(max_tries, low + step)
+        parts.append(staged(_tried(open_, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed, mode, rng, **size_of), "round"))
         accepted = _union(parts).select(*by, "try").distinct().groupBy(*by).agg(F.count("*").alias("_n"))
         low = high
         if low >= max_tries:
@@ -86,7 +102,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _tried(places, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed, mode, rng) -> DataFrame:
+def _tried(places, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed, mode, rng, **size_of) -> DataFrame:
     """Histograms of the accepted ones of tries low to high - 1 at each place (event_id, grid_id, from_lon, from_lat, n_nodes)."""
     keys = ["event_id", "grid_id", "try"]
     tries = explode_counts(places.withColumn("_n", F.lit(high - low).cast("long")), "_n", ["event_id", "grid_id"], "try").drop("_n").withColumn("try", F.col("try") + low)
@@ -97,12 +113,11 @@ def _tried(places, subfaults, grid, nodes, low, high, min_finite, kappa, x, seed
         points = sample_rupture(subfaults, kappa, seed=seed, rng=rng)
         moved = points.join(placed, "event_id")
         lon, lat = rotate_translate(F.col("lon"), F.col("lat"), F.col("angle_deg"), F.col("to_lon") - F.col("from_lon"), F.col("to_lat") - F.col("from_lat"), F.col("from_lon"), F.col("from_lat"))
-        points = moved.withColumns({"lon": lon, "lat": lat}).select(*keys, "lon", "lat")
+        hist = histogram(lookup_grid(moved.withColumns({"lon": lon, "lat": lat}).select(*keys, "lon", "lat"), grid), "value", x, keys)
     else:
         ruptures = subfaults.join(placed.select(*keys), "event_id")
         shifted = shift_event(ruptures, placed.select(*keys, "from_lon", "from_lat", "to_lon", "to_lat"), keys)
         turns = placed.select(*keys, F.col("to_lon").alias("pivot_lon"), F.col("to_lat").alias("pivot_lat"), "angle_deg")
-        points = sample_rupture(rotate_event(shifted, turns, keys), kappa, seed=seed, keys=keys, rng=rng)
-    hist = histogram(lookup_grid(points, grid), "value", x, keys)
+        hist = rupture_histogram(rotate_event(shifted, turns, keys), grid, kappa, x, keys, seed=seed, rng=rng, **size_of)
     share = hist.groupBy(*keys).agg((F.sum(F.when(F.col("bucket") >= 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("share")).where(F.col("share") >= min_finite)
     return hist.join(share.drop("share"), keys)
