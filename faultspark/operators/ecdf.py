@@ -67,7 +67,7 @@ def merge_histograms(*tables: DataFrame) -> DataFrame:
 
 
 def from_histogram(hist: DataFrame, x: list[float], keys: list[str], total: str = "finite", force_endpoints: bool = False) -> DataFrame:
-    """keys, x_idx, x, cdf from a histogram.
+    """keys, x_idx, x, cdf from a histogram; a null key is a key.
 
     total: 'finite' divides by the weight of finite values (no weight: all 0), 'floor' by at least 1.0,
     'all' by the weight of every row, undefined values included (no weight: an error).
@@ -77,7 +77,7 @@ def from_histogram(hist: DataFrame, x: list[float], keys: list[str], total: str
     have = F.sum(F.when(F.col("bucket") >= 0, F.col("w")))
     sums = hist.groupBy(*keys).agg({"finite": F.coalesce(have, F.lit(0.0)), "floor": F.greatest(F.coalesce(have, F.lit(0.0)), F.lit(1.0)), "all": F.sum("w")}[total].alias("_total"))
     spine = sums.select(*keys, "_total", F.posexplode(F.array(*(F.lit(v) for v in x))).alias("x_idx", "x"))
-    joined = spine.join(hist.select(*keys, F.col("bucket").alias("x_idx"), "w"), [*keys, "x_idx"], "left")
+    joined = same_keys(spine, hist.select(*keys, F.col("bucket").alias("x_idx"), "w"), [*keys, "x_idx"], "left")
     run = F.sum(F.coalesce("w", F.lit(0.0))).over(w.orderBy("x_idx"))
     if total == "all":
         bad = F.raise_error(F.lit("the total weight is not positive and finite")).cast("double")

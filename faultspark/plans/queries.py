@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite
 from ..operators import compare, ecdf, faults, grid, kde, lookup, sampling, spatial
 from ..sources import adapters as A
+from . import file_queries as T
 from . import geometry_queries as G
 from . import rupture_sql as S
 from . import workloads as W
@@ -93,7 +94,7 @@ QUERIES = {
     "null_model_planar": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), mode="planar", rng="md5", **NULL), "cdf"),
     "null_model_planar_rounds": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), mode="planar", rng="md5", round_size=4, **ROUNDS), "cdf"),
     "null_model_geodesic_rounds": lambda s, d: _r(W.null_model(A.events(s, d), A.subfaults(s, d), A.grid(s, d), rng="md5", round_size=4, **ROUNDS), "cdf"),
-} | G.QUERIES
+} | G.QUERIES | T.QUERIES
 
 _SUB = """(SELECT o_custkey % 61 AS event_id, o_orderkey AS subfault_id, o_totalprice / 125000.0 AS slip, -72 + (o_orderkey % 97) * 3e-2 AS lon, -30 + (o_orderkey % 211) * 5e-2 AS lat,
  CAST(o_orderkey % 13 AS DOUBLE) AS trup, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 5 AS DOUBLE) END AS rise FROM orders)"""
@@ -146,4 +147,4 @@ FROM v h JOIN v n ON h.k = n.k AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k""
     "grid_scatter": S.grid_scatter(),
     "grid_scatter_nearest": S.grid_scatter_nearest(),
     "regrid": S.regrid(),
-} | G.ORACLE_SQL
+} | G.ORACLE_SQL | T.ORACLE_SQL

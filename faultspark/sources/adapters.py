@@ -106,3 +106,20 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A convex quadrangle by customer, with the number of points asked for in it."""
     ring = F.array(*(F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in ((0.0, 0.0), (0.5, 0.125), (0.625, 0.75), (-0.125, 0.5))))
     return places(spark, sf_dir).select(F.col("point_id").alias("poly_id"), ring.alias("ring"), (F.col("point_id") % 40).cast("int").alias("n"))
+
+
+def models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """events, segments and subfaults of slip models by fifty customers, some hundred subfaults each, as files hold them."""
+    k, c = F.col("o_orderkey"), F.floor(F.col("o_custkey") / 50)
+    rows = read(spark, sf_dir, "orders").select(
+        c.alias("c"), F.concat(F.lit("s"), c).alias("event_id"), (k % 3).cast("int").alias("segment_id"), k.alias("subfault_id"), (-72 + (k % 97) * 0.03).cast("double").alias("lon"), (-30 + (k % 211) * 0.05).cast("double").alias("lat"),
+        (5 + k % 40).cast("double").alias("z"), (F.col("o_totalprice") / 125000.0).alias("slip"), ((k * 11) % 180).cast("double").alias("rake"), (k % 13).cast("double").alias("trup"), F.when(k % 7 != 0, (k % 5).cast("double")).alias("rise"), F.to_date("o_orderdate").alias("day"),
+    )
+    num = lambda e: e.cast("double")
+    segments = rows.select("event_id", "c", "segment_id").distinct().select("event_id", "segment_id", num((F.col("c") * 37 + F.col("segment_id") * 20) % 360).alias("strike"), num(10 + (F.col("c") + F.col("segment_id")) % 35).alias("dip"), F.lit(10.0).alias("len_strike_km"), (F.col("segment_id") + 8.75).cast("double").alias("width_dip_km"))
+    events = rows.groupBy("event_id", "c").agg(F.min("lat").alias("lat"), F.min("lon").alias("long"), F.max("z").alias("depth"), F.max("slip").alias("mw"), F.count_distinct("segment_id").alias("nsg"), F.min("day").alias("date_parsed"), F.count("*").alias("n"))
+    events = events.select(
+        "event_id", "lat", "long", "depth", "mw", "nsg", "date_parsed", F.concat(F.lit("Coast "), F.col("c"), F.lit(", South")).alias("event"), F.concat(F.lit("Customer "), F.col("c"), F.lit(" (2012)")).alias("reference"),
+        num(F.col("c") % 360).alias("global_strike"), num(F.col("c") % 90).alias("global_dip"), F.lit(100.0).alias("size_len"), F.lit(50.0).alias("size_wid"), F.create_map(F.lit("SGM"), F.col("n").cast("int"), F.lit("GPS"), F.col("nsg").cast("int")).alias("data"),
+    )
+    return events, segments, rows.drop("c", "day")

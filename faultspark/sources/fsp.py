@@ -1,4 +1,4 @@
-"""Finite-fault text files (.fsp) as events, segments and subfaults. One row a file; all in column functions, no shuffle."""
+"""Finite-fault text files (.fsp) as events, segments and subfaults, read and written. One row a file; all in column functions; reading needs no shuffle."""
 
 from __future__ import annotations
 
@@ -126,3 +126,50 @@ def bad_files(spark: SparkSession, path: str) -> DataFrame:
     return events.where("date_parsed is null").select("file", F.lit("date").alias("lacks")).unionByName(
         segments.where("len_strike_km is null or width_dip_km is null").select("file", F.lit("size").alias("lacks"))
     ).unionByName(segments.where(~table).select("file", F.lit("table").alias("lacks"))).distinct()
+
+
+def _text(c: str | Column) -> Column:
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("NaN"))
+
+
+def _joined(*parts: str | Column) -> Column:
+    """Plain strings as they are, columns as text."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else _text(p) for p in parts))
+
+
+def header_lines() -> Column:
+    """The lines of an event before its first segment."""
+    c = F.col
+    name = lambda k: F.coalesce(c(k), F.lit(""))
+    data = F.when(c("data").isNotNull(), F.array(_joined("% Data : ", F.array_join(F.map_keys("data"), " ")), _joined("% Data : ", F.array_join(F.map_values("data"), " ")))).otherwise(F.array().cast("array<string>"))
+    fixed = F.array(
+        F.lit("% ---- finite-source rupture model ----"), F.lit("%"),
+        _joined("% Event : ", name("event"), " \t", F.coalesce(F.date_format("date_parsed", "MM/dd/yyyy"), F.lit("")), " \t[", name("reference"), "]"),
+        _joined("% EventTAG: ", c("event_id")), _joined("% Loc  : LAT = ", c("lat"), " LON = ", c("long"), " DEP = ", c("depth")),
+        _joined("% Size : LEN = ", c("size_len"), " km WID = ", c("size_wid"), " km Mw = ", c("mw")), _joined("% Mech : STRK = ", c("global_strike"), " DIP = ", c("global_dip")),
+        _joined("% Invs : Nsg = ", c("nsg")),
+    )
+    return F.concat(fixed, data)
+
+
+def fsp_texts(events: DataFrame, segments: DataFrame, subfaults: DataFrame) -> DataFrame:
+    """event_id and the text of its file: every segment with its table in the order of segment_id and subfault_id.
+
+    Missing numbers are written as NaN, plane coordinates as 0. A file is one row, as it is to read_fsp: an event's subfaults must fit in a task's memory.
+    """
+    head = events.select("event_id", F.posexplode(header_lines()).alias("_at", "value")).withColumns({"_segment": F.lit(-1), "_part": F.lit(0)})
+    own = F.array(
+        _joined("% SEGMENT # ", F.col("segment_id") + 1, ": STRIKE = ", F.col("strike"), " deg DIP = ", F.col("dip"), " deg"), _joined("% Dx = ", F.col("len_strike_km"), " km Dz = ", F.col("width_dip_km"), " km"),
+        F.lit("%  LAT LON X==EW Y==NS Z SLIP RAKE TRUP RISE"), F.lit("% ----"),
+    )
+    over = segments.select("event_id", F.col("segment_id").alias("_segment"), F.posexplode(own).alias("_at", "value")).withColumn("_part", F.lit(0))
+    row = F.concat_ws(" ", F.lit(""), _text("lat"), _text("lon"), F.lit("0"), F.lit("0"), *(_text(k) for k in ("z", "slip", "rake", "trup", "rise")))
+    rows = subfaults.select("event_id", F.col("segment_id").alias("_segment"), F.col("subfault_id").alias("_at"), row.alias("value"), F.lit(1).alias("_part"))
+    lines = head.unionByName(over).unionByName(rows)
+    ordered = F.array_sort(F.collect_list(F.struct("_segment", "_part", "_at", "value")))
+    return lines.groupBy("event_id").agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("value"))
+
+
+def write_fsp(events: DataFrame, segments: DataFrame, subfaults: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One file an event in a folder of its own under path, which read_fsp reads back: numbers to the last bit, segments and subfaults numbered anew from 0."""
+    fsp_texts(events, segments, subfaults).write.mode(mode).partitionBy("event_id").text(path)
