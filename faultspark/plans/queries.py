@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite
+from ..functions.columns import finite, wrap_longitude
 from ..operators import compare, ecdf, faults, grid, kde, lookup, sampling, spatial
 from ..sources import adapters as A
 from . import file_queries as T
@@ -79,6 +79,10 @@ QUERIES = {
     "kde_pdf": lambda s, d: _r(kde.kde_pdf(A.values(s, d), ["value"], [(v,) for v in X], weight="weight"), "pdf"),
     "pdf_cdf": lambda s, d: _r(kde.pdf_cdf(A.values(s, d), "value", X), "pdf", "cdf"),
     "sample_uniform": lambda s, d: _r(sampling.sample_uniform(A.subfaults(s, d), 500, rng="md5"), "lon", "lat", places=6),
+    "sample_per_subfault": lambda s, d: _r(sampling.sample_rupture(A.subfaults(s, d), n_per_subfault=3, rng="md5"), "lon", "lat", places=6),
+    "wrap_longitude": lambda s, d: A.ocean_nodes(s, d).select("point_id", F.round(wrap_longitude(F.col("lon")), 9).alias("lon")),
+    "apply_map": lambda s, d: _r(grid.apply_map(_points(s, d), lambda u, v: (v, 1 - u), grid.grid_meta(A.grid(s, d))).select("point_id", "lon", "lat"), "lon", "lat"),
+    "count_in_mask": lambda s, d: ecdf.count_in_mask(A.values(s, d), finite(F.col("value")) & (F.col("value") > 40) & (F.col("weight") >= 2)),
     "subfault_polygons": lambda s, d: _r(_patches(s, d).select("subfault_id", F.posexplode("polygon").alias("corner", "_p")).select("subfault_id", "corner", "_p.lon", "_p.lat"), "lon", "lat", places=6),
     "find_epicenter_subfault": lambda s, d: spatial.find_epicenter_subfault(_starts(s, d), _patches(s, d)).select("event_id", "segment_id", "subfault_id"),
     "sample_epicenter": _epicenter,
@@ -140,6 +144,11 @@ FROM v h JOIN v n ON h.k = n.k AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k""
     "null_model_planar_rounds": S.null_planar(**ROUNDS),
     "null_model_geodesic_rounds": S.null_geodesic(**ROUNDS),
     "sample_uniform": S.sample_uniform(500),
+    "sample_per_subfault": S.sample_per_subfault(3),
+    "wrap_longitude": "SELECT point_id, round(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END, 9) AS lon FROM (SELECT c_custkey AS point_id, 170 + (c_custkey * 7919) % 1009 / 50e0 AS lon FROM customer)",
+    "apply_map": """SELECT point_id, round((lat + 31) / 12 * 5 - 73, 9) AS lon, round((1 - (lon + 73) / 5) * 12 - 31, 9) AS lat
+FROM (SELECT c_custkey AS point_id, -73.5e0 + ((c_custkey * 7919) % 1009 / 101e0) * 0.6e0 AS lon, -32 + ((c_custkey * 104729) % 1013 / 101.3e0) * 1.4e0 AS lat FROM customer)""",
+    "count_in_mask": f"SELECT count(*) AS n_selected FROM {_VAL} WHERE value > 40 AND weight >= 2",
     "subfault_polygons": S.subfault_polygons(),
     "find_epicenter_subfault": S.find_epicenter_subfault(),
     "sample_epicenter": S.sample_epicenter(500.0),
