@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite
 from ..operators import compare, ecdf, faults, grid, kde, lookup, sampling, spatial
 from ..sources import adapters as A
+from .bootstrap_sql import bootstrap
 
 X = [5.0 * k for k in range(21)]
 QX, QY = [10.0, 20.0, 30.0, 40.0, 50.0], [1e4, 3e4, 5e4, 7e4]
@@ -53,6 +54,12 @@ def _level_comparison(s, d):
     return _r(compare.observed_vs_null(of(v.where("weight < 2")), of(v.where("weight >= 2")), ["k"]), "p_gt")
 
 
+def _level_interval(s, d):
+    v = A.values(s, d)
+    of = lambda rows: ecdf.ecdf_on_grid(rows, "value", X, ["k", "weight"])
+    return _r(compare.observed_vs_null(of(v.where("weight < 2")), of(v.where("weight >= 2")), ["k"], resamples=1000), "p_gt", "ci_low", "ci_high")
+
+
 def _relative_time(s, d):
     t = A.subfaults(s, d).select("event_id", "subfault_id", faults.average_time().alias("t"))
     return _r(sampling.normalize_time(t, ["event_id"], "t").where(finite(F.col("t"))), "t")
@@ -75,6 +82,7 @@ QUERIES = {
     "bandwidth": lambda s, d: _r(kde.effective_n(A.values(s, d), ["k"], "weight").select("k", kde.bandwidth("silverman", F.col("n_eff"), 1).alias("h")), "h"),
     "kde_pdf2d": lambda s, d: _r(kde.kde_pdf2d(A.read(s, d, "lineitem"), "l_quantity", "l_extendedprice", QX, QY).withColumn("pdf", F.col("pdf") * 1e6), "pdf", places=6),
     "observed_vs_null": _level_comparison,
+    "observed_vs_null_ci": _level_interval,
 }
 
 _POINTS = "(SELECT c_custkey AS point_id, c_nationkey AS transform_id, -73.5e0 + ((c_custkey * 7919) % 1009 / 101e0) * 0.6e0 AS lon, -32 + ((c_custkey * 104729) % 1013 / 101.3e0) * 1.4e0 AS lat FROM customer)"
@@ -150,6 +158,7 @@ FROM lineitem, s, range(5) a(i), range(4) c(j) GROUP BY i, j""",
     "observed_vs_null": f"""WITH c AS (SELECT k, weight, x_idx, CASE x_idx WHEN 0 THEN 0e0 WHEN 20 THEN 1e0 ELSE sum(CASE WHEN value <= x THEN 1e0 ELSE 0e0 END) / count(*) END AS cdf FROM {_VAL} v, {_X} x WHERE value IS NOT NULL GROUP BY k, weight, x_idx, x)
 SELECT h.k AS k, h.x_idx AS x_idx, round(sum(CASE WHEN n.cdf <= h.cdf THEN 1e0 ELSE 0e0 END) / count(*), 9) AS p_gt, count(DISTINCT h.weight) AS n_h, count(DISTINCT n.weight) AS n_n
 FROM c h JOIN c n ON h.k = n.k AND h.x_idx = n.x_idx AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k, h.x_idx""",
+    "observed_vs_null_ci": bootstrap(f"SELECT k, x_idx, weight >= 2 AS side, CASE x_idx WHEN 0 THEN 0e0 WHEN 20 THEN 1e0 ELSE sum(CASE WHEN value <= x THEN 1e0 ELSE 0e0 END) / count(*) END AS value FROM {_VAL} v, {_X} x WHERE value IS NOT NULL GROUP BY k, weight, x_idx, x", ["k", "x_idx"], 1000, 10000),
     # of queries registered beside this module
     "kde_pdf": _density("weight") + " SELECT x_idx AS point_idx, x, pdf FROM p",
     "pdf_cdf": _density("1e0") + f", c AS (SELECT x_idx, round(sum(CASE WHEN value <= x THEN 1e0 ELSE 0e0 END) / count(*), 9) AS cdf FROM {_VAL} v, {_X} x GROUP BY x_idx) SELECT x_idx, x, pdf, cdf FROM p JOIN c USING (x_idx)",

@@ -11,6 +11,7 @@ from . import file_queries as T
 from . import geometry_queries as G
 from . import rupture_sql as S
 from . import workloads as W
+from .bootstrap_sql import bootstrap
 
 X = [5.0 * k for k in range(21)]
 XE = [-0.5 + k / 20 for k in range(21)]
@@ -20,6 +21,7 @@ XE = [-0.5 + k / 20 for k in range(21)]
 NULL = {"n_null": 8, "max_tries": 24, "min_finite": 0.75, "kappa": 20.0}
 #: the study's share of defined points; most events need several rounds, some stay short or empty
 ROUNDS = {"n_null": 6, "max_tries": 14, "min_finite": 0.95, "kappa": 10.0}
+SOME = 500  # distinct values in a range of the bootstrap, so that the test tables have several ranges
 KAPPAS, KAPPA_REF, TOL = [20.0, 60.0, 180.0], 540.0, 0.05
 
 
@@ -75,7 +77,7 @@ QUERIES = {
     "weighted_moments": lambda s, d: _r(kde.weighted_moments(A.values(s, d), ["value"], ["k"], "weight"), "mean_value", "var_value", "scale_value"),
     "effective_n": lambda s, d: _r(kde.effective_n(A.values(s, d), ["k"], "weight"), "n_eff"),
     "p_superiority": lambda s, d: _r(compare.p_superiority(*_hn(s, d), ["k"]), "p_gt"),
-    "p_superiority_ci": lambda s, d: compare.p_superiority_ci(*_hn(s, d), ["k"]),
+    "p_superiority_ci": lambda s, d: _r(compare.p_superiority_ci(*_hn(s, d), ["k"], size=SOME), "p_gt", "ci_low", "ci_high"),
     "kde_pdf": lambda s, d: _r(kde.kde_pdf(A.values(s, d), ["value"], [(v,) for v in X], weight="weight"), "pdf"),
     "pdf_cdf": lambda s, d: _r(kde.pdf_cdf(A.values(s, d), "value", X), "pdf", "cdf"),
     "sample_uniform": lambda s, d: _r(sampling.sample_uniform(A.subfaults(s, d), 500, rng="md5"), "lon", "lat", places=6),
@@ -136,6 +138,7 @@ SELECT k, round(any_value(m), 9) AS mean_value, round(sum(weight * (value - m) *
     "p_superiority": f"""WITH v AS (SELECT * FROM {_VAL} WHERE value IS NOT NULL)
 SELECT h.k AS k, round(sum(CASE WHEN n.value <= h.value THEN 1e0 ELSE 0e0 END) / count(*), 9) AS p_gt, CAST((SELECT count(*) FROM v WHERE v.k = h.k AND weight < 2) AS BIGINT) AS n_h, CAST((SELECT count(*) FROM v WHERE v.k = h.k AND weight >= 2) AS BIGINT) AS n_n
 FROM v h JOIN v n ON h.k = n.k AND h.weight < 2 AND n.weight >= 2 GROUP BY h.k""",
+    "p_superiority_ci": bootstrap(f"SELECT k, weight >= 2 AS side, value FROM {_VAL} WHERE value IS NOT NULL", ["k"], 1000, SOME),
     "observed_cdf": S.observed_cdf(200.0),
     "observed_cdf_tiled": S.observed_cdf(50.0),
     "kappa_convergence": S.kappa_convergence(KAPPAS, KAPPA_REF, TOL),

@@ -136,3 +136,21 @@ def test_superiority_in_ranges(spark):
     assert ecdf.ranged(counts, "value", ["k"], 40).groupBy("_range").count().agg(F.max("count")).first()[0] < 80
     for r in ecdf.running(counts, "value", "n", ["k"], 40).collect():
         assert r._below == (x <= r.value).sum() and r._total == 400
+
+
+def test_bootstrap_is_the_same_however_dealt(spark):
+    from faultspark.operators import compare
+
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v), s) for k in ("a", None) for s, m in ((0, 90), (1, 70)) for v in rng.normal(0, 1, m).round(1)] + [("h only", 1.0, 0), ("n only", 1.0, 1)]
+    both = spark.createDataFrame(rows, "k string, value double, side int")
+    got = []
+    for parts, block in ((1, 100), (5, 7)):
+        h, n = (both.repartition(parts).where(F.col("side") == s) for s in (0, 1))
+        got.append({r.k: tuple(r)[1:] for r in compare.p_superiority_ci(h, n, ["k"], resamples=60, block=block, size=10).collect()})
+    assert got[0] == got[1] and set(got[0]) == {"a", None, "h only", "n only"}
+    assert got[0]["h only"] == (None, None, None) == got[0]["n only"]
+    for k in ("a", None):
+        p, low, high = got[0][k]
+        assert low < p < high and got[0]["a"] != got[0][None]
+    assert compare.p_superiority_ci(both.limit(0), both.limit(0), ["k"], resamples=10).count() == 0
