@@ -13,11 +13,14 @@ The regular expressions are written so that a Java matcher never retries inside
 
 Cases: null or empty text has no spans and the digest of the empty string; equal starts sort by kind,
 then end; repeated rows, repeated and null ids each get the spans of their own text; added spans never overlap base ones;
-very long texts are searched whole; an empty table gives no rows; redact keeps all columns, whatever their names.
+very long texts are searched whole, in time that goes with their length (matches, overlaps and surroundings never start again at the text's begin); an empty table gives no rows; redact keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from .common import staged
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, PROMOTE = 4, 0.8, 0.8
 REACH = 64  # code points searched for the words around a value
+CHUNK, BLOCK = 256, 256  # code points of a piece of text (REACH at least), items of a block of running states
 # fixed values: the four kinds' patterns, and a token with a digit or at sign
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -55,20 +59,46 @@ def _valid(kind: str, c: Column) -> Column:
     }[kind]
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(items: Column, first: Column, step) -> Column:
+    """The states that step(state, item) makes along items, from the state first; in blocks, as an array that grows by one item at a time is copied each time."""
+    last = lambda states: F.element_at(states, -1)
+
+    def states(own: Column) -> Column:
+        of_block = lambda state, i: F.aggregate(F.slice(own, i * BLOCK + 1, BLOCK), F.array(state), lambda a, x: F.array_append(a, step(last(a), x)))
+        n = F.ceil(F.size(own) / BLOCK).cast("int")
+        blocks = F.aggregate(F.sequence(F.lit(0), n - 1), F.array(F.array(first)), lambda a, i: F.array_append(a, of_block(last(last(a)), i)))
+        return F.when(n > 0, F.flatten(F.transform(blocks, lambda b: F.slice(b, F.lit(2), F.size(b) - 1)))).otherwise(F.slice(F.array(first), 1, 0))
+
+    return _once(items, states)
+
+
+def _below(spans: Column, field: str, limit: Column) -> Column:
+    """How many of the spans, whose field rises, have it below limit: by halves."""
+    halves = F.transform(F.sequence(F.ceil(F.log2(F.size(spans) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(halves, F.lit(0), lambda at, p: F.when(F.get(spans, at + p - 1)[field] < limit, at + p).otherwise(at))
+
+
+def _chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points: what reads near a place takes it from there, not from the text's start."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+
+
 def _matches(text: Column, pattern: str, guard: Column) -> Column:
     """start, end and value of each match, as an array; code points from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    kind = "array<struct<start:int,end:int,value:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    kind = "struct<start:int,end:int,value:string>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
+    def step(before: Column, x: Column) -> Column:
+        start = before["end"] + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.when(guard, F.aggregate(pairs, begin, step)["out"]).otherwise(F.array().cast(kind))
+    found = _running(F.filter(pairs, lambda x: x["value"].isNotNull()), F.struct(F.lit(0), F.lit(0), F.lit("")).cast(kind), step)
+    return F.when(guard, found).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -82,18 +112,22 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def _occurrences(text: Column, base: Column) -> Column:
-    """Base spans and the other tokens with a digit or at sign: start, end, value, kind (null unless base)."""
+def _occurrences(text: Column, base: Column, kinds: Column) -> Column:
+    """Base spans (kinds has them by kind) and the other tokens with a digit or at sign: start, end, value, kind (null unless base)."""
     of_base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["kind"].alias("kind")))
     tidy = F.transform(_matches(text, TOKEN, text.rlike("[0-9@]")), lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["value"], r"\p{Punct}++$", "").alias("value")))
     tokens = F.transform(tidy, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value"), F.lit(None).cast("string").alias("kind")))
-    return F.concat(of_base, F.filter(tokens, lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))))
+    # spans of one kind rise and do not overlap: the last that begins before a token's end tells
+    met = lambda spans, m: F.coalesce(F.get(spans, _below(spans, "start", m["end"]) - 1)["end"] > m["start"], F.lit(False))
+    return F.concat(of_base, F.filter(tokens, lambda m: ~reduce(or_, (met(F.get(kinds, i), m) for i in range(len(KINDS))))))
 
 
-def _contexts(text: Column, start: Column, end: Column) -> Column:
+def _contexts(chunks: Column, start: Column, end: Column) -> Column:
     words = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\S++"), F.lit(0)), lambda w: F.lower(F.regexp_replace(w, r"^\p{Punct}++|(?<=\w)\p{Punct}++$", "")))
     near = F.greatest(start - REACH, F.lit(0))
-    before, behind = F.substring(text, near + 1, start - near), F.substring(text, end + 1, F.lit(REACH))
+    at = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    two_at = lambda place: F.concat(at((place / CHUNK).cast("int")), at((place / CHUNK).cast("int") + 1))
+    before, behind = (F.substring(two_at(place), place % CHUNK + 1, n) for place, n in ((near, start - near), (end, F.lit(REACH))))
     left = words(F.when(near > 0, F.regexp_replace(before, r"^\S*+", "")).otherwise(before))  # without a word that is cut
     right = words(F.when(F.length(behind) == REACH, F.regexp_replace(behind, r"(?<!\S)\S++$", "")).otherwise(behind))
     two = F.array_join(F.slice(left, -2, 2), " ")
@@ -128,8 +162,11 @@ def _learned(occurrences: DataFrame) -> DataFrame:
 def scanned(docs: DataFrame, with_doc: tuple[str, ...]) -> DataFrame:
     """row, base, occurrences with contexts and the named columns of docs as `doc`, written once: the texts are searched a single time."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in with_doc)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = whole.withColumn("base", base_spans(F.col("text"))).withColumn("found", _occurrences(F.col("text"), F.col("base")))
-    placed = F.transform("found", lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"), o["value"].alias("value"), o["kind"].alias("kind"), _contexts(F.col("text"), o["start"], o["end"]).alias("contexts")))
+    found = whole.withColumn("base", base_spans(F.col("text")))
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    found = found.withColumn("kinds", F.array(*map(of_kind, KINDS)))
+    found = found.withColumn("found", _occurrences(F.col("text"), F.col("base"), F.col("kinds"))).withColumn("chunks", _chunks(F.col("text")))
+    placed = F.transform("found", lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"), o["value"].alias("value"), o["kind"].alias("kind"), _contexts(F.col("chunks"), o["start"], o["end"]).alias("contexts")))
     return staged(found.select("doc", F.monotonically_increasing_id().alias("row"), "base", placed.alias("found")), "scanned")
 
 
@@ -161,13 +198,26 @@ def redact(docs: DataFrame) -> DataFrame:
     scan = scanned(docs, tuple(docs.columns))
     joined = scan.select("row", "doc", "base").join(added_spans(scan), "row", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.slice("base", 1, 0))))
-    text = F.col("doc.text")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    kind = "struct<at:int,keep:boolean,start:int,end:int,kind:string>"
+
+    def first_come(before: Column, x: Column) -> Column:
+        return F.struct(F.greatest(before["at"], x["end"]).alias("at"), (x["start"] >= before["at"]).alias("keep"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+
+    def said(chunk: Column, i: Column) -> Column:
+        """The chunk with the labels of spans that begin in it and without what spans cover."""
+        low, high = i * CHUNK, i * CHUNK + F.length(chunk)
+        passed = _below(F.col("_kept"), "end", low + 1)
+
+        def step(acc: Column, x: Column) -> Column:
+            gap = F.substring(chunk, acc["at"] - low + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+            label = F.when(x["start"] >= low, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+            return F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, label).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        said = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], said).otherwise(acc["out"]).alias("out"))
+        cut = lambda acc: F.concat(acc["out"], F.substring(chunk, acc["at"] - low + 1, F.greatest(high - acc["at"], F.lit(0))))
+        here = F.slice(F.col("_kept"), passed + 1, _below(F.col("_kept"), "start", high) - passed)
+        return F.aggregate(here, F.struct(low.alias("at"), F.lit("").alias("out")), step, cut)
 
-    cut = joined.withColumn("_spans", spans).withColumn("_cut", F.aggregate("_spans", begin, step))
-    said = F.when(F.size("_spans") > 0, F.concat("_cut.out", F.expr("substring(doc.text, _cut.at + 1)"))).otherwise(text)
-    return cut.select(*(said.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
+    kept = F.filter(_running(F.col("_spans"), F.struct(F.lit(0), F.lit(False), F.lit(0), F.lit(0), F.lit("")).cast(kind), first_come), lambda x: x["keep"])
+    cut = joined.withColumn("_spans", spans).withColumn("_kept", kept).withColumn("_chunks", _chunks(F.col("doc.text")))
+    text = F.when(F.size("_kept") > 0, F.array_join(F.transform("_chunks", said), "")).otherwise(F.col("doc.text"))
+    return cut.select(*(text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))

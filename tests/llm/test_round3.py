@@ -181,3 +181,23 @@ def test_repeated_lines_of_any_length(spark):
     assert all(inside(i, a, b) for i, _, a, b, *_ in want)
     assert {(s.doc_id, s.is_passage) for s in spans if s.n_words == 7} >= {(5, 0)} and all(s.is_passage == (s.longest >= 17) for s in spans)
     assert substring_dedup.repeated_lines(df.limit(0)).count() == 0 and all(r.n_words > 6 for r in substring_dedup.repeated_lines(df, min_words=7).collect())
+
+
+def test_pii_in_long_texts(spark):
+    """Spans and labels across pieces of text and blocks of matches, with characters of four bytes and spans that overlap, against plain Python."""
+    from faultspark.llm import pii
+
+    rng = np.random.default_rng(3)
+    parts = ["a.b@x.org", "1.2.3.4", "+1 (212) 555-7713", "4111 1111 1111 1111", "+4111 1111 1111 11", "😀", "é" * 40, "no. 5", "w" * 300, "x@y.zz" + "q" * 270]
+    texts = [" ".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in (1, 30, 900)] + [" ".join(f"{k}@x.org" for k in range(700)), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)] for r in pii.find(df).collect()}
+    assert len(spans[3]) == 700 and sum(map(len, spans.values())) > 1000
+    for r in pii.redact(df).collect():
+        at, want, text = 0, "", texts[r.doc_id] or ""
+        for kind, a, b in spans[r.doc_id]:
+            if a >= at:
+                want, at = f"{want}{text[at:a]}[{kind.upper()}]", b
+        assert (r.text or "") == want + text[at:]
+        for kind, a, b in spans[r.doc_id]:
+            assert ("@" in text[a:b]) == (kind == "email") and text[a:b].strip() == text[a:b]
