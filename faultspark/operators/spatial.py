@@ -87,8 +87,10 @@ def closest_subfault(points: DataFrame, subfaults: DataFrame, *, keys: list[str]
     """Nearest subfault in kilometres (x_km, y_km) of the point's own rupture: row-major index and distance; NaN left out."""
     nodes = subfaults.where(finite(F.col("x_km")) & finite(F.col("y_km"))).select(*keys, "segment_id", "subfault_id", F.col("x_km").alias("_x"), F.col("y_km").alias("_y"))
     asked = points.where(finite(F.col("x_km")) & finite(F.col("y_km")))
-    d = F.sqrt(F.pow(F.col("x_km") - F.col("_x"), 2) + F.pow(F.col("y_km") - F.col("_y"), 2))
-    out = nearest(asked.select(*dict.fromkeys([*keys, *identity, "x_km", "y_km"])), nodes, keys=keys, identity=identity, axes=[("x_km", "_x"), ("y_km", "_y")], tile=tile, distance=d, rank=["segment_id", "subfault_id"])
+    nodes = nodes.groupBy(*keys, "_x", "_y").agg(F.min(F.struct("segment_id", "subfault_id")).alias("_first")).select(*keys, "_x", "_y", "_first.*")  # of several at one place the first by rank
+    d = lambda s: F.sqrt(F.pow(F.col("x_km") - s["_x"], 2) + F.pow(F.col("y_km") - s["_y"], 2))
+    rank = lambda s: [s[c].alias(c) for c in ("segment_id", "subfault_id")]
+    out = nearest(asked.select(*dict.fromkeys([*keys, *identity, "x_km", "y_km"])), nodes, keys=keys, identity=identity, axes=[("x_km", "_x"), ("y_km", "_y")], tile=tile, distance=d, rank=rank)
     return out.select(*identity, F.col("_b.segment_id").alias("segment_id"), F.col("_b.subfault_id").alias("subfault_id"), F.col("_b.d").alias("distance_km"))
 
 
@@ -151,7 +153,7 @@ def distance_to_boundaries(nodes: DataFrame, lines: DataFrame, *, identity: list
     ends_of = lambda x, own: [F.when(F.col("_n") == 1, F.col(f"_{own}{k}")).otherwise(F.col(f"_{x}.m{k}")).alias(f"_{own}{k}") for k in range(3)]
     have = have.select("line_id", *(F.col(f"_m.m{k}").alias(f"_m{k}") for k in range(3)), *ends_of("f", "a"), *ends_of("l", "b"))
     asked = nodes.where(ok).select(*identity, *(c.alias(f"_p{k}") for k, c in enumerate(_on_sphere(F.col("lon"), F.col("lat")))))
-    out = nearest(asked, have, keys=[], identity=identity, axes=[(f"_p{k}", f"_m{k}") for k in range(3)], tile=step, extent=step * 0.51, distance=arc_chord(p, a, b), rank=["line_id"])
+    out = nearest(asked, have, keys=[], identity=identity, axes=[(f"_p{k}", f"_m{k}") for k in range(3)], tile=step, extent=step * 0.51, distance=lambda s: arc_chord(p, *([s[f"_{x}{k}"] for k in range(3)] for x in "ab")), rank=lambda s: [s["line_id"].alias("line_id")])
     return out.select(*identity, (2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("_b.d") / 2))).alias("distance_km"))
 
 
@@ -321,10 +323,11 @@ def grid_scatter(points: DataFrame, keys: list[str], nx: int, ny: int, method: s
     by = [*keys, "i", "j"]
     if method == "nearest":
         each = some.groupBy(*keys, "x", "y").agg(F.min("v").alias("v")).select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"), "v")
-        d2 = (F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))
+        d2 = lambda s: (F.col("x") - s["_px"]) * (F.col("x") - s["_px"]) + (F.col("y") - s["_py"]) * (F.col("y") - s["_py"])
+        rank = lambda s: [d2(s).alias("_d2"), *(s[c].alias(c) for c in ("_px", "_py", "v"))]
         span = box.agg(F.max(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")))).first()[0]
-        found = nearest(nodes, each, keys=keys, identity=by, axes=[("x", "_px"), ("y", "_py")], tile=(span or 1.0) / 8, distance=F.sqrt(d2), rank=[d2.alias("_d2"), "_px", "_py", "v"])
-        return nodes.join(found, by).select(*by, "x", "y", F.col("_b.v").alias("value"))
+        found = nearest(nodes, each, keys=keys, identity=[*by, "x", "y"], axes=[("x", "_px"), ("y", "_py")], tile=(span or 1.0) / 8, distance=lambda s: F.sqrt(d2(s)), rank=rank)
+        return found.select(*by, "x", "y", F.col("_b.v").alias("value"))
     tri = scatter_triangles(points, keys).join(box, keys)
     cell = lambda v, c, n: F.coalesce(F.try_divide((v - F.col(f"_{c}0")) * (n - 1), F.col(f"_{c}1") - F.col(f"_{c}0")), F.lit(0.0))
     span = lambda c, n: F.sequence(F.greatest(F.lit(0), F.floor(cell(F.least(*(f"{c}{k}" for k in (1, 2, 3))), c, n)).cast("int")), F.least(F.lit(n - 1), F.ceil(cell(F.greatest(*(f"{c}{k}" for k in (1, 2, 3))), c, n)).cast("int")))
@@ -367,8 +370,9 @@ def regrid(target: DataFrame, source: DataFrame, max_radius_deg: float = 30.0, s
     flat = lambda x, y: F.col(x) * F.cos(F.radians(y))
     holes = two.where(~finite(F.col("value"))).select("target_id", "grid_id", "lat_idx", "lon_idx", "lat", flat("lon", "lat").alias("_u"))
     have = source.where(finite(F.col("value"))).select("grid_id", flat("lon", "lat").alias("_w"), F.col("lat").alias("_y"), F.col("lon").alias("_x"), F.col("value").alias("_v"))
-    d = F.sqrt((F.col("_u") - F.col("_w")) * (F.col("_u") - F.col("_w")) + (F.col("lat") - F.col("_y")) * (F.col("lat") - F.col("_y")))
-    near = nearest(holes, have, keys=["grid_id"], identity=["target_id", "grid_id", "lat_idx", "lon_idx"], axes=[("_u", "_w"), ("lat", "_y")], tile=step_deg, distance=d, rank=["_y", "_x", "_v"])
+    d = lambda s: F.sqrt((F.col("_u") - s["_w"]) * (F.col("_u") - s["_w"]) + (F.col("lat") - s["_y"]) * (F.col("lat") - s["_y"]))
+    rank = lambda s: [s[c].alias(c) for c in ("_y", "_x", "_v")]
+    near = nearest(holes, have, keys=["grid_id"], identity=["target_id", "grid_id", "lat_idx", "lon_idx"], axes=[("_u", "_w"), ("lat", "_y")], tile=step_deg, distance=d, rank=rank)
     filled = near.where(F.col("_b.d") <= radius).select("target_id", "grid_id", "lat_idx", "lon_idx", F.col("_b._v").alias("filled"))
     out = two.join(filled, ["target_id", "grid_id", "lat_idx", "lon_idx"], "left")
     return out.select("target_id", "grid_id", "lat_idx", "lon_idx", "lat", "lon", F.when(finite(F.col("value")), F.col("value")).otherwise(F.coalesce("filled", F.lit(float("nan")))).alias("value"))

@@ -176,6 +176,26 @@ def test_nearest_over_empty_space(spark):
         spatial.nearest(pts, sub, keys=[], identity=["p"], axes=[("x_km", "x_km")], tile=1.0, distance=F.lit(1.0), rank=[], extent=1.0)
 
 
+def test_nearest_of_crowded_sources(spark, monkeypatch):
+    """Thousands of sources in one tile, many at one place: tiles are made smaller; the same when everything is shuffled."""
+    from faultspark.operators import nearest as N
+
+    rng = np.random.default_rng(8)
+    have = [*(np.array([(k % 37, k // 37 % 41) for k in range(3000)]) * 0.5), *rng.normal(60, 0.05, (300, 2))]
+    asked = [*rng.uniform(-5, 25, (40, 2)), *rng.normal(60, 0.05, (20, 2)), *rng.uniform(-90, 90, (10, 2))]
+    sub = spark.createDataFrame([(k % 2, k % 3, k, *map(float, v)) for k, v in enumerate(have)], "event_id int, segment_id int, subfault_id int, x_km double, y_km double")
+    pts = spark.createDataFrame([(k % 2, k, *map(float, v)) for k, v in enumerate(asked)], "event_id int, p int, x_km double, y_km double")
+    places = sub.select("event_id", "x_km", "y_km").distinct()
+    tile = N.fitting_tile(places, ["event_id"], ["x_km", "y_km"], 50.0)
+    shared = [r["count"] for r in places.groupBy("event_id", F.floor(F.col("x_km") / tile), F.floor(F.col("y_km") / tile)).count().collect()]
+    assert sum(n * n for n in shared) / sum(shared) <= N.CROWD
+    want = {k: min((math.dist(v, w), m % 3, m) for m, w in enumerate(have) if m % 2 == k % 2) for k, v in enumerate(asked)}
+    for few in (N.FEW, 0):
+        monkeypatch.setattr(N, "FEW", few)
+        got = {r.p: (r.distance_km, r.segment_id, r.subfault_id) for r in spatial.closest_subfault(pts, sub, keys=["event_id"], identity=["p"]).collect()}
+        assert set(got) == set(want) and all(got[k][1:] == want[k][1:] and got[k][0] == pytest.approx(want[k][0], abs=1e-12) for k in want)
+
+
 def hull_area(p):
     """Exact."""
     p = sorted((Fraction(float(x)), Fraction(float(y))) for x, y in p)
