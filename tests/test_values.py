@@ -196,6 +196,19 @@ def test_nearest_of_crowded_sources(spark, monkeypatch):
         assert set(got) == set(want) and all(got[k][1:] == want[k][1:] and got[k][0] == pytest.approx(want[k][0], abs=1e-12) for k in want)
 
 
+def test_nodes_of_few_boxes_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the nodes of a grid for as small as the boxes they are made from."""
+    from faultspark.operators import nearest as N
+
+    monkeypatch.setattr(N, "FEW", 0)
+    p = np.random.default_rng(2).random((40, 2))
+    rows = [(k % 2, float(x), float(y), float(k)) for k, (x, y) in enumerate(p)]
+    got = spatial.grid_scatter(spark.createDataFrame(rows, "key int, x double, y double, v double"), ["key"], 30, 30, "nearest")
+    found = got.collect()
+    assert len(found) == 1800 and "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert all(r.value == min((math.dist((r.x, r.y), (x, y)), v) for k, x, y, v in rows if k == r.key)[1] for r in found)
+
+
 def hull_area(p):
     """Exact."""
     p = sorted((Fraction(float(x)), Fraction(float(y))) for x, y in p)
