@@ -196,6 +196,15 @@ def test_nearest_of_crowded_sources(spark, monkeypatch):
         assert set(got) == set(want) and all(got[k][1:] == want[k][1:] and got[k][0] == pytest.approx(want[k][0], abs=1e-12) for k in want)
 
 
+def test_boundaries_with_nothing_broadcast(spark, monkeypatch):
+    from faultspark.operators import nearest as N
+
+    lines = spark.createDataFrame([(k, str(k), "Subduction", j, x, y) for k, line in enumerate([[(179.8, -25.0), (-179.8, -15.0)], [(20.0, 88.0), (-150.0, 87.0)]]) for j, (x, y) in enumerate(line)], "line_id int, name string, type string, seq int, lon double, lat double")
+    df = spark.createDataFrame([(0, 179.9, -20.0), (1, -60.0, -35.0), (2, 100.0, 89.9)], "n int, lon double, lat double")
+    far = [{r.n: r.distance_km for r in spatial.distance_to_boundaries(df, lines, identity=["n"], tile=20.0).collect()} for few in (N.FEW, 0) if not monkeypatch.setattr(N, "FEW", few)]
+    assert far[0] == pytest.approx(far[1], abs=1e-9) and len(far[0]) == 3
+
+
 def test_nodes_of_few_boxes_are_not_broadcast(spark, monkeypatch):
     """Spark takes the nodes of a grid for as small as the boxes they are made from."""
     from faultspark.operators import nearest as N
