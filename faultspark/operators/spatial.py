@@ -7,13 +7,15 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
-from .nearest import nearest
+from .nearest import nearest, spread
 
 EARTH_KM = 6371.0088
+FEW_POINTS = 40  # that are triangulated number by number
 
 
 def inside_ring(ring: Column, x: Column, y: Column) -> Column:
@@ -249,6 +251,53 @@ def _in_circle(a: np.ndarray, b: np.ndarray, c: np.ndarray, p: np.ndarray) -> np
     return _sign(sum(terms), 2e-14 * sum(np.abs(t) for t in terms), exact)
 
 
+def _turn_of(a: tuple, b: tuple, c: tuple) -> int:
+    """_turn of three points."""
+    left, right = (b[0] - a[0]) * (c[1] - a[1]), (b[1] - a[1]) * (c[0] - a[0])
+    if abs(left - right) > 4e-15 * (abs(left) + abs(right)):
+        return 1 if left > right else -1
+    return int(_turn(*(np.array([q]) for q in (a, b, c)))[0])
+
+
+def _in_circle_of(a: tuple, b: tuple, c: tuple, p: tuple) -> int:
+    """_in_circle of three points and one."""
+    ax, ay, bx, by, cx, cy = a[0] - p[0], a[1] - p[1], b[0] - p[0], b[1] - p[1], c[0] - p[0], c[1] - p[1]
+    sa, sb, sc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    t = ax * by * sc, -ax * sb * cy, -ay * bx * sc, ay * sb * cx, sa * bx * cy, -sa * by * cx
+    rough = sum(t)
+    if abs(rough) > 2e-14 * sum(map(abs, t)):
+        return 1 if rough > 0 else -1
+    return int(_in_circle(*(np.array([q]) for q in (a, b, c)), np.array(p))[0])
+
+
+def _delaunay_of_few(points: np.ndarray) -> np.ndarray:
+    """delaunay, number by number: for a dozen points arrays cost more than they save."""
+    p = [tuple(q) for q in points.tolist()]
+    third = next((k for k in range(2, len(p)) if _turn_of(p[0], p[1], p[k])), None)
+    if third is None:
+        return np.zeros((0, 3), int)
+    first = (0, 1, third) if _turn_of(p[0], p[1], p[third]) > 0 else (1, 0, third)
+    tris = [first, *((first[(k + 1) % 3], first[k], -1) for k in range(3))]
+
+    def bad(t: tuple, q: tuple) -> bool:
+        u, v = p[t[0]], p[t[1]]
+        if t[2] >= 0:
+            return _in_circle_of(u, v, p[t[2]], q) > 0
+        side = _turn_of(u, v, q)
+        return side > 0 or side == 0 and ((u[0] < q[0]) != (v[0] < q[0]) or (u[1] < q[1]) != (v[1] < q[1])) and min(u[0], v[0]) <= q[0] <= max(u[0], v[0]) and min(u[1], v[1]) <= q[1] <= max(u[1], v[1])
+
+    for k in range(2, len(p)):
+        if k == third:
+            continue
+        out = [bad(t, p[k]) for t in tris]
+        gone = [t for t, b in zip(tris, out) if b]
+        edges = [(t[i], t[(i + 1) % 3]) for i in range(3) for t in gone]
+        there = set(edges)
+        rim = [e for e in edges if e[::-1] not in there]
+        tris = [t for t, b in zip(tris, out) if not b] + [(v, k, u) if u < 0 else (k, u, v) if v < 0 else (u, v, k) for u, v in rim]  # infinity comes last
+    return np.array([t for t in tris if min(t) >= 0], int).reshape(-1, 3)
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
     """Triangles (left turns) of distinct points, one point put in after another; points on one line have none.
 
@@ -259,6 +308,8 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     n = len(p)
     if n < 3:
         return np.zeros((0, 3), int)
+    if n <= FEW_POINTS:
+        return _delaunay_of_few(p)
     turns = _turn(np.repeat(p[:1], n, 0), np.repeat(p[1:2], n, 0), p)
     if not turns.any():
         return np.zeros((0, 3), int)
@@ -294,17 +345,16 @@ def scatter_triangles(points: DataFrame, keys: list[str]) -> DataFrame:
     key_schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
     names = [f"{c}{k}" for k in (1, 2, 3) for c in "xyv"]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["x", "y", "v"]).drop_duplicates(["x", "y"])
-        p = f[["x", "y", "v"]].to_numpy(float)
+    def run(rows: pa.Table) -> pa.Table:
+        x, y, v = (rows.column(c).to_numpy() for c in "xyv")
+        p = np.column_stack([x, y, v])[np.lexsort((v, y, x))]
+        p = p[np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(1)])]
         tris = delaunay(p[:, :2])
-        out = pd.DataFrame(p[tris].reshape(len(tris), 9), columns=names)
-        for k in keys:
-            out[k] = f[k].iloc[0]
-        return out.assign(tri_id=np.arange(len(tris)))[[*keys, "tri_id", *names]]
+        of = {k: pa.array([rows.column(k)[0].as_py()] * len(tris), rows.schema.field(k).type) for k in keys}
+        return pa.table(of | {"tri_id": pa.array(np.arange(len(tris), dtype=np.int32))} | dict(zip(names, p[tris].reshape(len(tris), 9).T.copy())))
 
     some = points.select(*keys, "x", "y", "v").where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("v")))
-    return some.groupBy(*keys).applyInPandas(run, f"{key_schema}, tri_id int, {', '.join(f'{c} double' for c in names)}")
+    return spread(some, *keys).groupBy(*keys).applyInArrow(run, f"{key_schema}, tri_id int, {', '.join(f'{c} double' for c in names)}")
 
 
 def grid_scatter(points: DataFrame, keys: list[str], nx: int, ny: int, method: str = "linear", fill: float = 0.0) -> DataFrame:
@@ -318,26 +368,34 @@ def grid_scatter(points: DataFrame, keys: list[str], nx: int, ny: int, method: s
     some = points.select(*keys, "x", "y", "v").where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("v")))
     box = some.groupBy(*keys).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
     place = lambda k, c, n: F.when(F.col(k) == n - 1, F.col(f"_{c}1")).otherwise(F.col(f"_{c}0") + F.col(k) * ((F.col(f"_{c}1") - F.col(f"_{c}0")) / max(1, n - 1)))
-    nodes = box.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
-    nodes = nodes.select(*keys, "i", "j", place("i", "x", nx).alias("x"), place("j", "y", ny).alias("y"))
     by = [*keys, "i", "j"]
     if method == "nearest":
+        nodes = box.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
+        nodes = nodes.select(*keys, "i", "j", place("i", "x", nx).alias("x"), place("j", "y", ny).alias("y"))
         each = some.groupBy(*keys, "x", "y").agg(F.min("v").alias("v")).select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"), "v")
         d2 = lambda s: (F.col("x") - s["_px"]) * (F.col("x") - s["_px"]) + (F.col("y") - s["_py"]) * (F.col("y") - s["_py"])
         rank = lambda s: [d2(s).alias("_d2"), *(s[c].alias(c) for c in ("_px", "_py", "v"))]
         span = box.agg(F.max(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")))).first()[0]
         found = nearest(nodes, each, keys=keys, identity=[*by, "x", "y"], axes=[("x", "_px"), ("y", "_py")], tile=(span or 1.0) / 8, distance=lambda s: F.sqrt(d2(s)), rank=rank)
         return found.select(*by, "x", "y", F.col("_b.v").alias("value"))
-    tri = scatter_triangles(points, keys).join(box, keys)
+    # each key's box is one more triangle, that holds every node and counts where no other does
+    each = scatter_triangles(points, keys)
+    corners = F.struct(*(c for c in each.columns if c not in keys))
+    lists = each.groupBy(*keys).agg(F.collect_list(corners).alias("_tris"))  # twice as many as a key's points
+    hull = F.lit(None).cast(each.select(corners.alias("t")).schema["t"].dataType)
+    tri = spread(box.join(lists, keys, "left"), *keys).withColumn("_tri", F.explode(F.concat(F.array(hull), F.coalesce("_tris", F.array().cast(lists.schema["_tris"].dataType))))).drop("_tris").select(*keys, "_x0", "_x1", "_y0", "_y1", "_tri.*")
     cell = lambda v, c, n: F.coalesce(F.try_divide((v - F.col(f"_{c}0")) * (n - 1), F.col(f"_{c}1") - F.col(f"_{c}0")), F.lit(0.0))
-    span = lambda c, n: F.sequence(F.greatest(F.lit(0), F.floor(cell(F.least(*(f"{c}{k}" for k in (1, 2, 3))), c, n)).cast("int")), F.least(F.lit(n - 1), F.ceil(cell(F.greatest(*(f"{c}{k}" for k in (1, 2, 3))), c, n)).cast("int")))
-    met = tri.withColumn("i", F.explode(span("x", nx))).withColumn("j", F.explode(span("y", ny))).withColumns({"x": place("i", "x", nx), "y": place("j", "y", ny)})
-    side = lambda a, b: (F.col(f"x{b}") - F.col(f"x{a}")) * (F.col("y") - F.col(f"y{a}")) - (F.col(f"y{b}") - F.col(f"y{a}")) * (F.col("x") - F.col(f"x{a}"))
+    low = lambda c, n: F.greatest(F.lit(0), F.floor(cell(F.least(*(f"{c}{k}" for k in (1, 2, 3))), c, n)).cast("int"))
+    high = lambda c, n: F.least(F.lit(n - 1), F.ceil(cell(F.greatest(*(f"{c}{k}" for k in (1, 2, 3))), c, n)).cast("int"))
+    span = lambda c, n: F.sequence(F.when(F.col("tri_id").isNull(), 0).otherwise(low(c, n)), F.when(F.col("tri_id").isNull(), n - 1).otherwise(high(c, n)))
     size = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x3") - F.col("x1"))
-    met = met.withColumn("_all", size).where("_all > 0").withColumns({f"_w{a}": side(b, c) / F.col("_all") for a, b, c in ((1, 2, 3), (2, 3, 1), (3, 1, 2))})
-    inside = met.where(F.least("_w1", "_w2", "_w3") >= -1e-9).withColumn("_v", F.col("_w1") * F.col("v1") + F.col("_w2") * F.col("v2") + F.col("_w3") * F.col("v3"))
-    value = inside.groupBy(*by).agg(F.min_by("_v", F.struct(-F.col("_all"), "tri_id")).alias("_v"))  # weights of nearly flat triangles are the least sure
-    return nodes.join(value, by, "left").select(*by, "x", "y", F.coalesce("_v", F.lit(float(fill))).alias("value"))
+    met = tri.withColumn("_all", F.coalesce(size, F.lit(0.0))).where("tri_id is null or _all > 0").withColumn("i", F.explode(span("x", nx))).withColumn("j", F.explode(span("y", ny))).withColumns({"x": place("i", "x", nx), "y": place("j", "y", ny)})
+    side = lambda a, b: (F.col(f"x{b}") - F.col(f"x{a}")) * (F.col("y") - F.col(f"y{a}")) - (F.col(f"y{b}") - F.col(f"y{a}")) * (F.col("x") - F.col(f"x{a}"))
+    met = met.withColumns({f"_w{a}": side(b, c) / F.when(F.col("_all") > 0, F.col("_all")) for a, b, c in ((1, 2, 3), (2, 3, 1), (3, 1, 2))})
+    value = F.when(F.col("tri_id").isNull(), F.lit(float(fill))).otherwise(F.col("_w1") * F.col("v1") + F.col("_w2") * F.col("v2") + F.col("_w3") * F.col("v3"))
+    inside = met.where((F.least("_w1", "_w2", "_w3") >= -1e-9) | F.col("tri_id").isNull()).select(*by, "x", "y", value.alias("_v"), "_all", "tri_id")
+    out = inside.groupBy(*by).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min_by("_v", F.struct(-F.col("_all"), "tri_id")).alias("value"))  # weights of nearly flat triangles are the least sure
+    return out.select(*by, "x", "y", "value")
 
 
 def regrid(target: DataFrame, source: DataFrame, max_radius_deg: float = 30.0, step_deg: float = 5.0) -> DataFrame:

@@ -1,6 +1,7 @@
 """Known values, odd inputs and plain-Python checks of the rupture, grid and distribution operators."""
 
 import math
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -257,6 +258,21 @@ def test_delaunay_covers_the_hull(shape):
     assert len(spatial.delaunay(np.array([(k, 2.0 * k) for k in range(5)]))) == 0 and len(spatial.delaunay(p[:2])) == 0
 
 
+def test_delaunay_of_few_points_is_the_same(spark, monkeypatch):
+    """Number by number as by arrays, ties included; nodes of a grid meet no join."""
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(3, 30))
+        p = rng.random((n, 2)) if seed % 2 else np.unique(rng.integers(0, 6, (n, 2)).astype(float), axis=0)
+        rng.shuffle(p)
+        both = [spatial.delaunay(p).tolist() for few in (40, 0) if not monkeypatch.setattr(spatial, "FEW_POINTS", few)]
+        assert both[0] == both[1]
+    rows = spark.createDataFrame([(k % 3, float(x), float(y), 1.0) for k, (x, y) in enumerate(rng.random((30, 2)))], "key int, x double, y double, v double")
+    plan = spatial.grid_scatter(rows, ["key"], 5, 5)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins and not any(re.search(r"\bi#", line) for line in joins)
+
+
 @pytest.mark.parametrize("method", ["linear", "nearest"])
 def test_grid_scatter_values(spark, method):
     """A plane comes back as itself inside the hull of turned strips; a line has no inside; the least value of a place counts."""
