@@ -154,3 +154,25 @@ def test_bootstrap_is_the_same_however_dealt(spark):
         p, low, high = got[0][k]
         assert low < p < high and got[0]["a"] != got[0][None]
     assert compare.p_superiority_ci(both.limit(0), both.limit(0), ["k"], resamples=10).count() == 0
+
+
+def test_md5_numbers_by_arrays(spark):
+    """drawn gives uniform's numbers: texts of any length, null keys, numbers past a batch's share of a row."""
+    from faultspark.functions.rng import drawn, number, uniform
+
+    rows = [("a", 1, 0, 3), ("x" * 70, 2, 7, 9), ("é", None, 95, 1203), (None, 3, 99_999, 100_001)]
+    dealt = spark.createDataFrame(rows, "name string, k int, _from long, _to long")
+    got = drawn(dealt, 5, "uv", ["name", "k"], rng="md5").select("sample_idx", "name", "k", "_u", "_v")
+    want = number(dealt).select("sample_idx", "name", "k", *(uniform(5, s, "name", "k", "sample_idx", rng="md5").alias(f"_{s}") for s in "uv"))
+    assert got.count() == 3 + 2 + 1108 + 2 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_buckets_by_arrays(spark):
+    from pyspark.sql import functions as F
+
+    from faultspark.operators.ecdf import bucket, bucket_arrays
+
+    df = spark.createDataFrame([(v,) for v in [None, float("nan"), float("inf"), -1.0, 0.0, 0.005, 0.0051, 0.995, 1.0, 1.5, *(k / 200 for k in range(201))]], "v double")
+    for x in ([k / 200 for k in range(201)], [0.0, 0.1, 0.7]):
+        for inclusive in (True, False):
+            assert df.where(bucket(F.col("v"), x, inclusive) != bucket_arrays(F.col("v"), x, inclusive)).isEmpty()
