@@ -176,3 +176,15 @@ def test_buckets_by_arrays(spark):
     for x in ([k / 200 for k in range(201)], [0.0, 0.1, 0.7]):
         for inclusive in (True, False):
             assert df.where(bucket(F.col("v"), x, inclusive) != bucket_arrays(F.col("v"), x, inclusive)).isEmpty()
+
+
+def test_tries_make_their_points_once(spark):
+    from faultspark.plans import workloads as W
+
+    sub = spark.createDataFrame([(1, 0, k, 2.0, -70.0 + k * 0.1, -20.0, 10.0, 0.0, 20.0, 10.0, 8.0) for k in range(4)], "event_id int, segment_id int, subfault_id int, slip double, lon double, lat double, z double, strike double, dip double, len_strike_km double, width_dip_km double")
+    grid = spark.createDataFrame([("g", j, i, -21.0 + j, -71.0 + i, 0.5) for i in range(3) for j in range(3)], "grid_id string, lat_idx int, lon_idx int, lat double, lon double, value double")
+    places = spark.createDataFrame([(1, "g", -70.0, -20.0, 9)], "event_id int, grid_id string, from_lon double, from_lat double, n_nodes long")
+    for mode in ("planar", "geodesic"):
+        tried = W._tried(places, sub, grid, W._candidates(grid), 0, 3, 0.0, 100.0, W.LEVELS, 0, mode, "md5")
+        assert tried._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+        assert tried.select("try").distinct().count() == 3
